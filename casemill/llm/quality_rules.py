@@ -9,8 +9,8 @@
    aggregation over all rows: moments are summed per group and distance bin (partial sums
    on the map side, so a group with a third of all rows costs no skew) and a running sum
    over the bins gives the moments of the kept share.  Rows are never sampled.
-3. Distances are scaled so that their median is that of a chi-squared variable, and rows
-   beyond its ``quantile`` are rejected.
+3. Distances whose median is above that of a chi-squared variable are scaled down to it
+   (the kept share understates the spread), and rows beyond its ``quantile`` are rejected.
 
 Defined cases: a null or empty text has no words, is short and fails the base rule.  Null
 group columns are groups of their own.  Groups of fewer than ``min_group`` fitted rows are
@@ -36,42 +36,49 @@ from . import common as C
 
 SYMBOLS = "#*$%&|<>"
 PHRASE = 5
+CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FEATURES = ("f_length", "f_word", "f_symbol", "f_lines", "f_repeat")
-#: Least standard deviation of each feature, so that a constant one can't make the covariance singular.
-FLOORS = (0.1, 0.05, 0.02, 0.05, 0.05)
+FEATURES = ("f_length", "f_word", "f_symbol", "f_upper", "f_adjacent", "f_lines", "f_repeat")
+#: Least standard deviation of each feature: a constant one can't make the covariance singular,
+#: and spread within it is ordinary in any prose.
+FLOORS = (1.0, 0.12, 0.03, 0.05, 0.04, 0.15, 0.06)
 BINS_PER_OCTAVE = 16
 
 
-def measure(text: object) -> tuple[int, int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and lines with a word of one text."""
+def measure(text: object) -> tuple[int, int, int, int, int, int, int, int]:
+    """The base counts of one text, then its lines with a word, capitals and words equal to the one before."""
     raw = C.encoded(text)
     words = raw.split()
     if not words:
-        return 0, 0, sum(text.count(c) for c in SYMBOLS) if isinstance(text, str) else 0, 0, 0, 0
+        return 0, 0, sum(map(text.count, SYMBOLS)) if isinstance(text, str) else 0, 0, 0, 0, 0, 0
     chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
     symbols = sum(map(text.count, SYMBOLS))
     lines = [x for x in raw.split(b"\n") if x.strip()]
+    hashes = C.word_hashes(words)
     repeated = 0
-    h = C.window_hashes(C.word_hashes(words), PHRASE)
+    h = C.window_hashes(hashes, PHRASE)
     if len(h) > 1:
         _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
         starts = np.flatnonzero(counts[inverse] > 1)
         repeated = int(C.covered(starts, PHRASE, len(words)).sum()) if len(starts) else 0
-    return len(words), chars, symbols, sum(v - 1 for v in Counter(lines).values()), repeated, len(lines)
+    capitals = len(raw) - len(raw.translate(None, CAPITALS))
+    adjacent = int((hashes[1:] == hashes[:-1]).sum())
+    return len(words), chars, symbols, sum(v - 1 for v in Counter(lines).values()), repeated, len(lines), capitals, adjacent
 
 
 def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        m = np.array([measure(t) for t in pdf.pop("_text")], dtype=np.int64).reshape(-1, 6)
+        m = np.array([measure(t) for t in pdf.pop("_text")], dtype=np.int64).reshape(-1, 8)
         for k, name in enumerate(BASE_COLUMNS):
             pdf[name] = m[:, k]
         words, chars = np.maximum(m[:, 0], 1), np.maximum(m[:, 1], 1)
         pdf["f_length"] = np.log1p(m[:, 0])
         pdf["f_word"] = np.log(chars / words)
         pdf["f_symbol"] = np.sqrt(m[:, 2] / chars)
-        pdf["f_lines"] = np.sqrt(m[:, 3] / np.maximum(m[:, 5], 1))
-        pdf["f_repeat"] = np.sqrt(m[:, 4] / words)
+        pdf["f_upper"] = m[:, 6] / chars
+        pdf["f_adjacent"] = m[:, 7] / words
+        pdf["f_lines"] = m[:, 3] / np.maximum(m[:, 5], 1)
+        pdf["f_repeat"] = m[:, 4] / words
         yield pdf
 
 
@@ -198,7 +205,8 @@ def robust_outliers(
     middle = _share(near, 0.5).select("fit", F.pow(F.lit(2.0), (F.col("bin") + 0.5) / BINS_PER_OCTAVE).alias("middle"))
     final = scratch.table(params.join(middle, "fit"), "mcd-final")
     scratch.drop(params)
-    scaled = distance(features) * (chi2_quantile(0.5, p) / F.greatest(F.col("middle"), F.lit(chi2_quantile(0.5, p) / 4)))
+    half = chi2_quantile(0.5, p)
+    scaled = distance(features) * (half / F.greatest(F.col("middle"), F.lit(half)))
     out = rows.join(hint(final), "fit", "left").withColumn("distance", scaled)
     return out.withColumn("outlier", F.coalesce(F.col("distance") > chi2_quantile(quantile, p), F.lit(False))).drop("mu", "prec", "middle", "fit")
 
