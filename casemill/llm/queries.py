@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontaminate, line_dedup, quality_rules
+from . import decontaminate, jaccard_join, line_dedup, quality_rules
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +22,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(C.documents(spark, sf_dir), benchmark, window=10)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(C.documents(spark, sf_dir), shingle=4, percent=85)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_decontamination)}
+    found = (op1_quality_rules, op2_line_dedup, op3_decontamination, op7_jaccard_join)
+    return {f.__name__: f for f in found}
 
 
 #: The six white-space characters and the ASCII capitals, for the SQL below.
