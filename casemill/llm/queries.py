@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontaminate, jaccard_join, line_dedup, quality_rules
+from . import decontaminate, jaccard_join, line_dedup, quality_rules, substring_dedup
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +26,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(C.documents(spark, sf_dir), shingle=4, percent=85)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digest(C.documents(spark, sf_dir), window=13)
+
+
 def queries() -> dict:
-    found = (op1_quality_rules, op2_line_dedup, op3_decontamination, op7_jaccard_join)
+    found = (op1_quality_rules, op2_line_dedup, op3_decontamination, op7_jaccard_join, op9_substring_dedup)
     return {f.__name__: f for f in found}
 
 
@@ -71,5 +75,23 @@ FROM words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
 
+REPEAT_SQL = """
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)
+), earliest AS (SELECT win, min(doc_id) AS d FROM windows GROUP BY win),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM windows JOIN earliest USING (win) WHERE d < doc_id
+), tokens AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM words),
+kept AS (
+  SELECT t.doc_id, string_agg(t.t, ' ' ORDER BY t.p) AS k, count(*) AS n
+  FROM tokens t ANTI JOIN gone g ON t.doc_id = g.doc_id AND t.p = g.p GROUP BY t.doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_SQL, "op3_decontamination": WINDOW_SQL}
+    return {"op2_line_dedup": LINE_SQL, "op3_decontamination": WINDOW_SQL, "op9_substring_dedup": REPEAT_SQL}
