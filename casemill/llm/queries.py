@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontaminate, jaccard_join, line_dedup, quality_rules, substring_dedup
+from . import decontaminate, jaccard_join, line_dedup, packing, quality_rules, substring_dedup, token_ids
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,17 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(C.documents(spark, sf_dir), benchmark, window=10)
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file; the package is installed on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.token_digest(C.documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), space_leads=False, end_id=1)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(C.documents(spark, sf_dir), shingle=4, percent=85)
 
@@ -30,8 +41,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digest(C.documents(spark, sf_dir), window=13)
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(C.documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), space_leads=True, end_id=0, window=1024, with_ids=False)
+
+
 def queries() -> dict:
-    found = (op1_quality_rules, op2_line_dedup, op3_decontamination, op7_jaccard_join, op9_substring_dedup)
+    found = (op1_quality_rules, op2_line_dedup, op3_decontamination, op5_token_ids, op7_jaccard_join, op9_substring_dedup, op10_packing)
     return {f.__name__: f for f in found}
 
 
