@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontaminate, jaccard_join, line_dedup, packing, quality_rules, substring_dedup, token_ids
+from . import decontaminate, jaccard_join, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, token_ids, toxicity
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(C.documents(spark, sf_dir), benchmark, window=10)
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(C.documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file; the package is installed on driver and executors."""
     import public_tokenizers
@@ -37,6 +45,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(C.documents(spark, sf_dir), shingle=4, percent=85)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.grade_quality(C.documents(spark, sf_dir), quality_classifier.graded(labels(spark, sf_dir)))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digest(C.documents(spark, sf_dir), window=13)
 
@@ -46,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_quality_rules, op2_line_dedup, op3_decontamination, op5_token_ids, op7_jaccard_join, op9_substring_dedup, op10_packing)
+    found = (op1_quality_rules, op2_line_dedup, op3_decontamination, op4_toxicity, op5_token_ids, op7_jaccard_join, op8_quality_classifier, op9_substring_dedup, op10_packing)
     return {f.__name__: f for f in found}
 
 
