@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontaminate, jaccard_join, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, token_ids, toxicity
+from . import decontaminate, jaccard_join, license_scan, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, token_ids, toxicity
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.token_digest(C.documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), space_leads=False, end_id=1)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(C.documents(spark, sf_dir))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(C.documents(spark, sf_dir), shingle=4, percent=85)
 
@@ -58,7 +62,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_quality_rules, op2_line_dedup, op3_decontamination, op4_toxicity, op5_token_ids, op7_jaccard_join, op8_quality_classifier, op9_substring_dedup, op10_packing)
+    found = (op1_quality_rules, op2_line_dedup, op3_decontamination, op4_toxicity, op5_token_ids, op6_license_scan, op7_jaccard_join, op8_quality_classifier, op9_substring_dedup, op10_packing)
     return {f.__name__: f for f in found}
 
 
