@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
+from .queries import oracle_sql, queries
 
-def queries() -> dict:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
