@@ -143,7 +143,7 @@ def extract_votes(docs: DataFrame, roster: DataFrame, key: str = "case_number",
     segments = lines.select(key, F.posexplode(F.concat("lines", pairs)).alias("at", "seg"))
     clauses = segments.select(key, "at", F.posexplode(F.split("seg", ";")).alias("part", "clause"))
     told = clauses.withColumn("vote", clause_vote(F.col("clause"))).where("vote is not null").withColumn("upper", F.upper("clause"))
-    named = F.col("upper").rlike(F.concat(F.lit("\\b"), F.col("last_name"), F.lit("\\b"))) if word_boundary else F.col("upper").contains(F.col("last_name"))
+    named = F.rlike(F.col("upper"), F.concat(F.lit("\\b"), F.col("last_name"), F.lit("\\b"))) if word_boundary else F.col("upper").contains(F.col("last_name"))
     hits = told.join(F.broadcast(roster.select("justice_key", "last_name")), named)  # few clauses, nine names
     order, note = F.struct("at", "part"), F.expr("trim(both ' \t\r\n' from clause)")
     found = hits.groupBy(key, "justice_key").agg(

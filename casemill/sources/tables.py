@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import clean as N
 from ..functions import constants as K
@@ -23,19 +22,20 @@ CASES_DDL = (
     "involves_statutory_interpretation BOOLEAN, standard_of_review ARRAY<STRING>, summary_paragraph STRING, word_count INT, "
     "opinion_type STRING, parse_version STRING, parse_timestamp TIMESTAMP, parse_confidence DOUBLE"
 )
-CASES = T.StructType.fromDDL(CASES_DDL)
-CASES_NESTED = T.StructType.fromDDL(f"{CASES_DDL}, votes MAP<STRING, STRUCT<{VOTE}>>")
-PANEL_ORDERS = T.StructType.fromDDL(
+CASES = CASES_DDL
+LIST_COLUMNS = ("topics", "rsa_citations", "standard_of_review")
+CASES_NESTED = f"{CASES_DDL}, votes MAP<STRING, STRUCT<{VOTE}>>"
+PANEL_ORDERS = (
     "year INT, pdf_url STRING, case_number STRING, case_name STRING, citation STRING, opinion_type STRING, date_issued STRING"
 )
-OVERRIDES = T.StructType.fromDDL("case_number STRING, case_name STRING, override_case_type STRING, override_reason STRING")
-JUSTICES = T.StructType.fromDDL(
+OVERRIDES = ("case_number STRING, case_name STRING, override_case_type STRING, override_reason STRING")
+JUSTICES = (
     "key STRING, last_name STRING, first_name STRING, display_name STRING, role STRING, is_active BOOLEAN, appointed_by STRING, "
     "date_appointed DATE, date_retired DATE, political_affiliation STRING, wikipedia_url STRING"
 )
 STAGE = "STRUCT<status: STRING, completed_at: TIMESTAMP>"
-TRANSCRIPT_STATUS = T.StructType.fromDDL(", ".join(f"{s} {STAGE}" for s in ("discovery", "download", "transcription", "diarization", "public_render")))
-TRANSCRIPT_STATS = T.StructType.fromDDL(
+TRANSCRIPT_STATUS = (", ".join(f"{s} {STAGE}" for s in ("discovery", "download", "transcription", "diarization", "public_render")))
+TRANSCRIPT_STATS = (
     "case_path STRING, case_name STRING, docket_number STRING, argument_date DATE, model STRING, operational_quality_score INT, "
     "review_priority STRING, recommendation STRING, rerun_turbo_recommended BOOLEAN, warnings ARRAY<STRING>, metrics STRUCT<"
     "segment_count: INT, word_count: INT, character_count: INT, duration_seconds: DOUBLE, duration_minutes: DOUBLE, "
@@ -47,7 +47,7 @@ TRANSCRIPT_STATS = T.StructType.fromDDL(
     "question_segment_count: INT, question_mark_count: INT, exclamation_mark_count: INT, speaker_guess_counts: MAP<STRING, INT>, "
     "justice_guess_ratio: DOUBLE, counsel_guess_ratio: DOUBLE, language: STRING, language_probability: DOUBLE, beam_size: INT, compute_type: STRING>"
 )
-TRANSCRIPT_METADATA = T.StructType.fromDDL(
+TRANSCRIPT_METADATA = (
     "argument_date DATE, docket_number STRING, case_name STRING, vimeo_url STRING, source_page_url STRING, source_label STRING, "
     "archive_root STRING, case_slug STRING, created_at TIMESTAMP, pipeline_status STRING, audio STRUCT<local_path: STRING, "
     "source_info_json: STRING, duration_seconds: DOUBLE, size_bytes: BIGINT, downloaded_at: TIMESTAMP, download_tool: STRING>, "
@@ -58,12 +58,11 @@ TRANSCRIPT_METADATA = T.StructType.fromDDL(
 
 def read_cases_csv(spark: SparkSession, path: str) -> DataFrame:
     """Flat case table from CSV; list columns are parsed, and empty where absent or malformed."""
-    flat = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.ArrayType) else f.dataType) for f in CASES])
-    df = spark.read.schema(flat).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return df.withColumns({f.name: N.list_column(F.col(f.name)) for f in CASES if isinstance(f.dataType, T.ArrayType)})
+    df = spark.read.schema(CASES.replace("ARRAY<STRING>", "STRING")).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return df.withColumns({c: N.list_column(F.col(c)) for c in LIST_COLUMNS})
 
 
-def read_case_json(spark: SparkSession, *paths: str, schema: T.StructType = CASES) -> DataFrame:
+def read_case_json(spark: SparkSession, *paths: str, schema: str = CASES) -> DataFrame:
     """Case records from JSON array files; paths may be globs.  An empty array has no rows."""
     from ..operators.build import normalize_cases
 
@@ -78,7 +77,7 @@ def read_cases_nested(spark: SparkSession, path: str) -> DataFrame:
 def read_justices(spark: SparkSession, path: str) -> DataFrame:
     """Justice dimension; of repeated keys the last in the file counts."""
     df = spark.read.schema(JUSTICES).option("multiLine", True).json(path).withColumn("_at", F.monotonically_increasing_id())
-    return df.groupBy("key").agg(*(F.max_by(c, "_at").alias(c) for c in JUSTICES.names if c != "key"))
+    return df.groupBy("key").agg(*(F.max_by(c, "_at").alias(c) for c in df.columns if c not in ("key", "_at")))
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
@@ -108,7 +107,7 @@ def with_text(cases: DataFrame, texts: DataFrame, key: str = "case_number") -> D
     return cases.join(texts, key, "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def _tree(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
+def _tree(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     reader = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name)
     return reader.json(root).select("*", F.col("_metadata.file_path").alias("path"))
 

@@ -29,7 +29,7 @@ def append_new(target: str, key: str, prepare: Callable[[DataFrame], DataFrame]
 
 
 def incremental_stream(
-    spark: SparkSession, source: str, target: str, schema: StructType, checkpoint: str, key: str = "case_number",
+    spark: SparkSession, source: str, target: str, schema: StructType | str, checkpoint: str, key: str = "case_number",
     source_format: str = "parquet", prepare: Callable[[DataFrame], DataFrame] | None = None, files_per_batch: int = 1000, **options: str,
 ) -> StreamingQuery:
     """Load what has arrived in ``source`` into ``target`` (which must exist), then stop."""
