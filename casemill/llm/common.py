@@ -81,6 +81,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded_broadcast(df: DataFrame, limit_rows: int) -> DataFrame:
     """Mark a stored table for broadcast if it has at most ``limit_rows`` rows; else leave it to a shuffle join."""
     return F.broadcast(df) if df.limit(limit_rows + 1).count() <= limit_rows else df

@@ -233,5 +233,6 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame, key: str = "doc_
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the rows of a contaminated document's id."""
-    hits = contamination(docs, benchmark, key=key, text=text, **options).where("hit is not null").select(F.col(key).alias("_hit")).distinct()
-    return docs.join(hits, F.col(key).eqNullSafe(F.col("_hit")), "left_anti")
+    name = C.fresh(docs, "_hit")
+    hits = contamination(docs, benchmark, key=key, text=text, **options).where("hit is not null").select(F.col(key).alias(name)).distinct()
+    return docs.join(hits, F.col(key).eqNullSafe(F.col(name)), "left_anti")

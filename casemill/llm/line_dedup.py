@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import common as C
 
@@ -150,31 +151,31 @@ def kept_lines(text: object, bitmap: bytes | None) -> tuple[int, str]:
     return len(lines), "\n".join(x for x, k in zip(lines, keep, strict=True) if k)
 
 
-def join_bitmaps(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row of ``docs`` with its bitmap, or null; the bitmaps are the hashed side."""
-    found = bitmaps.select(F.col("doc").alias("_doc"), F.col("fp").alias("_fp"), F.col("n_dropped").alias("_dropped"), F.col("keep_bitmap").alias("_bitmap"))
+def join_bitmaps(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, str, str]:
+    """Every row of ``docs`` with its bitmap and number of dropped lines (null if it loses none), and
+    the names of these two columns.  The bitmaps are the hashed side."""
+    doc, mark, dropped, bitmap = (C.fresh(docs, n) for n in ("_doc", "_fp", "_dropped", "_bitmap"))
+    found = bitmaps.select(F.col("doc").alias(doc), F.col("fp").alias(mark), F.col("n_dropped").alias(dropped), F.col("keep_bitmap").alias(bitmap))
     fp = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    return docs.join(found.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_doc")) & (fp == F.col("_fp")), "left").drop("_doc", "_fp")
+    joined = docs.join(found.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col(doc)) & (fp == F.col(mark)), "left")
+    return joined.drop(doc, mark), bitmap, dropped
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with the dropped lines taken out of ``text``; all other columns unchanged."""
-    joined = join_bitmaps(docs, line_bitmaps(docs, key=key, text=text, **options), key, text)
+@F.pandas_udf(StringType())
+def _kept_text(text: pd.Series, bitmap: pd.Series) -> pd.Series:
+    return pd.Series([t if b is None else kept_lines(t, b)[1] for t, b in zip(text, bitmap, strict=True)], dtype=object)
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            maps = pdf.pop("_bitmap")
-            pdf = pdf.drop(columns="_dropped")
-            pdf[text] = [t if b is None else kept_lines(t, b)[1] for t, b in zip(pdf[text], maps, strict=True)]
-            yield pdf
 
-    return joined.mapInPandas(apply, docs.schema)
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with the dropped lines taken out of ``text``; all other columns unchanged."""
+    joined, bitmap, dropped = join_bitmaps(docs, line_bitmaps(docs, key=key, text=text, **options), key, text)
+    return joined.withColumn(text, _kept_text(F.col(text), F.col(bitmap))).select(*docs.columns)
 
 
 def dedup_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Per row: id, ``n_lines`` before, ``n_dropped`` and ``kept_sha256`` of the lines that stay."""
     bitmaps = line_bitmaps(docs, key=key, text=text, **options)
-    joined = join_bitmaps(docs.select(key, text), bitmaps, key, text)
+    joined, _, _ = join_bitmaps(docs.select(key, text), bitmaps, key, text)
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

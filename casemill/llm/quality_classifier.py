@@ -115,13 +115,13 @@ def keep_good(docs: DataFrame, ratings: DataFrame, accept: int = 1, least: float
         return docs
     sent = spark.sparkContext.broadcast(model)
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("boolean")
+    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, thresholds, grades = sent.value
         scorer = M.MeanScorer(weights[None, :])
         cut = int(np.searchsorted(grades, accept))  # P(grade >= accept) = 1 - P(grade <= the one below)
-        for pdf in batches:
-            s = np.array([scorer(t)[0] for t in pdf[text]])
-            tail = 1 - M.sigmoid(thresholds[cut - 1] - s) if 0 < cut <= len(thresholds) else np.full(len(s), float(cut == 0))
-            yield pdf[tail >= least]
+        for texts in batches:
+            s = np.array([scorer(t)[0] for t in texts])
+            yield pd.Series(1 - M.sigmoid(thresholds[cut - 1] - s) >= least if 0 < cut <= len(thresholds) else np.full(len(s), cut == 0))
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.where(good(F.col(text)))

@@ -21,6 +21,8 @@ from . import common as C
 DIMENSIONS = 1 << 18
 #: Shares are small; this brings the useful ones near 1.
 GAIN = 30.0
+#: Words whose scores a worker keeps.
+SCORED_WORDS = 1_000_000
 REPEAT = b"\x00repeat"
 _SHAPES = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[a-zß-öø-ÿ]+"), "a"), (re.compile(r"[0-9]+"), "0"))
 
@@ -84,7 +86,7 @@ class MeanScorer:
         at = list(map(self.row.get, words))
         if None in at:
             new = list(dict.fromkeys(w for w, i in zip(words, at, strict=True) if i is None))
-            if len(self.row) + len(new) > C.MEMO_LIMIT and self.row:
+            if len(self.row) + len(new) > SCORED_WORDS and self.row:
                 self._clear()
                 return self(text)
             while len(self.row) + len(new) > len(self.table):
