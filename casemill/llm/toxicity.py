@@ -73,7 +73,7 @@ def _fitter(category: str, k: int, sent):
         pdf = pdf.sort_values("row").reset_index(drop=True)
         model = int(group[0])
         dense = log_odds(sent.value[pdf["row"].to_numpy()]) if k else np.zeros((len(pdf), 0))
-        design = M.Design([np.asarray(i) for i in pdf["index"]], [np.asarray(s) for s in pdf["share"]], dense)
+        design = M.Design([np.asarray(i) for i in pdf["index"]], [np.asarray(s) for s in pdf["share"]], dense, least=5, even=True)
         known = pdf[category].notna().to_numpy()
         learn = np.flatnonzero(known & (pdf["fold"].to_numpy() != model))
         y = pdf[category].fillna(0).to_numpy(dtype=float)
