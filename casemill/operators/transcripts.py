@@ -44,7 +44,9 @@ def transcript_stats(
     aggs = [
         F.count(F.lit(1)).alias("segment_count"), F.sum("_w").alias("word_count"), F.sum("_c").alias("character_count"),
         F.round(F.avg("_w"), 4).alias("avg_words_per_segment"), F.round(F.percentile("_w", F.lit(0.5)), 4).alias("median_words_per_segment"),
-        F.max("_w").cast("long").alias("max_segment_words"), count_if(F.col("_w") >= long_words, "long_segment_count"), count_if(F.col("_w") >= very_long_words, "very_long_segment_count"),
+        F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY _w)").cast("long").alias("p90_words_per_segment"), F.max("_w").cast("long").alias("max_segment_words"),
+        F.round(F.avg("_c"), 4).alias("avg_chars_per_segment"), F.round(F.percentile("_c", F.lit(0.5)), 4).alias("median_chars_per_segment"),
+        count_if(F.col("_w") >= long_words, "long_segment_count"), count_if(F.col("_w") >= very_long_words, "very_long_segment_count"),
         count_if(F.col(text).contains(question), "question_segment_count"), F.sum(occurrences(F.col(text), question)).cast("long").alias("question_mark_count"),
         F.sum(occurrences(F.col(text), exclamation)).cast("long").alias("exclamation_mark_count"),
     ]

@@ -29,6 +29,15 @@ def roster_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.range(1).select(F.inline(rows))
 
 
+def active_justices(justices: DataFrame, active: bool = True, flag: str = "is_active") -> DataFrame:
+    return justices.where(F.coalesce(F.col(flag), F.lit(False)) == active)
+
+
+def roster_order(justices: DataFrame, role: str = "role", name: str = "last_name") -> DataFrame:
+    """The chief justice first, then by last name."""
+    return justices.orderBy(F.coalesce(F.col(role), F.lit("")) != "chief_justice", name)
+
+
 def explode_votes(df: DataFrame, key: str = "case_number", votes: str = "votes") -> DataFrame:
     """The nested map as one row per justice."""
     return df.select(key, F.explode(votes).alias("justice_key", "_v")).select(key, "justice_key", "_v.*")

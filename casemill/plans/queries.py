@@ -602,6 +602,7 @@ def link_harmonise(t: Tables) -> DataFrame:
 _STATS = """seg AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w, substr(text, 1, 2) AS same FROM turns),
 dup AS (SELECT case_number, CAST(sum(k - 1) AS BIGINT) AS duplicate_segment_instances FROM (SELECT case_number, same, count(*) AS k FROM seg GROUP BY ALL) GROUP BY case_number),
 base AS (SELECT case_number, count(*) AS segment_count, CAST(sum(w) AS BIGINT) AS word_count, CAST(sum(length(text)) AS BIGINT) AS character_count, round(avg(w), 4) AS avg_words_per_segment, round(quantile_cont(w, 0.5), 4) AS median_words_per_segment,
+ CAST(quantile_disc(w, 0.9) AS BIGINT) AS p90_words_per_segment, round(avg(length(text)), 4) AS avg_chars_per_segment, round(quantile_cont(length(text), 0.5), 4) AS median_chars_per_segment,
  CAST(max(w) AS BIGINT) AS max_segment_words, count_if(w >= 100) AS long_segment_count, count_if(w >= 200) AS very_long_segment_count, count_if(contains(text, ',')) AS question_segment_count,
  CAST(sum(length(text) - length(replace(text, ',', ''))) AS BIGINT) AS question_mark_count, CAST(sum(length(text) - length(replace(text, '!', ''))) AS BIGINT) AS exclamation_mark_count,
  CAST(max(turn) * 30 + 30 AS DOUBLE) AS duration_seconds, count_if(speaker = 'Justice') AS justice_segments, count_if(speaker = 'Counsel') AS counsel_segments FROM seg GROUP BY case_number),
