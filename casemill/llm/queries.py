@@ -124,5 +124,22 @@ FROM words LEFT JOIN kept USING (doc_id)
 """
 
 
+JACCARD_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+both_sets AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_sets JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, r) AS (SELECT DISTINCT a, a FROM edges UNION SELECT e.a, reach.r FROM edges e JOIN reach ON e.b = reach.a),
+components AS (SELECT a AS doc_id, min(r) AS r FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(r, doc_id) AS component_id
+FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN components USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_SQL, "op3_decontamination": WINDOW_SQL, "op9_substring_dedup": REPEAT_SQL}
+    return {"op2_line_dedup": LINE_SQL, "op3_decontamination": WINDOW_SQL, "op7_jaccard_join": JACCARD_SQL, "op9_substring_dedup": REPEAT_SQL}
