@@ -49,6 +49,7 @@ class CachedTokenizer:
         self.space = letters[0x20] if space_leads else ""
         self.latin = {chr(c): "".join(letters[b] for b in chr(c).encode()) for c in range(0x250)}
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.mark_ids = {m: [t.id for t in self.merge(m)] for m in _MARKS}
         self.newline = [t.id for t in self.merge(letters[0x0A])] if space_leads else []
         self._clear()
 
@@ -61,19 +62,22 @@ class CachedTokenizer:
     def _word(self, word: str, space: str) -> list[int] | None:
         """Ids of letters and closing marks, straight from the merge model; None for any other piece."""
         core = word.rstrip(_MARKS)
-        if not core.isalpha() or max(core) >= _BEYOND:
+        if not core.isalpha():
             return None
+        marks = word[len(core) :]
         if not self.space_leads:
             core = core.lower()
-            if not core.isalpha():
-                return None
         if not core.isascii():
-            if max(core) >= _BEYOND:
+            if max(core) >= _BEYOND or not core.isalpha():
                 return None
-            core = "".join(map(self.latin.__getitem__, core))
+            core = "".join([self.latin[c] for c in core])
         ids = [t.id for t in self.merge(space + core)]
-        marks = word[len(word.rstrip(_MARKS)) :]
-        return ids + [t.id for t in self.merge(marks)] if marks else ids
+        if marks:
+            if len(marks) == 1:
+                ids += self.mark_ids[marks]
+            else:
+                ids += [t.id for t in self.merge(marks)]
+        return ids
 
     def _encode(self, pieces: list[str]) -> list[list[int]]:
         """Ids of pieces that follow a single space, or start with the newline before them."""
