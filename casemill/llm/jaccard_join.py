@@ -3,9 +3,10 @@
 Jaccard distance d = 1 - J is a metric, and two documents link if d <= eps.  Two unrelated
 texts have d = 1, so a pivot drawn from the whole corpus would put nearly every document on
 the boundary of every region.  The first, coarse regions are therefore the Voronoi cells of
-single-shingle pivots: with shingles ordered by rarity, linked documents share one of
-their ``n - ceil(t n) + 1`` rarest shingles (the boundary copies that the size window
-needs), so every link lies inside some coarse region.  Regions with equal members are one.
+single-shingle pivots: a linked set lacks at most n - ceil(t n) of a set's n shingles, so with
+shingles ordered by rarity two linked sets share l of their n - ceil(t n) + l rarest ones (the
+boundary copies), and every link lies inside some coarse region.  A document whose prefix
+shares fewer than l shingles with others has no link.  Regions with equal members are one.
 
 Inside each region, and exactly:
 
@@ -85,9 +86,17 @@ def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     )
 
 
+def least_shared(n: int) -> int:
+    """How many tokens of their prefixes two linked sets of ``n`` shingles are to share."""
+    return min(max(n // 8, 1), 16)
+
+
 def prefix_length(n: int, percent: int) -> int:
-    """Of ``n`` shingles in a common order, so many first ones: linked sets share one of them."""
-    return n - (percent * n + 99) // 100 + 1
+    """Of ``n`` shingles in a common order, so many first ones: linked sets share ``least_shared`` of them.
+
+    A linked set lacks at most n - ceil(t n) of the n shingles, wherever they stand.
+    """
+    return min(n, n - (percent * n + 99) // 100 + least_shared(n))
 
 
 def _prefixed(batches: Iterator[pd.DataFrame], size: int, percent: int, rarity) -> Iterator[pd.DataFrame]:
@@ -226,6 +235,16 @@ def jaccard_components(
     members = prefixes.join(C.bounded_broadcast(shared, broadcast_rows), "token").distinct()
     members = scratch.table(members, "token-members")
     scratch.drop(prefixes, shared)
+    # a linked class shares at least as many tokens as the smaller of the two sets must; chance hits seldom do
+    smaller = F.floor((percent * F.col("n") + 99) / 100)
+    needed = F.least(F.greatest(F.floor(smaller / 8), F.lit(1)), F.lit(16))
+    for _ in range(2):
+        enough = members.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= needed).select("cls")
+        left = members.join(enough, "cls")
+        several = left.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token")
+        kept = scratch.table(left.join(several, "token"), "token-members")
+        scratch.drop(members)
+        members = kept
     # tokens with equal members are one region
     alike = members.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("x"))
     regions = alike.groupBy("c", "s", "x").agg(F.min("token").alias("token")).select("token")
