@@ -6,14 +6,15 @@ the boundary of every region.  The first, coarse regions are therefore the Voron
 single-shingle pivots: a linked set lacks at most n - ceil(t n) of a set's n shingles, so with
 shingles ordered by rarity two linked sets share l of their n - ceil(t n) + l rarest ones (the
 boundary copies), and every link lies inside some coarse region.  A document whose prefix
-shares fewer than l shingles with others has no link.  Regions with equal members are one.
+shares fewer than l shingles with others has no link.
 
-Inside each region, and exactly:
+Inside the regions (documents that share such shingles, directly or through others), exactly:
 
-* Pivot documents are taken from the region and the distance of every member to them is
-  computed.  Members go to the Voronoi cell of their nearest pivot and, by the triangle
-  inequality, a copy goes to each cell with d(x, p) <= d(x, nearest) + 2 eps; the cells are
-  joined in the same way, recursively, while that makes them smaller.
+* Pivot documents are taken from the region, as many as its size asks for, and the distance of
+  every member to them is computed.  By the triangle inequality a linked pair is together in a
+  Voronoi cell if members go to every cell with d(x, p) <= d(x, nearest) + 2 eps; those farther
+  than ``FAR`` from all pivots also go to a cell of their own.  The cells are joined in the same
+  way, recursively, while that makes them smaller.
 * Where it no longer does, all unsettled members of a region are compared with more and more
   of its members as pivots (four times as many in each round).  Only pairs whose components
   still differ, whose sizes admit the threshold and with |d(x,p) - d(y,p)| <= eps for the
@@ -39,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -47,6 +48,8 @@ from . import common as C
 from .components import connected_components
 
 SLICE = 1 << 16
+#: Beyond this distance from every pivot a member goes to the cell of far ones.
+FAR = 0.5
 
 
 def _document_set(text: object, size: int) -> np.ndarray:
@@ -168,7 +171,7 @@ class _Join:
         return rows.join(many, "region")
 
     @staticmethod
-    def pivots(members: DataFrame, k: int, *order) -> DataFrame:
+    def pivots(members: DataFrame, k: int | Column, *order) -> DataFrame:
         """The first ``k`` members of each region, picked in salted parts first."""
         salted = W.partitionBy("region", F.pmod(F.xxhash64("cls"), F.lit(32))).orderBy(*order, "cls")
         whole = W.partitionBy("region").orderBy(*order, "cls")
@@ -183,8 +186,11 @@ def _pair(x: str, y: str):
 def _voronoi(join: _Join, members: DataFrame, k: int, leaf: int) -> tuple[DataFrame, DataFrame | None]:
     """One level: distances to ``k`` pivots a region.  Returns the members that stay (with their
     distances as windows, pivots taken out) and the members of cells to be joined recursively."""
-    pivots = join.pivots(members, k, F.desc("degree")).select("region", F.col("cls").alias("pivot"))
-    pivots = join.scratch.table(pivots, "pivots")
+    count = members.groupBy("region").agg(F.count(F.lit(1)).alias("all"))
+    sized = members.join(count, "region").withColumn("k", F.least(F.greatest(F.ceil(F.col("all") / 32), F.lit(1)), F.lit(k)))
+    # half of them central, half of them anywhere
+    pivots = join.pivots(sized, F.col("k"), F.desc("degree")).union(join.pivots(sized, F.col("k"), F.xxhash64("cls", F.lit(11))))
+    pivots = join.scratch.table(pivots.select("region", F.col("cls").alias("pivot")).distinct(), "pivots")
     to_pivot = members.join(pivots, "region").where("cls <> pivot")
     found = join.distances(to_pivot.select(*_pair("cls", "pivot")))
     measured = to_pivot.select("*", *_pair("cls", "pivot")).join(found.select("a", "b", "d"), ["a", "b"]).drop("a", "b")
@@ -192,8 +198,10 @@ def _voronoi(join: _Join, members: DataFrame, k: int, leaf: int) -> tuple[DataFr
     per_member = measured.groupBy("region", "cls").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "d"))).alias("windows"), F.min(F.struct("d", "pivot")).alias("near"))
     rest = members.join(pivots.withColumnRenamed("pivot", "cls"), ["region", "cls"], "left_anti")
     rest = rest.drop("windows").join(per_member, ["region", "cls"])
-    # cells: the nearest pivot's, and every other one within the window
-    cells = rest.select("*", F.explode("windows").alias("pivot", "d")).where(F.col("d") <= F.col("near.d") + 2 * join.eps + 1e-9)
+    # cells: the nearest pivot's, every other one within the window, and one for what is far from all pivots
+    far = F.when(F.col("near.d") > FAR, F.map_from_arrays(F.array(F.lit(0).cast("long")), F.array(F.lit(-1.0))))
+    cells = rest.select("*", F.explode(F.map_concat("windows", F.coalesce(far, F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<double>"))))).alias("pivot", "d"))
+    cells = cells.where(F.col("d") <= F.least(F.col("near.d") + 2 * join.eps, F.lit(FAR + join.eps)) + 1e-9)
     sizes = cells.groupBy("region", "pivot").agg(F.count(F.lit(1)).alias("size")).groupBy("region").agg(F.max("size").alias("largest"), F.sum("size").alias("copies"))
     whole = rest.groupBy("region").agg(F.count(F.lit(1)).alias("all"))
     smaller = whole.join(sizes, "region").where((F.col("all") > leaf) & (F.col("largest") <= F.col("all") / 2) & (F.col("copies") <= 1.5 * F.col("all")))
@@ -207,7 +215,7 @@ def _voronoi(join: _Join, members: DataFrame, k: int, leaf: int) -> tuple[DataFr
 
 def jaccard_components(
     docs: DataFrame, shingle: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text",
-    buckets: int = 1 << 22, pivots: int = 2, leaf: int = 64, broadcast_rows: int = 1_000_000,
+    buckets: int = 1 << 22, pivots: int = 32, leaf: int = 64, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """Per row of ``docs``: id, ``n_shingles`` and ``component_id``, the smallest id reachable by
     links (100 * intersection >= ``percent`` * union of the shingle sets)."""
@@ -245,12 +253,13 @@ def jaccard_components(
         kept = scratch.table(left.join(several, "token"), "token-members")
         scratch.drop(members)
         members = kept
-    # tokens with equal members are one region
-    alike = members.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("x"))
-    regions = alike.groupBy("c", "s", "x").agg(F.min("token").alias("token")).select("token")
-    members = members.join(regions, "token").withColumnRenamed("token", "region")
-    degree = members.groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
-    members = scratch.table(members.join(degree, "cls").select("region", "cls", "n", "degree"), "members")
+    # documents that share tokens, directly or through others, are one region, so each is in one region only
+    degree = members.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("degree"))
+    least = members.groupBy("token").agg(F.min("cls").alias("lo"))
+    edges = members.join(least, "token").where("cls <> lo").select(F.col("cls").alias("a"), F.col("lo").alias("b")).distinct()
+    regions = connected_components(edges, scratch).select(F.col("node").alias("cls"), F.col("component").alias("region"))
+    tokens, members = members, scratch.table(degree.join(regions, "cls").select("region", "cls", "n", "degree"), "members")
+    scratch.drop(tokens)
 
     wanted = members.select("cls").distinct().join(rows.where("cls is not null and doc is not null").groupBy("cls").agg(F.min("doc").alias("doc")), "cls")
     wanted = scratch.table(wanted.select("doc").distinct(), "wanted-documents")
@@ -270,12 +279,11 @@ def jaccard_components(
         stay, cells = _voronoi(join, cells, pivots, leaf)
         unsettled = stay if unsettled is None else unsettled.unionByName(stay)
     join.relabel()
-    k = pivots
+    k = leaf
     while True:
         unsettled = scratch.table(join.labelled(unsettled), "unsettled")
         if unsettled.isEmpty():
             break
-        k *= 4
         sizes = unsettled.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("held"))
         chosen = scratch.table(join.pivots(unsettled.join(sizes, ["region", "comp"]), k, "held", F.desc("degree")).drop("held"), "pivots")
         other = chosen.select("region", F.col("cls").alias("pivot"), F.col("comp").alias("p_comp"), F.col("n").alias("p_n"), F.col("windows").alias("p_windows"))
@@ -284,6 +292,7 @@ def jaccard_components(
         near = F.forall(F.map_keys("windows"), lambda p: F.coalesce(F.abs(F.col("windows")[p] - F.col("p_windows")[p]) <= join.eps + 1e-9, F.lit(True)))
         found = join.distances(pairs.where(near).select(*_pair("cls", "pivot")))
         unsettled = unsettled.join(chosen.select("region", "cls"), ["region", "cls"], "left_anti")
+        k *= 4
         if not found.where("link").isEmpty():
             join.relabel()
 
@@ -300,5 +309,6 @@ def jaccard_components(
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document, the one of smallest id, of each component (and of repeated ids); rows without id stay."""
     parts = jaccard_components(docs, key=key, text=text, **options)
-    later = parts.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_later")).distinct()
-    return docs.join(later, F.col(key) == F.col("_later"), "left_anti")
+    name = C.fresh(docs, "_later")
+    later = parts.where(F.col(key) != F.col("component_id")).select(F.col(key).alias(name)).distinct()
+    return docs.join(later, F.col(key) == F.col(name), "left_anti")
