@@ -2,15 +2,24 @@
 
 1. Documents are tokenized where they are read; every full window of a long document is a
    sequence of its own, and what remains (fewer ids than a window) goes on.
-2. Remainders are dealt by a hash of id and text into shards of about ``shard_documents``;
-   the number of shards grows with the data, so a shard's inverted index stays small and no
-   source or group of copies gathers in one.
-3. In a shard the longest unused remainder is the seed.  Its rarest terms query the shard's
+2. Term frequencies and the mean length are counted over all remainders (one row per term of
+   the vocabulary), so a score means the same in every shard.
+3. Remainders are sorted by their heaviest shared terms, then by a hash of id and text, and cut
+   into shards of about ``shard_documents``: copies and documents on one subject lie together,
+   and a term of many documents is parted by the next terms.
+4. In a shard the longest unused remainder is the seed.  Its rarest terms query the shard's
    BM25 index, and unused neighbours that fit are taken in order of score; when none fits
    any more, the best one is cut to fill the window and its rest stays unused.
-4. A shard's last, short window is cut into parts whose lengths are powers of two, which need
+5. There is a round for each of ``SHARES``.  A window is closed only if neighbours of at least
+   that share of the seed's own score fill it; what stays is dealt anew by its next terms, so
+   it meets other documents.  The last round takes any neighbour and closes every window.
+6. A shard's last, short window is cut into parts whose lengths are powers of two, which need
    no padding.
 
+A seed sees the documents of one shard a round, chosen by content, and not the whole corpus:
+the exact BM25 neighbours of all documents would need the postings of every query term for
+every seed, which is quadratic.
+
 Defined cases: null and empty texts have only the end id.  Rows that repeat an id are packed
 each on its own.  An empty table gives no pieces.  Extra columns are ignored.
 """
@@ -19,6 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,6 +43,10 @@ from .tokens import tokenizer
 K1, B = 1.2, 0.75
 #: Terms of a seed that query the index: those with the largest weights.
 QUERY_TERMS = 24
+#: Least score of a neighbour, as a share of the seed's own, in each round; the last takes any.
+SHARES = (0.5, 0.35, None)
+#: Terms that a remainder is sorted by.
+KEYS = ("k0", "k1", "k2")
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -40,24 +54,44 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all remainders: their number, mean length and, by term, the number that hold it."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+
+def postings(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term, text and count of every distinct pair, by term."""
+    n = len(texts)
+    flat = np.concatenate(texts).astype(np.int64)
+    owner = np.repeat(np.arange(n), [len(t) for t in texts])
+    pair, tf = np.unique(flat * n + owner, return_counts=True)
+    return pair // n, pair % n, tf
+
+
 class Bm25Shard:
-    """Inverted index of one shard: postings (document, weight) by term."""
+    """Inverted index of one shard: postings (document, weight) by term.
+
+    Weights are those of ``whole``, of the shard's own texts without it.
+    """
 
-    def __init__(self, texts: list[np.ndarray]):
+    def __init__(self, texts: list[np.ndarray], whole: Statistics | None = None):
         n = len(texts)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        flat = np.concatenate(texts).astype(np.int64)
-        owner = np.repeat(np.arange(n), sizes)
-        pair, tf = np.unique(flat * n + owner, return_counts=True)
-        term, self.doc = pair // n, pair % n
-        self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
+        term, self.doc, tf = postings(texts)
+        self.terms, first, held = np.unique(term, return_index=True, return_counts=True)
         self.bounds = np.append(first, len(term))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))
-        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
+        total, mean = (whole.n, whole.mean) if whole else (n, sizes.mean())
+        self.df = whole.df[self.terms] if whole else held
+        idf = np.log1p((total - self.df + 0.5) / (self.df + 0.5))
+        norm = K1 * (1 - B + B * sizes / max(1.0, mean))
+        self.weight = np.repeat(idf, held) * tf * (K1 + 1) / (tf + norm[self.doc])
         self.n = n
         # each document's query: its heaviest terms
-        number = np.repeat(np.arange(len(self.terms)), df)
+        number = np.repeat(np.arange(len(self.terms)), held)
         order = np.lexsort((-self.weight, self.doc))
         begin = np.searchsorted(self.doc[order], np.arange(n + 1))
         self.query = [number[order[begin[i] : min(begin[i] + QUERY_TERMS, begin[i + 1])]] for i in range(n)]
@@ -70,10 +104,23 @@ class Bm25Shard:
         found = found[np.argsort(-score[found], kind="stable")]
         return found, score[found]
 
+    def keys(self, turn: int, least_df: int) -> np.ndarray:
+        """Each document's terms to be sorted by in round ``turn``: its heaviest that ``least_df`` documents hold."""
+        out = np.full((self.n, len(KEYS)), -1, dtype=np.int32)
+        for i, q in enumerate(self.query):
+            shared = self.terms[q[self.df[q] >= least_df]]
+            if len(shared):
+                out[i] = shared[(turn + np.arange(len(KEYS))) % len(shared)]
+        return out
+
 
-def pack_shard(texts: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (document, from, to) that use every id of every text once."""
-    index = Bm25Shard(texts)
+def pack_shard(texts: list[np.ndarray], window: int, index: Bm25Shard | None = None, share: float | None = None) -> list[list[tuple[int, int, int]]]:
+    """Sequences of (document, from, to) that use every id of every text once.
+
+    With ``share`` only the windows that neighbours of at least this share of the seed's own
+    score fill; the rest of each text stays unused.
+    """
+    index = index or Bm25Shard(texts)
     used = np.zeros(len(texts), dtype=np.int64)  # ids of each text that are placed
     left = np.array([len(t) for t in texts], dtype=np.int64)
     by_size = np.argsort(-left, kind="stable")
@@ -90,10 +137,15 @@ def pack_shard(texts: list[np.ndarray], window: int) -> list[list[tuple[int, int
             continue
         sequence: list[tuple[int, int, int]] = []
         gap = window - int(left[seed])
+        if gap:
+            found, score = index.neighbours(seed)
+            if share is not None:
+                found = found[score >= share * score[found == seed]]
+            found = found[(left[found] > 0) & (found != seed)]
+            if share is not None and left[found].sum() < gap:
+                continue
         take(sequence, seed, int(left[seed]))
         if gap:
-            found, _ = index.neighbours(seed)
-            found = found[left[found] > 0]
             for doc in found[left[found] <= gap].tolist():
                 size = int(left[doc])
                 if size <= gap:
@@ -113,6 +165,8 @@ def pack_shard(texts: list[np.ndarray], window: int) -> list[list[tuple[int, int
                     if not gap:
                         break
         out.append(sequence)
+    if share is not None:
+        return out
     # what was cut and not used again
     tail = [d for d in dict.fromkeys(spare) if left[d]]
     sequence, gap = [], window
@@ -146,6 +200,27 @@ def powers_of_two(sequence: list[tuple[int, int, int]], window: int) -> list[lis
     return out
 
 
+def statistics(rest: DataFrame, wide: np.dtype) -> Statistics:
+    """Statistics of the remainders; to the driver come at most as many rows as there are terms."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                term, _, _ = postings([np.frombuffer(x, dtype=wide) for x in batch.column("ids").to_pylist()])
+                more = np.bincount(term, minlength=len(df))
+                more[: len(df)] += df
+                df = more
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(df[held])], names=["term", "df"])
+
+    rows = rest.select("ids").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    df = np.zeros(int(rows["term"].max()) + 1 if len(rows) else 0, dtype=np.int64)
+    df[rows["term"]] = rows["df"]
+    n, mean = rest.agg(F.count(F.lit(1)), F.avg("length")).first()
+    return Statistics(n, mean or 0.0, df)
+
+
 def pack(
     docs: DataFrame, path: str, space_leads: bool = True, end_id: int = 0, window: int = 1024,
     key: str = "doc_id", text: str = "text", shard_documents: int = 2000, with_ids: bool = True,
@@ -185,22 +260,58 @@ def pack(
     pieces = scratch.table(pieces, "pieces", "open")
     full = pieces.where("not open").select("doc", *[c.split()[0] for c in PIECE.split(", ")])
     rest = pieces.where("open")
-    n_shards = max(1, -(-rest.count() // shard_documents))
-
-    def fill(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc", "mark", "start"], kind="stable").reset_index(drop=True)
-        texts = [np.frombuffer(x, dtype=wide) for x in pdf["ids"]]
-        docs_, starts, totals = pdf["doc"].tolist(), pdf["start"].tolist(), pdf["doc_tokens"].tolist()
-        out = []
-        for k, s in enumerate(pack_shard(texts, window)):
-            number, offset = (1 << 62) + (int(group[0]) << 24) + k, 0
-            for d, a, b in s:
-                piece = texts[d][a:b]
-                out.append((docs_[d], starts[d] + a, b - a, crc(piece), totals[d], number, offset, piece.astype("<u4").tobytes() if with_ids else None))
-                offset += b - a
-        return pd.DataFrame(out, columns=["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
-
-    dealt = rest.select("doc", "mark", "start", "doc_tokens", "ids", F.pmod("mark", F.lit(n_shards)).alias("shard"))
-    filled = dealt.groupBy("shard").applyInPandas(fill, f"doc {kind}, {PIECE}")
-    out = full.unionByName(filled).withColumnRenamed("doc", key)
+    sent = spark.sparkContext.broadcast(statistics(rest, wide))
+    least_df = max(2, shard_documents // 16)
+    sort_by = ", ".join(f"{k} int" for k in KEYS)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = Bm25Shard([np.frombuffer(x, dtype=wide) for x in batch.column("ids").to_pylist()], sent.value).keys(0, least_df)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(k) for k in keys.T)], names=[*batch.schema.names, *KEYS])
+
+    def filler(turn: int, share: float | None):
+        def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shard = [b for b in batches if len(b)]  # about shard_documents rows
+            if not shard:
+                return
+            pdf = pd.concat(shard).sort_values(["doc", "mark", "start"], kind="stable").reset_index(drop=True)
+            texts = [np.frombuffer(x, dtype=wide) for x in pdf["ids"]]
+            docs_, marks, starts, totals = (pdf[c].tolist() for c in ("doc", "mark", "start", "doc_tokens"))
+            index = Bm25Shard(texts, sent.value)
+            used, out = [0] * len(texts), []
+            number = (1 << 62) + (turn << 58) + (TaskContext.get().partitionId() << 24)
+            for k, s in enumerate(pack_shard(texts, window, index, share)):
+                offset = 0
+                for d, a, b in s:
+                    piece = texts[d][a:b]
+                    out.append((docs_[d], marks[d], False, starts[d] + a, b - a, crc(piece), totals[d], number + k, offset, piece.astype("<u4").tobytes() if with_ids else None, *[None] * len(KEYS)))
+                    offset += b - a
+                    used[d] = b
+            if share is not None:
+                keys = index.keys(turn + 1, least_df).tolist()
+                out += [
+                    (docs_[d], marks[d], True, starts[d] + a, len(texts[d]) - a, None, totals[d], None, None, texts[d][a:].tobytes(), *keys[d])
+                    for d, a in enumerate(used) if a < len(texts[d])
+                ]
+            names = ["doc", "mark", "open", *columns, *KEYS]
+            whole = {c: "Int64" for c in ("ids_crc32", "sequence_id", "offset")} | {k: "Int32" for k in KEYS}
+            yield pd.DataFrame({c: pd.Series(v, dtype=whole.get(c)) for c, v in zip(names, zip(*out, strict=True), strict=True)})
+
+        return fill
+
+    columns = [c.split()[0] for c in PIECE.split(", ")]
+    needed = ("doc", "mark", "start", "doc_tokens", "ids")
+    types = dict(rest.dtypes)
+    remaining = rest.select(*needed).mapInArrow(keyed, ", ".join(f"{c} {types[c]}" for c in needed) + f", {sort_by}")
+    out, n = full, sent.value.n
+    for turn, share in enumerate(SHARES):
+        dealt = remaining.repartitionByRange(max(1, -(-n // shard_documents)), *KEYS, "mark")
+        filled = dealt.mapInPandas(filler(turn, share), f"doc {kind}, mark long, open boolean, {PIECE}, {sort_by}")
+        if share is not None:
+            filled = scratch.table(filled, f"round-{turn}", "open")
+            remaining = filled.where("open").select(*needed, *KEYS)
+            n = remaining.count()
+        out = out.unionByName(filled.where("not open").select("doc", *columns))
+    out = out.withColumnRenamed("doc", key)
     return out if with_ids else out.drop("ids")

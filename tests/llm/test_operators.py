@@ -299,6 +299,23 @@ def test_neighbours_come_first():
     assert same >= 5
 
 
+def test_copies_share_windows_whatever_their_shard(spark):
+    """Copies with far ids: of many shards each sees its own documents, so copies must be dealt together."""
+    rng = random.Random(11)
+    texts = [" ".join(f"{rng.choice('bcdfgklmnprst')}{rng.choice('aeiou')}{rng.choice('bcdfgklmnprst')}{rng.randrange(50)}" for _ in range(60)) for _ in range(60)]
+    rows = [(copy * 1000 + i, t) for copy in range(4) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = packing.pack(df, tokenizer_path("byte_bpe_50k.json"), window=256, shard_documents=24, with_ids=False).collect()
+    windows = defaultdict(set)
+    for r in got:
+        windows[r["sequence_id"]].add(r["doc_id"])
+    beside = {d: False for d, _ in rows}
+    for w in windows.values():
+        for d in w:
+            beside[d] |= any(d != e and d % 1000 == e % 1000 for e in w)
+    assert sum(beside.values()) > 0.7 * len(beside)
+
+
 # 6 licences
 
 
