@@ -10,9 +10,10 @@
 4. A prediction is confirmed if the paragraph shares enough word pairs with a template of the
    family; one that is not is reported as unknown.
 
-Paragraphs are the parts of a text between newlines.  Every template has an anchor word, and
-a paragraph without any anchor is unknown by definition; that is the test that every
-whole text passes first, and only the other paragraphs are classified and reported.
+Paragraphs are the parts of a text between newlines.  Those with an anchor word are classified
+and reported, whatever the outcome.  Of the others those that share enough word pairs with the
+templates to be confirmed at all are classified (``confirmable``, a bound that loses no
+confirmed one), and those that are found to be of a family are reported.
 
 Defined cases: null and empty texts have no paragraphs to report.  Repeated rows each report
 theirs.  A very long paragraph is one paragraph.  An empty table gives an empty result.  Extra
@@ -21,6 +22,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -141,25 +144,49 @@ def templates(spark: SparkSession) -> DataFrame:
     return literal_rows(spark, rows, ("family", "template")).withColumn("w", words(F.col("template"))).withColumn("pairs", F.array_distinct(grams("w", 2))).drop("w")
 
 
+def confirmable(text: Column, similar: float) -> Column:
+    """Whether a paragraph can be as ``similar`` to a template as is asked.
+
+    The pairs it shares with one template are at most those it shares with all together, and
+    must be ``similar`` times the smaller number of pairs, which the shortest template bounds.
+    """
+    if similar <= 0:
+        return F.lit(True)
+    known = [re.findall("[a-z0-9]+", t.lower()) for texts in TEMPLATES.values() for t in texts]
+    pairs = [{f"{x} {y}" for x, y in zip(t, t[1:], strict=False)} for t in known]
+    every, shortest = sorted(set().union(*pairs)), min(map(len, pairs))
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  # evaluates value a single time
+
+    def enough(p: Column) -> Column:
+        held = F.size(F.array_distinct(F.filter(p, lambda x: x.isin(every))))
+        return (held > 0) & (held >= similar * F.least(F.size(F.array_distinct(p)) - 1, F.lit(shortest)) - 1e-9)  # the last one is null
+
+    def of_words(w: Column) -> Column:
+        return once(F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda x, y: F.concat(x, F.lit(" "), y)), enough)
+
+    return F.coalesce(once(words(text), of_words), F.lit(False))
+
+
 def featured(df: DataFrame, text: str) -> DataFrame:
     rows = df.withColumn("w", words(F.col(text)))
     rows = rows.withColumn("grams", F.concat("w", grams("w", 2), grams("w", 3)))
     return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(rows).drop("grams")
 
 
-def training_paragraphs(docs: DataFrame, text: str, ordinary_rows: int) -> DataFrame:
+def training_paragraphs(docs: DataFrame, text: str, ordinary_rows: int, similar: float) -> DataFrame:
     """``family, paragraph, held``: template windows alone and inside ordinary words, and unknown paragraphs."""
     spark = docs.sparkSession
     plain = docs.select(F.explode(F.split(F.col(text), "\n")).alias("paragraph")).where(F.length(F.trim("paragraph")) > 0)
     plain = plain.where(~has_anchor(F.col("paragraph")) & (F.length("paragraph") < 2000))
     plain = plain.orderBy(F.xxhash64("paragraph"), "paragraph").limit(ordinary_rows)  # a bounded sample of ordinary text
+    plain = plain.where(~confirmable(F.col("paragraph"), similar))
     plain = plain.select(F.lit(UNKNOWN).alias("family"), "paragraph")
     other = literal_rows(spark, [(UNKNOWN, t) for t in OTHER_SENSES], ("family", "paragraph"))
     cut = templates(spark).select("family", F.split("template", " ").alias("t"))
     # leave out up to a quarter of the words at either end
     cut = cut.select("family", "t", F.explode(F.sequence(F.lit(0), F.floor(F.size("t") / 4).cast("int"))).alias("a"))
     cut = cut.select("family", "t", "a", F.explode(F.sequence(F.lit(0), F.floor(F.size("t") / 4).cast("int"))).alias("b"))
-    bare = cut.select("family", F.array_join(F.expr("slice(t, a + 1, size(t) - a - b)"), " ").alias("paragraph")).where(has_anchor(F.col("paragraph"))).distinct()
+    bare = cut.select("family", F.array_join(F.expr("slice(t, a + 1, size(t) - a - b)"), " ").alias("paragraph")).distinct()
     around = literal_rows(spark, [("Notice:", ""), ("Acme tools 1.2,", "See the file for details."), ("Copyright 2021 The Authors.", "Thank you for reading.")], ("before", "after"))
     inside = bare.crossJoin(F.broadcast(around)).select("family", F.concat_ws(" ", "before", "paragraph", "after").alias("paragraph"))  # three fixed frames
     every = plain.unionByName(other).unionByName(bare).unionByName(inside)
@@ -173,11 +200,11 @@ def softmax(raw: Column, temperature: float) -> Column:
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, y: s + y))
 
 
-def train(docs: DataFrame, text: str, ordinary_rows: int, scratch: C.Scratch) -> tuple[LogisticRegressionModel, list[str], float]:
+def train(docs: DataFrame, text: str, ordinary_rows: int, similar: float, scratch: C.Scratch) -> tuple[LogisticRegressionModel, list[str], float]:
     """The model, its classes in order and the temperature."""
     names = [UNKNOWN, *TEMPLATES]
     label = F.element_at(F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, float(i)))), F.col("family")).alias("label")
-    rows = scratch.table(training_paragraphs(docs, text, ordinary_rows), "license-training")
+    rows = scratch.table(training_paragraphs(docs, text, ordinary_rows, similar), "license-training")
     rows = featured(rows, "paragraph").select(label, "features", "held")
     # a few thousand short rows
     fit = LogisticRegression(family="multinomial", regParam=0.0005, elasticNetParam=0.5, maxIter=60, maxBlockSizeInMB=8.0).fit(rows.where("not held").coalesce(1))
@@ -189,17 +216,18 @@ def train(docs: DataFrame, text: str, ordinary_rows: int, scratch: C.Scratch) ->
 
 
 def scan_licenses(docs: DataFrame, least: float = 0.5, similar: float = 0.6, ordinary_rows: int = 2000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per paragraph with an anchor: id, ``paragraph`` number, ``license`` (family or unknown),
+    """One row per paragraph with an anchor or of a family: id, ``paragraph`` number, ``license`` (family or unknown),
     ``predicted``, calibrated ``probability``, ``similarity`` to the closest template of the family and ``confirmed``."""
     spark = docs.sparkSession
     scratch = C.Scratch(spark)
     texts = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
-    model, names, temperature = train(texts, "_text", ordinary_rows, scratch)
-    parts = texts.where(has_anchor(F.col("_text"))).select(key, F.posexplode(F.split("_text", "\n")).alias("paragraph", "_line"))
-    parts = featured(parts.where(has_anchor(F.col("_line"))), "_line")
-    scored = model.transform(parts).select(key, "paragraph", "w", softmax(vector_to_array("rawPrediction"), temperature).alias("p"))
+    model, names, temperature = train(texts, "_text", ordinary_rows, similar, scratch)
+    parts = texts.select(key, F.posexplode(F.split("_text", "\n")).alias("paragraph", "_line"))
+    parts = featured(parts.where(has_anchor(F.col("_line")) | confirmable(F.col("_line"), similar)), "_line")
+    scored = model.transform(parts).select(key, "paragraph", "w", has_anchor(F.col("_line")).alias("anchor"), softmax(vector_to_array("rawPrediction"), temperature).alias("p"))
     classes = F.array(*(F.lit(n) for n in names))
     scored = scored.withColumn("probability", F.array_max("p")).withColumn("predicted", F.element_at(classes, F.array_position("p", F.col("probability")).cast("int")))
+    scored = scored.where(F.col("anchor") | (F.col("predicted") != UNKNOWN))
     scored = scored.withColumn("pairs", F.array_distinct(grams("w", 2))).drop("w", "p")
     known = templates(spark).groupBy("family").agg(F.collect_list("pairs").alias("known"))  # the templates above
     joined = scored.join(F.broadcast(known), F.col("predicted") == F.col("family"), "left")

@@ -330,6 +330,26 @@ def test_licences(spark, empty):
     assert all(any(a in t.lower() for a in license_scan.ANCHORS) for ts in license_scan.TEMPLATES.values() for t in ts)
 
 
+def test_licences_without_an_anchor_word(spark):
+    """Notices that hold none of the anchor words: a near wording, and a line wrapped after its anchor."""
+    notices = {
+        0: ("proprietary", "This document is confidential and proprietary."),
+        1: ("mit", "granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+        2: ("gpl", "under the terms of the General Foundation as published by the Free Software Foundation"),
+        3: (None, "The garden in the back of the house is open to any person."),
+        4: (None, "plain words of the house"),
+    }
+    assert not any(set(t.lower().strip(".").split()) & set(license_scan.ANCHORS) for _, t in notices.values())
+    docs = spark.createDataFrame([(i, f"w1 w2 w3\n{t}", "en", "s", 0) for i, (_, t) in notices.items()], SCHEMA)
+    rows = license_scan.scan_licenses(docs).where("confirmed").collect()
+    got = {r["doc_id"]: r["license"] for r in rows}
+    assert {0, 1} <= got.keys() and not {3, 4} & got.keys()
+    assert all(got[i] == notices[i][0] for i in (0, 1))
+    sure = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(license_scan.confirmable(F.col("line"), 0.6))
+    found = {r["doc_id"] for r in sure.collect()}
+    assert {0, 1, 2} <= found and 4 not in found
+
+
 # 7 Jaccard join
 
 
