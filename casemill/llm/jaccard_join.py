@@ -1,46 +1,51 @@
 """N-gram Jaccard join in a metric space: pivots, Voronoi regions and triangle-inequality windows.
 
-Jaccard distance d = 1 - J is a metric, and two documents link if d <= eps.  Two unrelated
-texts have d = 1, so a pivot drawn from the whole corpus would put nearly every document on
-the boundary of every region.  The first, coarse regions are therefore the Voronoi cells of
-single-shingle pivots: a linked set lacks at most n - ceil(t n) of a set's n shingles, so with
-shingles ordered by rarity two linked sets share l of their n - ceil(t n) + l rarest ones (the
-boundary copies), and every link lies inside some coarse region.  A document whose prefix
-shares fewer than l shingles with others has no link.
-
-Inside the regions (documents that share such shingles, directly or through others), exactly:
-
-* Pivot documents are taken from the region, as many as its size asks for, and the distance of
-  every member to them is computed.  By the triangle inequality a linked pair is together in a
-  Voronoi cell if members go to every cell with d(x, p) <= d(x, nearest) + 2 eps; those farther
-  than ``FAR`` from all pivots also go to a cell of their own.  The cells are joined in the same
-  way, recursively, while that makes them smaller.
-* Where it no longer does, all unsettled members of a region are compared with more and more
-  of its members as pivots (four times as many in each round).  Only pairs whose components
-  still differ, whose sizes admit the threshold and with |d(x,p) - d(y,p)| <= eps for the
-  region's earlier pivots are computed.
-* A region is settled when all its members are in one component or have been pivots.
-
-Components need no pairs inside a component, so a group of thousands of near copies costs
-about as many distances as it has members.  Rarity is the count of documents in one of
-2^k hash buckets, summed over all documents; any order gives the same result, so buckets
-that share shingles cost time only.  Shingles are 64-bit and classes of equal sets 128-bit
-fingerprints shortened to 64 bits.
-
-Defined cases: null or empty texts have the empty set and link with nothing.  Fewer words
-than a shingle are one shingle of all words.  Equal sets are one class, whatever its size,
-and take part once.  Repeated ids are one node.  Rows without id join the component of a
-class that has an id, else their component is null.  Extra columns are ignored.
+Jaccard distance d = 1 - J is a metric, and two documents link if d <= eps.  The join goes from
+coarse to fine regions, and every link lies inside a region of each level:
+
+1. *Coarse regions.*  Unrelated texts have d = 1, so a document drawn from the whole corpus as a
+   pivot would put nearly every other one on a boundary.  The pivots of this level are single
+   shingles: a set is equally near to all shingles it holds, and of these boundary copies only
+   the n - ceil(t n) + l rarest are needed, as two linked sets share l of them.  Regions that
+   share a document are merged, so that each set is sent once; a document whose copies meet
+   fewer than l others has no link and is left out.
+2. *Regions that fit a task* (``Region``): the members' distances to pivot documents make Voronoi
+   cells.  A linked pair is together in a cell if members go to every cell with
+   d(x, p) <= d(x, nearest) + 2 eps; with T = ``FAR``, cells also end at T + eps, and members with
+   d > T from all pivots go to a cell of their own.  The cells are joined in the same way,
+   recursively, down to ``FEW`` members, whose pairs are compared.
+3. *Larger regions* take the same step as a Spark job: their members are dealt into salted chunks,
+   the region's pivot sets go to each chunk, and a cell is a region of the next level.  A cell of
+   far ones that still is too large is dealt to its single-shingle regions.
+
+A cell that a step does not make smaller is settled by pivots: members of the smallest components
+are compared with all members of other components whose size and pivot distances admit a link
+(in a Spark job, chunk by chunk and in blocks of pivots), until one component is left or every
+other member has been a pivot.  Components need no pairs inside a component, so a group of
+thousands of near copies costs about as many distances as it has members.
+
+Rarity is the count of documents in one of 2^k hash buckets, summed over all documents.  Any order
+gives the same result; at n shingles a bucket the noise is about sqrt(n), above which the common
+shingles, the only ones that matter, stand out.  Shingles are 64-bit fingerprints, classes of equal
+sets are named by 64 bits of a 128-bit one.
+
+Defined cases: null or empty texts have the empty set and link with nothing.  Fewer words than a
+shingle are one shingle of all words.  Equal sets are one class, whatever its size, and take part
+once; so repeated rows cost nothing.  Repeated ids are one node.  Rows without id join the
+component of a class that has an id, else their component is null.  Very long texts are one set.
+Ties in distance or rarity go to the smaller fingerprint.  An empty table gives an empty result.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -50,6 +55,10 @@ from .components import connected_components
 SLICE = 1 << 16
 #: Beyond this distance from every pivot a member goes to the cell of far ones.
 FAR = 0.5
+#: Members of a cell whose pairs are compared one by one.
+FEW = 4
+#: Pivots of one Voronoi step inside a task (the square root of the members, if more), and in a Spark job.
+PIVOTS, JOB_PIVOTS = 8, 32
 
 
 def _document_set(text: object, size: int) -> np.ndarray:
@@ -63,19 +72,19 @@ def _class_id(shingles: np.ndarray) -> int:
 def _profiled(batches: Iterator[pd.DataFrame], size: int, buckets: int) -> Iterator[pd.DataFrame]:
     """Set size and class of every document (kind 0), then the task's bucket counts in slices (kind 1)."""
     counts = np.zeros(buckets, dtype=np.uint32)
-    columns = ["kind", "doc", "n", "cls", "slice", "counts"]
+    columns = ["kind", "doc", "fp", "n", "cls", "slice", "counts"]
     for pdf in batches:
         rows = []
-        for doc, text in zip(pdf["doc"], pdf["text"], strict=True):
+        for doc, fp, text in zip(pdf["doc"], pdf["fp"], pdf["text"], strict=True):
             s = _document_set(text, size)
             if len(s):
                 np.add.at(counts, (s & np.uint64(buckets - 1)).astype(np.int64), 1)
-            rows.append((0, doc, len(s), _class_id(s) if len(s) else None, None, None))
+            rows.append((0, doc, fp, len(s), _class_id(s) if len(s) else None, None, None))
         yield pd.DataFrame(rows, columns=columns, dtype=object)
     for i in range(0, buckets, SLICE):
         part = counts[i : i + SLICE]
         if part.any():
-            yield pd.DataFrame([(1, None, None, None, i // SLICE, zlib.compress(part.tobytes(), 1))], columns=columns, dtype=object)
+            yield pd.DataFrame([(1, None, None, None, None, i // SLICE, zlib.compress(part.tobytes(), 1))], columns=columns, dtype=object)
 
 
 def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,112 +129,329 @@ def _prefixed(batches: Iterator[pd.DataFrame], size: int, percent: int, rarity)
             rare = s[np.argsort(counts[(s & mask).astype(np.int64)], kind="stable")[:k]]
             tokens.append(rare.view(np.int64))
             classes.append(np.full(k, cls, dtype=np.int64))
-            sizes.append(np.full(k, len(s), dtype=np.int64))
+            sizes.append(np.full(k, len(s), dtype=np.int32))
         if tokens:
             yield pd.DataFrame({"token": np.concatenate(tokens), "cls": np.concatenate(classes), "n": np.concatenate(sizes)})
 
 
-def _distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        both = [
-            len(np.intersect1d(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64), assume_unique=True))
-            for a, b in zip(pdf.pop("set_a"), pdf.pop("set_b"), strict=True)
-        ]
-        yield pdf.assign(both=both)
+# One region in one task ------------------------------------------------------------------
+
+
+class Region:
+    """The sets of one region, the components found so far and what was done (``counts``)."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int, pivots: int = PIVOTS, few: int = FEW):
+        self.percent, self.eps, self.pivots, self.few = percent, 1 - percent / 100, pivots, few
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum(self.sizes)])
+        universe, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(universe), dtype=bool)
+        self.root = np.arange(len(sets))
+        self.counts: Counter[str] = Counter()
+
+    def overlaps(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Shingles that ``one`` shares with each of the others."""
+        self.counts["distances"] += len(others)
+        own = self.flat[self.bounds[one] : self.bounds[one + 1]]
+        self.mark[own] = True
+        sizes = self.sizes[others]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(self.bounds[others] - (ends - sizes), sizes)
+        both = np.add.reduceat(self.mark[self.flat[at]], ends - sizes, dtype=np.int64)
+        self.mark[own] = False
+        return both
+
+    def compare(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Distances of one member to others; links join their components."""
+        both = self.overlaps(one, others)
+        union = self.sizes[one] + self.sizes[others] - both
+        hit = np.unique(self.root[others[100 * both >= self.percent * union]])
+        if len(hit):
+            self.root[np.isin(self.root, hit)] = self.root[one]
+        return 1 - both / union
+
+    def admitted(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Those of another component whose size admits a link."""
+        a, b = self.sizes[one], self.sizes[others]
+        return others[(self.root[others] != self.root[one]) & (100 * np.minimum(a, b) >= self.percent * np.maximum(a, b))]
+
+    def settled(self, cell: np.ndarray) -> bool:
+        return len(cell) < 2 or bool((self.root[cell] == self.root[cell[0]]).all())
+
+    def join(self, cell: np.ndarray) -> None:
+        """All links between the members of a cell, as far as they join components."""
+        work = [cell]
+        while work:
+            cell = work.pop()
+            if self.settled(cell):
+                continue
+            if len(cell) <= self.few:
+                for i, one in enumerate(cell[:-1].tolist()):
+                    others = self.admitted(one, cell[i + 1 :])
+                    if len(others):
+                        self.compare(one, others)
+                continue
+            self.counts["voronoi"] += 1
+            chosen, distance = self.spread(cell)
+            rest = np.setdiff1d(np.arange(len(cell)), chosen, assume_unique=True)
+            cell, distance = cell[rest], distance[:, rest]
+            if self.settled(cell):
+                continue
+            near = distance.min(axis=0)
+            window = np.minimum(near + 2 * self.eps, FAR + self.eps) + 1e-9
+            cells = [np.flatnonzero(d <= window) for d in distance] + [np.flatnonzero(near > FAR)]
+            cells = [c for c in cells if len(c) > 1]
+            copies = sum(map(len, cells))
+            if sum(len(c) ** 2 for c in cells) <= 0.9 * len(cell) ** 2 and copies <= 2 * len(cell):
+                self.counts["cells"] += len(cells)
+                self.counts["copies"] += max(0, copies - len(np.unique(np.concatenate(cells)))) if cells else 0
+                work += [cell[c] for c in cells]
+            else:
+                self.exhaust(cell, distance)
+
+    def spread(self, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of pivots, each far from those before it, and every member's distances to them."""
+        chosen, rows = [0], [self.compare(int(cell[0]), cell)]
+        for _ in range(min(max(self.pivots, int(len(cell) ** 0.5)), len(cell) // 2) - 1):
+            near = np.minimum.reduce(rows)
+            far = int(np.argmax(near))
+            if near[far] <= self.eps:
+                break
+            chosen.append(far)
+            rows.append(self.compare(int(cell[far]), cell))
+        return np.array(chosen), np.array(rows)
+
+    def exhaust(self, cell: np.ndarray, distance: np.ndarray) -> None:
+        """Members of the smallest components as pivots, until one component is left."""
+        self.counts["exhausted"] += 1
+        label, size = np.unique(self.root[cell], return_counts=True)
+        held = size[np.searchsorted(label, self.root[cell])]
+        order = np.argsort(held, kind="stable")
+        alive = np.ones(len(cell), dtype=bool)
+        for at in order.tolist():
+            alive[at] = False
+            left = np.flatnonzero(alive)
+            if self.settled(np.append(cell[left], cell[at])):
+                return
+            near = left[(np.abs(distance[:, left] - distance[:, [at]]) <= self.eps + 1e-9).all(axis=0)]
+            others = self.admitted(int(cell[at]), cell[near])
+            if len(others):
+                self.compare(int(cell[at]), others)
+
+
+def _arrays(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=np.uint64) for x in column]
+
+
+def region_links(classes: np.ndarray, sets: list[np.ndarray], percent: int, **options) -> tuple[np.ndarray, np.ndarray, Counter]:
+    """Each class that is linked and the least class of its component in this region."""
+    classes, first = np.unique(classes, return_index=True)
+    if len(classes) < 2:
+        return classes[:0], classes[:0], Counter()
+    region = Region([sets[i] for i in first], percent, **options)
+    region.join(np.arange(len(classes)))
+    _, first, part = np.unique(region.root, return_index=True, return_inverse=True)
+    least = classes[first][part]  # classes ascend, so the first of a component is its least
+    moved = least != classes
+    return classes[moved], least[moved], region.counts
+
+
+# A step of a larger region as a Spark job -------------------------------------------------
+
+
+def _to_pivots(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk's members (left) and then the pivots (right): classes, those of the pivots, distances and links (pivots x both)."""
+    left, right = left.drop_duplicates("cls"), right.drop_duplicates("cls").sort_values("cls")
+    region = Region(_arrays(left["shingles"]) + _arrays(right["shingles"]), percent)
+    n, every = len(left), np.arange(len(left) + len(right))
+    rows, links = [], []
+    for p in range(len(right)):
+        both = region.overlaps(n + p, every)
+        union = region.sizes[n + p] + region.sizes - both
+        rows.append(1 - both / union)
+        links.append(100 * both >= percent * union)
+    return np.concatenate([left["cls"], right["cls"]]), right["cls"].to_numpy(), np.array(rows), np.array(links)
+
+
+def _separate(distance: np.ndarray) -> list[int]:
+    """Of the pivots those that are farther than ``FAR`` from each one taken before."""
+    taken: list[int] = []
+    for p in range(len(distance)):
+        if all(distance[p, q] > FAR for q in taken):
+            taken.append(p)
+    return taken
+
+
+def _celled(percent: int):
+    """Links (``a, b``) of a chunk and the Voronoi cells of each member ``a`` (by pivot; 0 is the far one)."""
+    eps = 1 - percent / 100
+
+    def measure(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame([], columns=["region", "a", "b", "cells"])
+        cls, pivots, distance, links = _to_pivots(left, right, percent)
+        n = len(left["cls"].unique())
+        p, m = np.nonzero(links[:, :n])
+        found = pd.DataFrame({"a": cls[m], "b": pivots[p], "cells": None})
+        taken = _separate(distance[:, n:])
+        rest = np.flatnonzero(~np.isin(cls[:n], pivots))
+        near = distance[taken][:, rest].min(axis=0)
+        inside = np.vstack([near > FAR, distance[taken][:, rest] <= np.minimum(near + 2 * eps, FAR + eps) + 1e-9])
+        names = np.append(0, pivots[taken])
+        cells = pd.DataFrame({"a": cls[rest], "b": pd.Series([None] * len(rest), dtype="Int64"), "cells": [names[x] for x in inside.T]})
+        both = pd.concat([found[found["a"] != found["b"]].astype({"b": "Int64"}), cells], ignore_index=True)
+        return both.assign(region=left["region"].iloc[0])
+
+    return measure
+
+
+def _linked(percent: int):
+    """Links of a chunk's members with a block of pivots of other components."""
+
+    def measure(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame([], columns=["a", "b"])
+        if not len(left) or not len(right):
+            return none
+        left, right = left.drop_duplicates("cls"), right.drop_duplicates("cls")
+        region = Region(_arrays(left["shingles"]) + _arrays(right["shingles"]), percent)
+        region.root = np.concatenate([left["comp"], right["comp"]])
+        cls, pivots, n, rows = left["cls"].to_numpy(), right["cls"].to_numpy(), len(left), []
+        for p in range(len(right)):
+            others = region.admitted(n + p, np.arange(n))
+            if len(others):
+                both = region.overlaps(n + p, others)
+                hit = others[100 * both >= percent * (region.sizes[n + p] + region.sizes[others] - both)]
+                rows.append(pd.DataFrame({"a": cls[hit], "b": pivots[p]}))
+        return pd.concat(rows, ignore_index=True) if rows else none
+
+    return measure
 
 
 class _Join:
-    """State of one join: the stored sets, the links found so far and the components they make."""
-
-    def __init__(self, spark, scratch: C.Scratch, sets: DataFrame, percent: int):
-        self.spark, self.scratch, self.sets, self.percent = spark, scratch, sets, percent
-        self.eps = 1 - percent / 100
-        self.links: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def distances(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, d`` of distinct pairs a < b, stored; links join the links found so far."""
-        first = self.sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a"))
-        second = self.sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b"))
-        rows = pairs.select("a", "b").distinct().join(first, "a").join(second, "b")
-        rows = rows.withColumn("sizes", (F.length("set_a") + F.length("set_b")) / 8).select("a", "b", "sizes", "set_a", "set_b")
-        found = rows.mapInPandas(_distances, "a long, b long, sizes double, both long")
-        union = F.col("sizes") - F.col("both")
-        found = found.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= self.percent * union).alias("link"))
-        found = self.scratch.table(found, "pair-distances")
-        links = found.where("link").select("a", "b")
-        self.links = links if self.links is None else self.links.union(links)
-        return found
-
-    def relabel(self) -> None:
-        old = self.labels
-        self.labels = connected_components(self.links, self.scratch)
-        if old is not None:
-            self.scratch.drop(old)
-
-    def labelled(self, members: DataFrame) -> DataFrame:
-        """Members with their component (own class without links), in regions that are not settled."""
-        rows = members.drop("comp").join(self.labels.withColumnRenamed("node", "cls"), "cls", "left")
-        rows = rows.withColumn("comp", F.coalesce("component", "cls")).drop("component")
-        many = rows.groupBy("region").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("region")
-        return rows.join(many, "region")
+    """The Spark jobs of one join: regions that fit a task, Voronoi steps and rounds of pivots.
+
+    ``sets`` (cls, shingles) and ``tokens`` (cls, token) are stored; members are (region, cls, n, fine).
+    """
+
+    def __init__(self, scratch: C.Scratch, percent: int, leaf: int, sets: DataFrame, tokens: DataFrame):
+        self.scratch, self.percent, self.leaf, self.sets, self.tokens = scratch, percent, leaf, sets, tokens
+        self.links: list[DataFrame] = []
+        self.steps: Counter[str] = Counter()
+
+    def with_sets(self, members: DataFrame) -> DataFrame:
+        """With the shingles, under fresh attributes: two of these may meet in one job."""
+        both = self.sets.join(members, "cls")
+        return both.toDF(*both.columns)
+
+    def small(self, members: DataFrame) -> None:
+        """Regions that fit a task, each in one."""
+        percent = self.percent
+
+        def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+            a, b, _ = region_links(pdf["cls"].to_numpy(), _arrays(pdf["shingles"]), percent)
+            return pd.DataFrame({"a": a, "b": b})
+
+        found = self.with_sets(members).groupBy("region").applyInPandas(settle, "a long, b long")
+        self.links.append(self.scratch.table(found, "region-links"))
+
+    def chunks(self, members: DataFrame) -> DataFrame:
+        """Each region's number of rows and the number of chunks that it is dealt to."""
+        size = members.groupBy("region").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("all"))
+        return size.withColumn("chunks", F.ceil(F.greatest(F.col("all") / (self.leaf * 512), F.col("held") / self.leaf)))
 
     @staticmethod
-    def pivots(members: DataFrame, k: int | Column, *order) -> DataFrame:
-        """The first ``k`` members of each region, picked in salted parts first."""
-        salted = W.partitionBy("region", F.pmod(F.xxhash64("cls"), F.lit(32))).orderBy(*order, "cls")
-        whole = W.partitionBy("region").orderBy(*order, "cls")
-        some = members.withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= k)
-        return some.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= k).drop("_r")
-
-
-def _pair(x: str, y: str):
-    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
-
-
-def _voronoi(join: _Join, members: DataFrame, k: int, leaf: int) -> tuple[DataFrame, DataFrame | None]:
-    """One level: distances to ``k`` pivots a region.  Returns the members that stay (with their
-    distances as windows, pivots taken out) and the members of cells to be joined recursively."""
-    count = members.groupBy("region").agg(F.count(F.lit(1)).alias("all"))
-    sized = members.join(count, "region").withColumn("k", F.least(F.greatest(F.ceil(F.col("all") / 32), F.lit(1)), F.lit(k)))
-    # half of them central, half of them anywhere
-    pivots = join.pivots(sized, F.col("k"), F.desc("degree")).union(join.pivots(sized, F.col("k"), F.xxhash64("cls", F.lit(11))))
-    pivots = join.scratch.table(pivots.select("region", F.col("cls").alias("pivot")).distinct(), "pivots")
-    to_pivot = members.join(pivots, "region").where("cls <> pivot")
-    found = join.distances(to_pivot.select(*_pair("cls", "pivot")))
-    measured = to_pivot.select("*", *_pair("cls", "pivot")).join(found.select("a", "b", "d"), ["a", "b"]).drop("a", "b")
-    measured = join.scratch.table(measured, "pivot-distances")
-    per_member = measured.groupBy("region", "cls").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "d"))).alias("windows"), F.min(F.struct("d", "pivot")).alias("near"))
-    rest = members.join(pivots.withColumnRenamed("pivot", "cls"), ["region", "cls"], "left_anti")
-    rest = rest.drop("windows").join(per_member, ["region", "cls"])
-    # cells: the nearest pivot's, every other one within the window, and one for what is far from all pivots
-    far = F.when(F.col("near.d") > FAR, F.map_from_arrays(F.array(F.lit(0).cast("long")), F.array(F.lit(-1.0))))
-    cells = rest.select("*", F.explode(F.map_concat("windows", F.coalesce(far, F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<double>"))))).alias("pivot", "d"))
-    cells = cells.where(F.col("d") <= F.least(F.col("near.d") + 2 * join.eps, F.lit(FAR + join.eps)) + 1e-9)
-    sizes = cells.groupBy("region", "pivot").agg(F.count(F.lit(1)).alias("size")).groupBy("region").agg(F.max("size").alias("largest"), F.sum("size").alias("copies"))
-    whole = rest.groupBy("region").agg(F.count(F.lit(1)).alias("all"))
-    smaller = whole.join(sizes, "region").where((F.col("all") > leaf) & (F.col("largest") <= F.col("all") / 2) & (F.col("copies") <= 1.5 * F.col("all")))
-    smaller = join.scratch.table(smaller.select("region"), "split-regions")
-    stay = join.scratch.table(rest.drop("near").join(smaller, "region", "left_anti"), "members")
-    if smaller.isEmpty():
-        return stay, None
-    split = cells.join(smaller, "region").select(F.xxhash64("region", "pivot").alias("region"), "cls", "n", "degree")
-    return stay, join.scratch.table(split, "cells")
+    def chunk():
+        return F.pmod(F.xxhash64("cls", F.lit(5)), F.col("chunks")).alias("chunk")
 
+    @staticmethod
+    def every_chunk():
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")
 
-def jaccard_components(
-    docs: DataFrame, shingle: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text",
-    buckets: int = 1 << 22, pivots: int = 32, leaf: int = 64, broadcast_rows: int = 1_000_000,
-) -> DataFrame:
-    """Per row of ``docs``: id, ``n_shingles`` and ``component_id``, the smallest id reachable by
-    links (100 * intersection >= ``percent`` * union of the shingle sets)."""
+    @staticmethod
+    def pivots(members: DataFrame, k: int, *order) -> DataFrame:
+        """The first ``k`` members of each region with their number ``_r``, picked in salted parts first."""
+        salted = W.partitionBy("region", F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(64))).orderBy(*order, "cls")
+        whole = W.partitionBy("region").orderBy(*order, "cls")
+        some = members.withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= k)
+        return some.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= k)
+
+    def run(self, members: DataFrame) -> None:
+        """Settle all regions of ``members``, a stored table."""
+        while True:
+            rows = self.scratch.table(members.join(self.chunks(members), "region"), "sized")
+            self.scratch.drop(members)
+            self.small(rows.where("chunks <= 1").select("region", "cls"))
+            large = rows.where("chunks > 1")
+            if large.isEmpty():
+                self.scratch.drop(rows)
+                return
+            self.steps["levels"] += 1
+            chosen = self.pivots(large, JOB_PIVOTS, F.xxhash64("cls", F.lit(11))).select("region", "cls", self.every_chunk())
+            chosen = self.with_sets(chosen).groupBy("region", "chunk")
+            dealt = self.with_sets(large.select("region", "cls", self.chunk())).groupBy("region", "chunk")
+            measured = dealt.cogroup(chosen).applyInPandas(_celled(self.percent), "region long, a long, b long, cells array<bigint>")
+            measured = self.scratch.table(measured, "measured")
+            self.links.append(self.scratch.table(measured.where("b is not null").select("a", "b"), "pivot-links"))
+            # cells about as large as their region, or too many copies, are not joined recursively
+            parent = large.select("region", "cls", "n", "fine", "held")
+            inside = parent.join(measured.where("b is null").select("region", F.col("a").alias("cls"), "cells"), ["region", "cls"])
+            crowded = inside.groupBy("region").agg((F.sum(F.size("cells")) > 2 * F.max("held")).alias("crowded"))
+            cells = inside.join(crowded, "region").select(
+                F.explode(F.when(F.col("crowded"), F.array(F.lit(1).cast("long"))).otherwise(F.col("cells"))).alias("pivot"), F.xxhash64("region", "pivot").alias("cell"), "cls", "n", "fine", "held",
+            )
+            cells = self.scratch.table(cells.withColumnRenamed("cell", "region"), "cells")
+            size = cells.groupBy("region").agg(F.count(F.lit(1)).alias("now"), F.sum("n").alias("all"), F.max("held").alias("before"))
+            self.steps["cells"] += size.count()
+            stuck = size.where((F.col("now") > 0.5 * F.col("before")) & ((F.col("now") > self.leaf) | (F.col("all") > self.leaf * 512))).select("region")
+            stays = cells.join(stuck, "region")
+            # far ones go to their single-shingle regions, once
+            split = stays.where("pivot = 0 and not fine").join(self.tokens, "cls").select(F.xxhash64("region", "token").alias("region"), "cls", "n", F.lit(True).alias("fine"))
+            following = cells.join(stuck, "region", "left_anti").select("region", "cls", "n", "fine").unionByName(split)
+            members = self.scratch.table(following, "members")
+            rest = self.scratch.table(stays.where("pivot <> 0 or fine").select("region", "cls", "n"), "stuck-cells")
+            self.scratch.drop(measured, cells, rows)
+            self.exhaust(rest)
+
+    def exhaust(self, left: DataFrame) -> None:
+        """Rounds of pivots over cells that Voronoi steps don't make smaller; ``left`` is a stored table."""
+        k = JOB_PIVOTS
+        while not left.isEmpty():
+            self.steps["rounds"] += 1
+            comps = self.labels()
+            rows = left.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+            many = rows.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("region")
+            rows = rows.join(many, "region")
+            rows = self.scratch.table(rows.join(self.chunks(rows), "region"), "unsettled")
+            of_comp = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("of_comp"))
+            chosen = self.pivots(rows.select("region", "cls", "comp", "chunks").join(of_comp, ["region", "comp"]), k, "of_comp")
+            chosen = self.scratch.table(chosen.select("region", "cls", "comp", "chunks", F.floor((F.col("_r") - 1) / 512).alias("block")), "round-pivots")
+            dealt = rows.select("region", "cls", "comp", self.chunk()).join(chosen.select("region", "block").distinct(), "region")
+            dealt = self.with_sets(dealt).groupBy("region", "chunk", "block")
+            copies = self.with_sets(chosen.select("region", "cls", "comp", "block", self.every_chunk())).groupBy("region", "chunk", "block")
+            found = dealt.cogroup(copies).applyInPandas(_linked(self.percent), "a long, b long")
+            self.links.append(self.scratch.table(found, "round-links"))
+            following = rows.select("region", "cls", "n").join(chosen.select("region", "cls"), ["region", "cls"], "left_anti")
+            following = self.scratch.table(following, "stuck-cells")
+            self.scratch.drop(left, rows, chosen, comps)
+            left, k = following, k * 4
+        self.scratch.drop(left)
+
+    def labels(self) -> DataFrame:
+        edges = self.links[0]
+        for more in self.links[1:]:
+            edges = edges.union(more)
+        return connected_components(edges, self.scratch)
+
+
+def _placed(docs: DataFrame, shingle: int, percent: int, key: str, text: str, buckets: int, leaf: int, broadcast_rows: int) -> DataFrame:
+    """Per row of ``docs``: ``doc``, ``fp`` (of the text), ``n`` and ``component`` (a class; null for the empty set), stored."""
     spark = docs.sparkSession
     C.prepare(spark)
     scratch = C.Scratch(spark)
     kind = dict(docs.dtypes)[key]
-    texts = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
+    texts = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text).cast("string")).alias("fp"), F.col(text).cast("string").alias("text"))
 
-    profiles = texts.mapInPandas(lambda it: _profiled(it, shingle, buckets), f"kind int, doc {kind}, n long, cls long, slice int, counts binary")
+    profiles = texts.mapInPandas(lambda it: _profiled(it, shingle, buckets), f"kind int, doc {kind}, fp long, n long, cls long, slice int, counts binary")
     profiles = scratch.table(profiles, "profiles", "kind")
     n_slices = max(1, buckets // SLICE)
     slices = profiles.where("kind = 1").select("slice", "counts").repartition(min(n_slices, 64), "slice")
@@ -234,9 +460,9 @@ def jaccard_components(
         part = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint32)
         counts[r["slice"] * SLICE : r["slice"] * SLICE + len(part)] = part
     rarity = spark.sparkContext.broadcast(counts)
-    rows = profiles.where("kind = 0").select("doc", "n", "cls")
+    rows = profiles.where("kind = 0").select("doc", "fp", "n", "cls")
 
-    prefixes = texts.select("text").mapInPandas(lambda it: _prefixed(it, shingle, percent, rarity), "token long, cls long, n long")
+    prefixes = texts.select("text").mapInPandas(lambda it: _prefixed(it, shingle, percent, rarity), "token long, cls long, n int")
     prefixes = scratch.table(prefixes, "prefixes")
     shared = prefixes.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token")
     shared = scratch.table(shared, "shared-tokens")
@@ -249,19 +475,15 @@ def jaccard_components(
     for _ in range(2):
         enough = members.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= needed).select("cls")
         left = members.join(enough, "cls")
-        several = left.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token")
-        kept = scratch.table(left.join(several, "token"), "token-members")
+        several = left.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token", "lo")
+        kept = scratch.table(left.join(several, "token").select("token", "cls", "n", "lo"), "token-members")
         scratch.drop(members)
-        members = kept
+        members = kept.select("token", "cls", "n")
     # documents that share tokens, directly or through others, are one region, so each is in one region only
-    degree = members.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("degree"))
-    least = members.groupBy("token").agg(F.min("cls").alias("lo"))
-    edges = members.join(least, "token").where("cls <> lo").select(F.col("cls").alias("a"), F.col("lo").alias("b")).distinct()
+    edges = kept.where("cls <> lo").select(F.col("cls").alias("a"), F.col("lo").alias("b")).distinct()
     regions = connected_components(edges, scratch).select(F.col("node").alias("cls"), F.col("component").alias("region"))
-    tokens, members = members, scratch.table(degree.join(regions, "cls").select("region", "cls", "n", "degree"), "members")
-    scratch.drop(tokens)
 
-    wanted = members.select("cls").distinct().join(rows.where("cls is not null and doc is not null").groupBy("cls").agg(F.min("doc").alias("doc")), "cls")
+    wanted = regions.join(rows.where("cls is not null and doc is not null").groupBy("cls").agg(F.min("doc").alias("doc")), "cls")
     wanted = scratch.table(wanted.select("doc").distinct(), "wanted-documents")
     held = texts.join(C.bounded_broadcast(wanted, broadcast_rows), "doc", "left_semi").select("text")
 
@@ -270,45 +492,48 @@ def jaccard_components(
             sets = [s for s in (_document_set(t, shingle) for t in pdf["text"]) if len(s)]
             yield pd.DataFrame({"cls": [_class_id(s) for s in sets], "shingles": [s.tobytes() for s in sets]}).astype({"cls": "int64"})
 
-    sets = scratch.table(held.mapInPandas(as_sets, "cls long, shingles binary").dropDuplicates(["cls"]), "sets")
-
-    join = _Join(spark, scratch, sets, percent)
-    unsettled: DataFrame | None = None
-    cells: DataFrame | None = members
-    while cells is not None:
-        stay, cells = _voronoi(join, cells, pivots, leaf)
-        unsettled = stay if unsettled is None else unsettled.unionByName(stay)
-    join.relabel()
-    k = leaf
-    while True:
-        unsettled = scratch.table(join.labelled(unsettled), "unsettled")
-        if unsettled.isEmpty():
-            break
-        sizes = unsettled.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("held"))
-        chosen = scratch.table(join.pivots(unsettled.join(sizes, ["region", "comp"]), k, "held", F.desc("degree")).drop("held"), "pivots")
-        other = chosen.select("region", F.col("cls").alias("pivot"), F.col("comp").alias("p_comp"), F.col("n").alias("p_n"), F.col("windows").alias("p_windows"))
-        pairs = unsettled.join(other, "region").where("cls <> pivot and comp <> p_comp")
-        pairs = pairs.where(100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
-        near = F.forall(F.map_keys("windows"), lambda p: F.coalesce(F.abs(F.col("windows")[p] - F.col("p_windows")[p]) <= join.eps + 1e-9, F.lit(True)))
-        found = join.distances(pairs.where(near).select(*_pair("cls", "pivot")))
-        unsettled = unsettled.join(chosen.select("region", "cls"), ["region", "cls"], "left_anti")
-        k *= 4
-        if not found.where("link").isEmpty():
-            join.relabel()
-
-    labels = join.labels.withColumnRenamed("node", "cls")
-    placed = rows.join(labels, "cls", "left").select("doc", "n", F.coalesce("component", "cls").alias("component"))
+    sets = scratch.table(held.mapInPandas(as_sets, "cls long, shingles binary"), "sets")
+    sizes = members.select("cls", "n").distinct()
+    join = _Join(scratch, percent, leaf, sets, members.select("cls", "token"))
+    join.run(scratch.table(regions.join(sizes, "cls").select("region", "cls", "n", F.lit(False).alias("fine")), "members"))
+    labels = join.labels().withColumnRenamed("node", "cls")
+    placed = scratch.table(rows.join(labels, "cls", "left").select("doc", "fp", "n", F.coalesce("component", "cls").alias("component")), "placed")
+    scratch.drop(sets, members, regions, wanted, profiles, *join.links)
+    return placed
+
+
+def jaccard_components(
+    docs: DataFrame, shingle: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text",
+    buckets: int = 1 << 22, leaf: int = 4096, broadcast_rows: int = 1_000_000,
+) -> DataFrame:
+    """Per row of ``docs``: id, ``n_shingles`` and ``component_id``, the smallest id reachable by
+    links (100 * intersection >= ``percent`` * union of the shingle sets).
+
+    A region of at most ``leaf`` documents, and 512 times as many shingles, is joined in one task.
+    """
+    placed = _placed(docs, shingle, percent, key, text, buckets, leaf, broadcast_rows)
     least = placed.where("component is not null").groupBy("component").agg(F.min("doc").alias("component_id"))
-    placed = placed.join(least, "component", "left")
-    return placed.select(
+    return placed.join(least, "component", "left").select(
         F.col("doc").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("component").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
-def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one document, the one of smallest id, of each component (and of repeated ids); rows without id stay."""
-    parts = jaccard_components(docs, key=key, text=text, **options)
-    name = C.fresh(docs, "_later")
-    later = parts.where(F.col(key) != F.col("component_id")).select(F.col(key).alias(name)).distinct()
-    return docs.join(later, F.col(key) == F.col(name), "left_anti")
+def first_of_each(
+    docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text",
+    buckets: int = 1 << 22, leaf: int = 4096, broadcast_rows: int = 1_000_000,
+) -> DataFrame:
+    """``docs`` with one row of each component: that of smallest id (rows without id come last), then of
+    smallest text fingerprint.  Rows with the empty set stay, and of rows that repeat id and text one stays."""
+    placed = _placed(docs, shingle, percent, key, text, buckets, leaf, broadcast_rows)
+    order = F.struct(F.col("doc").isNull().alias("late"), "doc", "fp")
+    first = placed.where("component is not null").groupBy("component").agg(F.min(order).alias("first"))
+    own = placed.join(first, "component").select("doc", "fp", (order != F.col("first")).alias("later"))
+    marks = own.groupBy("doc", "fp").agg(F.min("later").alias("later"), (F.count(F.lit(1)) > 1).alias("repeated")).where("later or repeated")
+    d, f, later, row = (C.fresh(docs, x) for x in ("_doc", "_fp", "_later", "_row"))
+    marks = marks.select(F.col("doc").alias(d), F.col("fp").alias(f), F.col("later").alias(later))
+    same = F.col(key).eqNullSafe(F.col(d)) & (F.xxhash64(F.col(text).cast("string")) == F.col(f))
+    alone = docs.join(marks, same, "left_anti")
+    repeats = docs.join(marks.where(~F.col(later)), same).withColumn(row, F.struct(*docs.columns))
+    once = repeats.groupBy(d, f).agg(F.first(row).alias(row)).select(f"{row}.*")
+    return alone.unionByName(once)

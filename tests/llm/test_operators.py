@@ -386,6 +386,93 @@ def test_one_of_each_group_stays(docs, empty):
     assert jaccard_join.jaccard_components(empty, buckets=1 << 16).count() == 0
 
 
+def clustered_sets(rng, centres, each, n=60, changed=18):
+    """Sets around centres, which are partly alike themselves; near members link, far ones don't."""
+    common = rng.integers(1 << 40, 1 << 41, size=n // 6)
+    sets = []
+    for _ in range(centres):
+        centre = np.concatenate([common, rng.integers(0, 1 << 40, size=n - n // 6)])
+        for _ in range(each):
+            k = rng.integers(0, changed)
+            sets.append(np.unique(np.concatenate([rng.permutation(centre)[k:], rng.integers(0, 1 << 40, size=k)]).astype(np.uint64)))
+    return sets
+
+
+def brute_set_components(sets, percent):
+    root = list(range(len(sets)))
+    universe = np.unique(np.concatenate(sets))
+    held = np.zeros((len(sets), len(universe)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        held[i, np.searchsorted(universe, s)] = 1
+    both, sizes = held @ held.T, held.sum(axis=1)
+    root = np.arange(len(sets))
+    for a, b in zip(*np.nonzero(100 * both >= percent * (sizes[:, None] + sizes[None] - both)), strict=True):
+        if root[a] != root[b]:
+            root[root == max(root[a], root[b])] = min(root[a], root[b])
+    return root
+
+
+@pytest.mark.parametrize(("centres", "each", "percent"), [(40, 35, 85), (40, 35, 70), (1, 1100, 85), (1200, 1, 85), (3, 2, 85)])
+def test_region_join_against_brute_force(centres, each, percent):
+    """Regions of over 1000 members; cells, window copies and recursion do happen."""
+    sets = clustered_sets(np.random.default_rng(centres), centres, each)
+    classes = np.random.default_rng(1).permutation(len(sets)).astype(np.int64)
+    a, b, counts = jaccard_join.region_links(classes, sets, percent)
+    got = np.arange(len(sets))
+    got[a] = b
+    by_class = [sets[i] for i in np.argsort(classes)]
+    assert np.array_equal(got, brute_set_components(by_class, percent))
+    if centres == 40 and percent == 85:
+        assert counts["voronoi"] > 1 and counts["cells"] > 2
+        assert counts["distances"] < len(sets) ** 2 / 4
+
+
+def test_window_copies_are_made_and_needed():
+    """A chain of sets, each close to the next one: neighbours lie on both sides of each boundary."""
+    sets = [np.arange(i * 4, i * 4 + 60).astype(np.uint64) for i in range(300)]
+    a, _, counts = jaccard_join.region_links(np.arange(300), sets, 85)
+    assert len(a) == 299
+    assert counts["copies"] > 0 and counts["voronoi"] > 10 and counts["cells"] > 10
+
+
+@pytest.mark.parametrize("leaf", [6])
+def test_regions_beyond_a_task(spark, leaf, monkeypatch):
+    """The Spark job's Voronoi steps, single-shingle regions and rounds of pivots give the same components."""
+    rng = random.Random(leaf)
+    texts = {}
+    shared = words(rng, 12, 10_000)
+    for c in range(12):
+        base = words(rng, 60, 10_000)
+        for _ in range(12):
+            near = list(base)
+            for _ in range(rng.randint(0, 5)):
+                near[rng.randrange(60)] = f"x{rng.randrange(100_000)}"
+            texts[len(texts)] = " ".join(shared + near)
+    for i in range(40):  # unlike texts that share a passage
+        texts[len(texts)] = " ".join(words(rng, 20, 10_000) + shared + words(rng, 20, 10_000))
+    monkeypatch.setattr(jaccard_join, "JOB_PIVOTS", 5)
+    joins = []
+    init = jaccard_join._Join.__init__
+    monkeypatch.setattr(jaccard_join._Join, "__init__", lambda self, *a: (init(self, *a), joins.append(self))[0])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for percent in (85, 60):
+        got = {r["doc_id"]: tuple(r)[1:] for r in jaccard_join.jaccard_components(df, 2, percent, buckets=1 << 16, leaf=leaf).collect()}
+        assert got == brute_components(texts, 2, percent)
+        assert joins[-1].steps["levels"] > 0 and joins[-1].steps["cells"] > 0
+
+
+def test_repeated_and_missing_ids_in_groups(spark):
+    """One row stays of repeated rows; a row without id gives way to its equals with one; other texts of a repeated id stay."""
+    rng = random.Random(4)
+    one, two, three = (" ".join(words(rng, 40, 9000)) for _ in range(3))
+    rows = [(1, one), (1, one), (2, one), (2, two), (None, one), (None, three), (5, None), (5, None), (6, "")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, extra string")
+    kept = jaccard_join.first_of_each(df, buckets=1 << 16)
+    assert kept.columns == df.columns
+    got = sorted([tuple(r)[:2] for r in kept.collect()], key=str)
+    assert got == sorted([(1, one), (2, two), (None, three), (5, None), (5, None), (6, "")], key=str)
+
+
 # 9 substring dedup
 
 
