@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -38,9 +40,11 @@ def prepare(spark: SparkSession, batch_rows: int = 500) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The shared folder named in ``spark.checkpoint.dir``; one of our own only in local mode and where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -50,6 +54,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/casemill/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of what runs inside as soon as it has ended, and not when the
+    driver happens to collect its garbage; what was written does not need them any more."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Scratch:
     """Intermediate tables of one operator run, written to the shared folder.
 
@@ -64,7 +81,8 @@ class Scratch:
     def table(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path = scratch_path(self.spark, name)
         w = df.write.option("compression", "zstd")
-        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+        with shuffle_files_removed(self.spark):
+            (w.partitionBy(partition_by) if partition_by else w).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
