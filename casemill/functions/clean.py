@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 
-QUOTES = "[\\]\\[(){}\"'“”‘’`]+"
-JUDGE = "\\([A-Za-z\\s.'‘’-]+,\\s*(?:C\\.J\\.|JJ\\.|J\\.)\\)"
-INITIALS = "^[A-Z]\\.[A-Z]\\.\\s+v\\.\\s+[A-Z]\\.[A-Z]\\."
-STATE_V = "^state(?:\\s+of\\s+{state})?\\s+v\\.\\s+"
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def strip(c: Column) -> Column:
@@ -47,14 +47,14 @@ def normalize_outcome(c: Column) -> Column:
 def clean_summary(c: Column) -> Column:
     """Drop undecodable characters, then one leading and one trailing run of quotes or brackets."""
     out = strip(F.replace(c, F.lit("\ufffd"), F.lit("")))
-    out = F.regexp_replace(out, f"(?U)^\\s*{QUOTES}\\s*", "")
-    return strip(F.regexp_replace(out, f"(?U)\\s*{QUOTES}\\s*$", ""))
+    out = F.regexp_replace(out, f"(?U)^\\s*{K.QUOTES}\\s*", "")
+    return strip(F.regexp_replace(out, f"(?U)\\s*{K.QUOTES}\\s*$", ""))
 
 
 def clean_citations(c: Column) -> Column:
-    """Squeeze, drop a bare chapter word, shorten ``RSA chapter X`` to ``RSA X`` and keep each once, in order."""
+    """Squeeze, drop a bare chapter word, shorten ``RSA chapter X`` to ``RSA X`` and keep each once, in order; blank ones stay, as one."""
     one = F.transform(c, squeeze)
-    one = F.filter(one, lambda x: (x != "") & ~x.rlike("(?i)^RSA\\s+chapters?$"))
+    one = F.filter(one, lambda x: ~x.rlike("(?i)^RSA\\s+chapters?$"))
     one = F.transform(one, lambda x: F.regexp_replace(x, "(?i)^RSA\\s+chapter\\s+(.+)$", "RSA $1"))
     return F.array_distinct(one)
 
@@ -69,18 +69,26 @@ def repair_name(c: Column) -> Column:
 
 
 def normalize_court(c: Column) -> Column:
-    """Canonical lower-court name, or null if the text names no court."""
+    """Canonical lower-court name, or null if the text names no court.  Each step is computed once."""
     s = F.substring_index(c, "\n", 1)
-    s = F.regexp_replace(s, "(?is)(?:Case\\s*No\\.?|Citation\\s*:|Order\\s*No\\.?|\\bNo\\.\\s*\\d{4}|\\d{4}-\\d{4}).*$", "")
-    s = F.regexp_replace(s, f"^(.*?{JUDGE}).*$", "$1")
+    s = F.regexp_replace(s, K.CASE_MARKER, "")
+    s = F.regexp_replace(s, f"^(.*?{K.JUDGE}).*$", "$1")
     s = F.regexp_replace(s, "(?s)\\([^()]*$", "")  # a last "(" that nothing closes
     s = F.regexp_replace(squeeze(s), "[ ,;-]+$", "")
     s = F.regexp_replace(s, "(?i)^(?:the\\s+|l\\s+in\\s+|in\\s+)", "")
-    superior = F.regexp_extract(s, f"^(?:[A-Z][A-Za-z]*(?:\\s+[A-Z][A-Za-z]*)*\\s+)?Superior\\s+Court(?:\\s+{JUDGE})?", 0)
-    superior = F.regexp_replace(strip(superior), "[ ,;-]+$", "")
-    s = F.when(s.rlike("(?i)superior\\s+court"), F.when(superior == "", "Superior Court").otherwise(superior)).when((s != "") & ~F.lower(s).contains("court"), F.lit(None)).otherwise(s)
-    s = F.when(s.rlike("(?i)u\\.?s\\.?\\s+district\\s+court"), "U.S. District Court").otherwise(s)
-    return F.nullif(s, F.lit(""))
+
+    def named(x: Column) -> Column:
+        superior = F.regexp_extract(x, K.SUPERIOR_COURT.format(judge=K.JUDGE), 0)
+        superior = F.coalesce(F.nullif(F.regexp_replace(strip(superior), "[ ,;-]+$", ""), F.lit("")), F.lit("Superior Court"))
+        low = F.lower(x)
+        return (
+            F.when(~low.contains("court"), F.lit(None).cast("string"))
+            .when(x.rlike(K.FEDERAL_COURT) & ~x.rlike("(?i)superior\\s+court"), "U.S. District Court")
+            .when(x.rlike("(?i)superior\\s+court"), superior)
+            .otherwise(x)
+        )
+
+    return bind(s, named)
 
 
 def case_type_from_topics(topics: Column, fallback: Column | None = None) -> Column:
@@ -111,11 +119,11 @@ def infer_case_type(name: Column, citations: Column, state: str = "new hampshire
     family = F.arrays_overlap(marks, F.array(*map(F.lit, K.FAMILY_CHAPTERS)))
     criminal = F.arrays_overlap(marks, F.array(*map(F.lit, K.CRIMINAL_CHAPTERS)))
     return (
-        F.when(low.rlike(STATE_V.format(state=state.replace(" ", "\\s+"))), _verdict("criminal", "high", "state_v_case_name"))
+        F.when(low.rlike(K.STATE_V.format(state=state.replace(" ", "\\s+"))), _verdict("criminal", "high", "state_v_case_name"))
         .when(low.rlike("|".join(K.FAMILY_WORDS)), _verdict("family/domestic", "high", "family_keyword_case_name"))
         .when(family & ~criminal, _verdict("family/domestic", "medium", "family_rsa_marker"))
         .when(criminal & ~family, _verdict("criminal", "medium", "criminal_rsa_marker"))
-        .when(name.rlike(INITIALS), _verdict("family/domestic", "low", "initials_case_name_pattern"))
+        .when(name.rlike(K.INITIALS), _verdict("family/domestic", "low", "initials_case_name_pattern"))
         .otherwise(_verdict(None, "none", "insufficient_signals"))
     )
 
@@ -126,9 +134,9 @@ def default_case_type(name: Column, state: str = "new hampshire") -> Column:
     low, place = F.lower(name), state.replace(" ", "\\s+")
     pick = lambda value, reason: F.struct(F.lit(value).alias("case_type"), F.lit(reason).alias("reason"))
     return (
-        F.when(low.rlike(STATE_V.format(state=place)), pick("criminal", "default_state_v_caption"))
+        F.when(low.rlike(K.STATE_V.format(state=place)), pick("criminal", "default_state_v_caption"))
         .when(low.startswith("in the matter of "), pick("family/domestic", "default_in_the_matter_of"))
-        .when(name.rlike(INITIALS), pick("family/domestic", "default_initials_pattern"))
+        .when(name.rlike(K.INITIALS), pick("family/domestic", "default_initials_pattern"))
         .when(low.rlike(f"\\bv\\.\\s+state\\s+of\\s+{place}\\b"), pick("criminal", "default_v_state_caption"))
         .otherwise(pick("civil", "default_fallback_civil"))
     )
@@ -136,28 +144,28 @@ def default_case_type(name: Column, state: str = "new hampshire") -> Column:
 
 def court_base(c: Column) -> Column:
     """Court without its judge and what follows a semicolon."""
-    s = strip(F.regexp_replace(c, f"(?U)\\s*{JUDGE}\\s*$", ""))
-    s = squeeze(F.substring_index(s, ";", 1))
-    low = F.lower(s)
-    return F.when(low.contains("family court") & ~low.contains("circuit"), "Family Court").otherwise(s)
+    s = strip(F.regexp_replace(c, f"(?U)\\s*{K.JUDGE}\\s*$", ""))
+    family = lambda x: F.lower(x).contains("family court") & ~F.lower(x).contains("circuit")
+    return bind(squeeze(F.substring_index(s, ";", 1)), lambda x: F.when(family(x), "Family Court").otherwise(x))
 
 
 def court_judge(c: Column) -> Column:
-    return F.nullif(strip(F.regexp_extract(c, "\\(([A-Za-z\\s.'‘’-]+),\\s*(?:C\\.J\\.|JJ\\.|J\\.)\\)", 1)), F.lit(""))
+    return F.nullif(strip(F.regexp_extract(c, K.JUDGE_NAME, 1)), F.lit(""))
 
 
 def court_type(base: Column) -> Column:
-    low = F.lower(base)
-    circuit = low.contains("circuit")
-    return (
-        F.when(circuit & low.contains("family"), "Circuit Court – Family Division")
-        .when(circuit & low.contains("district"), "Circuit Court – District Division")
-        .when(circuit & low.contains("probate"), "Circuit Court – Probate Division")
-        .when(circuit, "Circuit Court")
-        .when(low.contains("superior"), "Superior Court")
-        .when(low.contains("probate"), "Probate Court")
-        .otherwise(base)
-    )
+    def kind(low: Column) -> Column:
+        circuit, labels = low.contains("circuit"), K.COURT_TYPES
+        return (
+            F.when(circuit & low.contains("family"), labels["family"])
+            .when(circuit & low.contains("district"), labels["district"])
+            .when(circuit & low.contains("probate"), labels["probate"])
+            .when(circuit, labels["circuit"])
+            .when(low.contains("superior"), labels["superior"])
+            .when(low.contains("probate"), labels["probate alone"])
+        )
+
+    return F.coalesce(bind(F.lower(base), kind), base)
 
 
 def court_group(kind: Column) -> Column:
@@ -173,7 +181,7 @@ def case_group(kind: Column, topics: Column, citations: Column) -> Column:
     """Declared type, else topics, else the first telling citation, else civil."""
     kind = F.lower(strip(F.coalesce(kind, F.lit(""))))
     topics = F.coalesce(topics, F.array().cast("array<string>"))
-    family, criminal = "(?i)^RSA\\s+(?:169-C|173-B|458|461-A)", "(?i)^RSA\\s+(?:6\\d{2}|265-A)"
+    family, criminal = K.FAMILY_CITATION, K.CRIMINAL_CITATION
     telling = F.filter(F.coalesce(citations, F.array().cast("array<string>")), lambda x: x.rlike(family) | x.rlike(criminal))
     first = F.when(F.size(telling) > 0, F.element_at(telling, 1))
     return (
@@ -210,14 +218,9 @@ def roster_year(c: Column) -> Column:
 
 def intro_excerpt(text: Column) -> Column:
     """What stands between the author line and the first section heading; without one, 3000 characters."""
-    author = "(?m)^(?:PER CURIAM|[A-Z][A-Z\\-]+(?:\\s+[A-Z][A-Z\\-]+)?,\\s+(?:C\\.J\\.|J\\.))[.\\s]"
-    heading = (
-        "(?m)^[ \\t]*(?:I\\.?\\s+)?(?:Background|Facts|BACKGROUND|FACTS|Discussion|DISCUSSION|Procedural History|Procedural|PROCEDURAL"
-        "|History|HISTORY|Analysis|ANALYSIS|The Facts|The Background)\\s*$"
-    )
-    parts = F.split(text, author, 2)
+    parts = F.split(text, K.AUTHOR_LINE, 2)
     body = F.when(F.size(parts) > 1, F.regexp_replace(F.element_at(parts, -1), "(?U)^\\s+", "")).otherwise(text)
-    sections = F.split(body, heading, 2)
+    sections = F.split(body, K.SECTION_HEADING, 2)
     intro = F.when(F.size(sections) > 1, strip(F.element_at(sections, 1))).otherwise(strip(F.substring(body, 1, 3000)))
     return F.coalesce(F.substring(F.regexp_replace(intro, "\n{3,}", "\n\n"), 1, 4000), F.lit(""))
 
@@ -227,7 +230,7 @@ def preview(c: Column, n: int = 260) -> Column:
 
 
 def mark_citations(text: Column, opening: str = "<mark>", closing: str = "</mark>") -> Column:
-    return F.regexp_replace(text, "(RSA\\s+[\\d\\-A-Z:]+)", f"{opening}$1{closing}")
+    return F.regexp_replace(text, K.CITATION, f"{opening}$1{closing}")
 
 
 def days_to_decision(issued: Column, argued: Column) -> Column:

@@ -61,14 +61,21 @@ def normalize_panel_orders(df: DataFrame, state: str = "new hampshire") -> DataF
 
 
 def align_panel_orders(df: DataFrame) -> DataFrame:
-    """The columns of the case table: year, source and date."""
-    return df.withColumnRenamed("year", "term_year").withColumns({
-        "source": F.coalesce("opinion_type", F.lit("3JX")), "date_issued": N.us_date(F.col("date_issued")),
+    """The columns of the case table: year (unless there is a term year), source and date."""
+    if "term_year" not in df.columns:
+        df = df.withColumnRenamed("year", "term_year")
+    kind = F.col("opinion_type") if "opinion_type" in df.columns else F.lit(None).cast("string")
+    day = F.col("date_issued").cast("string")
+    return df.withColumns({
+        "order_source": F.coalesce(kind, F.lit("3jx_order")),
+        "date_issued": F.coalesce(N.us_date(day), F.try_to_timestamp(day).cast("date")),
     })
 
 
 def union_orders(orders: DataFrame, panel: DataFrame) -> DataFrame:
-    """All orders by column name; a column that one side lacks is null there."""
+    """All orders by column name; a column that one side lacks is null there, and the source of case orders is named."""
+    if "order_source" not in orders.columns:
+        orders = orders.withColumn("order_source", F.lit("case_order"))
     return without_placeholders(orders.unionByName(panel, allowMissingColumns=True))
 
 

@@ -7,6 +7,7 @@ plan.  All of them are one aggregation with partial sums on the map side, or a t
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -132,12 +133,12 @@ def term_headline(df: DataFrame) -> DataFrame:
 
 
 def court_snapshot(df: DataFrame, year: str = "term_year") -> DataFrame:
-    """Totals, the latest term and its cases, unanimous per cent (half to even) and dissents."""
-    latest = df.agg(F.max(year).alias("latest_term"))
+    """Totals, the latest term and its cases, unanimous per cent (half to even) and dissents; one pass, folded by year."""
     flag = F.coalesce(F.col("is_unanimous"), F.lit(False)).cast("int")
-    return df.crossJoin(F.broadcast(latest)).groupBy("latest_term").agg(  # one row
-        F.count(F.lit(1)).alias("total"), count_if(F.col(year) == F.col("latest_term"), "in_latest"),
-        F.bround(100 * F.sum(flag) / F.count(F.lit(1)), 0).cast("long").alias("unanimous_pct"), count_if(F.col("has_dissent"), "dissents"),
+    per = df.groupBy(F.col(year).alias("_y")).agg(F.count(F.lit(1)).alias("_n"), F.sum(flag).alias("_u"), count_if(F.col("has_dissent"), "_d"))
+    return per.agg(
+        F.max("_y").alias("latest_term"), F.sum("_n").alias("total"), F.max_by("_n", "_y").alias("in_latest"),
+        F.bround(100 * F.sum("_u") / F.sum("_n"), 0).cast("long").alias("unanimous_pct"), F.sum("_d").alias("dissents"),
     )
 
 
@@ -203,12 +204,11 @@ def column_name(label: str) -> str:
 
 def judge_rates(df: DataFrame, judge: str = "judge", outcome: str = "outcome", least: int = 3) -> DataFrame:
     """Outcomes of each judge with at least ``least`` decided cases; the total counts every outcome,
-    listed or not; rates in per cent, rounded to one place, half to even."""
-    decided = df.where(F.col(judge).isNotNull() & F.col(outcome).isNotNull())
-    wide = outcome_pivot(decided, judge, outcome=outcome).drop("total")
-    every = counts(decided, judge, name="total").where(F.col("total") >= least)
+    listed or not; rates in per cent, rounded to one place, half to even.  One aggregation."""
+    decided = df.where(F.col(judge).isNotNull() & F.col(outcome).isNotNull()).select(judge, N.outcome_label(F.col(outcome)).alias("_label"))
+    listed = [count_if(F.col("_label") == x, column_name(x)) for x in K.OUTCOME_ORDER]
+    out = decided.groupBy(judge).agg(*listed, F.count(F.lit(1)).alias("total")).where(F.col("total") >= least)
     rate = lambda c: F.bround(100 * c / F.col("total"), 1)
-    out = wide.join(every, judge)
     out = out.withColumn("affirm_pct", rate(F.col("affirmed"))).withColumn("reversal_pct", rate(F.col("reversed") + F.col("reversed_and_remanded")))
     return out.orderBy(F.desc("total"), judge)
 
@@ -229,17 +229,28 @@ def newest_first(df: DataFrame, *columns: str, key: str = "case_number") -> Data
     return df.orderBy(*(F.desc_nulls_last(c) for c in (*columns, key)))
 
 
+def orders_newest_first(df: DataFrame, date: str = "date_issued", year: str = "term_year", key: str = "case_number") -> DataFrame:
+    """By date, year and number as far as they can be read as such, all descending with nulls last; the columns stay as they are."""
+    day = F.coalesce(F.try_to_timestamp(F.col(date).cast("string")), N.us_date(F.col(date).cast("string")).cast("timestamp"))
+    return df.orderBy(F.desc_nulls_last(day), F.desc_nulls_last(N.number(F.col(year))), F.desc_nulls_last(F.col(key).cast("string")))
+
+
+def cases_of_year(df: DataFrame, year: int, column: str = "term_year", name: str = "case_name", key: str = "case_number") -> DataFrame:
+    """The cases of one year by name."""
+    return df.where(F.col(column) == year).orderBy(F.asc_nulls_last(name), key)
+
+
 def first_per_group(df: DataFrame, group: str, n: int, *order) -> DataFrame:
     """The first ``n`` rows of each group in an order that must be total."""
     return df.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 
 
-def on_this_day(df: DataFrame, month: int, day: int, date: str = "date_issued") -> DataFrame:
+def on_this_day(df: DataFrame, today: dt.date, date: str = "date_issued") -> DataFrame:
     """Rows issued on this day of any year; if there are none, those of the nearest day of the year
     (around the turn of the year; ties go to the newest).  The day is chosen inside the plan."""
     rows = df.where(F.col(date).isNotNull())
-    wanted = F.dayofyear(F.make_date(F.lit(2001), F.lit(month), F.lit(min(day, 28) if month == 2 else day)))
-    apart = F.abs(F.dayofyear(date) - wanted)
+    month, day = today.month, today.day
+    apart = F.abs(F.dayofyear(date) - today.timetuple().tm_yday)
     gap = F.when((F.month(date) == month) & (F.dayofmonth(date) == day), -1).otherwise(F.least(apart, 366 - apart))
     best = rows.agg(F.min_by(F.struct(F.month(date).alias("m"), F.dayofmonth(date).alias("d")), F.struct(gap, -F.datediff(F.col(date), F.lit("1970-01-01").cast("date")))).alias("best"))
     picked = rows.crossJoin(F.broadcast(best))  # one row

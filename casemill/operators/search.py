@@ -43,6 +43,9 @@ def description_search(
         return df.withColumn("score", F.lit(0)).where(F.lit(False))
     types = dict(df.dtypes)
     text = {f: F.array_join(f, " ") if types[f].startswith("array") else F.col(f).cast("string") for f in fields}
+    # a score needs one token somewhere, so most rows are dropped before any points are counted
+    any_token = "(?i)" + "|".join(re.escape(w) for w in dict.fromkeys(words))
+    df = df.where(F.concat_ws(" ", *text.values()).rlike(any_token))
     scored = df.withColumn("score", score(text, points, F.lit(query.strip().lower()), [F.lit(w) for w in words]))
     return scored.where("score > 0").orderBy(F.desc("score"), F.desc_nulls_last(date), key).limit(k)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean as N
+from ..functions import constants as K
 
 
 def has_keyword(text: Column, keyword: str, word_boundary: bool = False) -> Column:
@@ -15,8 +16,8 @@ def has_keyword(text: Column, keyword: str, word_boundary: bool = False) -> Colu
     return low.rlike(f"\\b{keyword.lower()}\\b") if word_boundary else low.contains(keyword.lower())
 
 
-def topic_tags(docs: DataFrame, taxonomy: Mapping[str, Sequence[str]], text: str = "text", word_boundary: bool = False) -> DataFrame:
-    """``topics``: every topic with a keyword in the text, in the order of the taxonomy.
+def topic_tags(docs: DataFrame, taxonomy: Mapping[str, Sequence[str]], text: str = "text", word_boundary: bool = False, column: str = "topics") -> DataFrame:
+    """``column``: every topic with a keyword in the text, in the order of the taxonomy.
 
     The keywords become expressions of one projection, so documents are not shuffled.
     """
@@ -26,24 +27,24 @@ def topic_tags(docs: DataFrame, taxonomy: Mapping[str, Sequence[str]], text: str
         for w in words:
             hit = hit | has_keyword(F.col(text), w, word_boundary)
         tags.append(F.when(hit, F.lit(topic)))
-    return docs.withColumn("topics", F.array_compact(F.array(*tags)))
+    return docs.withColumn(column, F.array_compact(F.array(*tags)))
 
 
 def extract_citations(text: Column) -> Column:
     """Statute citations in a text, cleaned and each once."""
-    return N.clean_citations(F.regexp_extract_all(text, F.lit("(RSA\\s+[\\d\\-A-Z:]+(?:,?\\s+[IVX]+)?)"), 1))
+    return N.clean_citations(F.regexp_extract_all(text, F.lit(K.CITATION_IN_TEXT), 1))
 
 
 def extract_header(text: Column) -> Column:
     """Struct of case number, citation (name, year, number), argued and issued dates and author line."""
     get = lambda p, g=1: F.nullif(F.regexp_extract(text, p, g), F.lit(""))
-    cite = "(?i)\\b((\\d{4})\\s+N\\.H\\.\\s+(\\d+))\\b"
+    cite = K.REPORTER
     day = lambda word: F.try_to_timestamp(get(f"(?i){word}:?\\s+([A-Z][a-z]+ \\d{{1,2}}, \\d{{4}})"), F.lit("MMMM d, yyyy")).cast("date")
     return F.struct(
         get("(?i)(?:Case\\s+)?No\\.\\s*(\\d{4}-\\d{4})").alias("case_number"), get(cite).alias("citation"),
         get(cite, 2).cast("int").alias("citation_year"), get(cite, 3).cast("int").alias("citation_seq"),
         day("Argued").alias("date_argued"), day("(?:Opinion )?Issued").alias("date_issued"),
-        get("(?m)^(PER CURIAM|[A-Z][A-Z\\-]+(?:\\s+[A-Z][A-Z\\-]+)?,\\s+(?:C\\.J\\.|J\\.))[.\\s]").alias("author_line"),
+        F.nullif(F.regexp_replace(get(K.AUTHOR_LINE, 0), "[.\\s]$", ""), F.lit("")).alias("author_line"),
     )
 
 
@@ -69,6 +70,17 @@ def link_citation(df: DataFrame, name: str = "case_name", url: str = "url") -> D
     return df.select(F.col(url).alias("url"), F.lit(None).cast("string").alias("case_number"), F.coalesce(part(2), N.strip(F.col(name))).alias("case_name"), part(1).alias("citation"))
 
 
+def link_structured(df: DataFrame) -> DataFrame:
+    """Links that come with their fields: ``pdf_url``, ``case_number``, ``case_name`` and ``citation``; blanks are null."""
+    part = lambda c: F.nullif(N.strip(F.col(c).cast("string")), F.lit("")).alias(c)
+    return df.select(F.col("pdf_url").alias("url"), part("case_number"), part("case_name"), part("citation"))
+
+
+def keyword_flags(docs: DataFrame, words: Mapping[str, Sequence[str]], column: str, text: str = "text", word_boundary: bool = True) -> DataFrame:
+    """``column``: the values of a keyword table (such as standards of review) that a text speaks of, in the table's order."""
+    return topic_tags(docs, words, text, word_boundary, column)
+
+
 def harmonise_links(*parts: DataFrame) -> DataFrame:
     """Union of link lists by name, without placeholders."""
     from .build import without_placeholders

@@ -5,6 +5,8 @@ Only integer arithmetic and existing strings are used, so both engines derive th
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,7 +65,7 @@ TURNS = {
     "case_number": "conv_id",
     "turn": "turn",
     "speaker": "CASE role WHEN 'assistant' THEN 'Justice' ELSE 'Counsel' END",
-    "text": "text",
+    "text": "CASE WHEN turn % 3 = 2 THEN 'May it please the court? Yes!' ELSE text END",
 }
 
 
@@ -87,6 +89,15 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def folder(self, name: str) -> str:
+        """A new folder that driver and executors share; one of our own only in local mode and where none is set."""
+        root = self.spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not self.spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        return f"{root.rstrip('/')}/casemill-{name}-{uuid.uuid4().hex}"
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -179,7 +178,7 @@ def three_column_search(t: Tables) -> DataFrame:
 @query(
     """SELECT case_number, array_to_string(list_distinct_in_order, ';') AS citations, list_distinct_in_order[1] AS primary_citation FROM (
       SELECT case_number, list_filter(c, lambda x, i: list_position(c, x) = i) AS list_distinct_in_order FROM (
-        SELECT case_number, list_transform(list_filter(list_transform(rsa_citations, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^RSA\\s+chapters?$')),
+        SELECT case_number, list_transform(list_filter(list_transform(rsa_citations, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: NOT regexp_matches(x, '(?i)^RSA\\s+chapters?$')),
           lambda x: regexp_replace(x, '(?i)^RSA\\s+chapter\\s+(.+)$', 'RSA \\1')) AS c FROM cases WHERE rsa_citations IS NOT NULL))""",
     CASES_SQL,
 )
@@ -361,11 +360,12 @@ def per_curiam_share(t: Tables) -> DataFrame:
 
 
 @query(
-    "+ seated AS (SELECT case_number, justice_key, row_number() OVER (PARTITION BY case_number ORDER BY seat) AS place FROM votes JOIN roster USING (justice_key)) SELECT case_number, justice_key, CAST(place AS INT) AS place FROM seated WHERE place <= 5",
-    VOTES_SQL, ROSTER_SQL,
+    """+ seated AS (SELECT case_number, justice_key, row_number() OVER (PARTITION BY case_number ORDER BY list_position(['macdonald', 'donovan', 'hantz_marconi', 'countway', 'gould', 'will', 'bassett', 'hicks', 'lynn'], justice_key)) AS place FROM votes)
+    SELECT case_number, justice_key, CAST(place AS INT) AS place FROM seated WHERE place <= 5""",
+    VOTES_SQL,
 )
 def bench_seats(t: Tables) -> DataFrame:
-    return votes.bench_seats(t.votes, t.roster)
+    return votes.bench_seats(t.votes)
 
 
 _VERDICT = """CASE WHEN regexp_matches(clause, '(?i)\\b(?:did not participate|not participat|recused|disqualified)\\b') THEN 'not_participating' WHEN regexp_matches(clause, '(?i)\\bconcurred\\s+specially\\b') THEN 'concur_separate'
@@ -405,13 +405,13 @@ def order_browser(t: Tables) -> DataFrame:
 
 
 @query(
-    """+ d AS (SELECT *, abs(dayofyear(date_issued) - dayofyear(DATE '2001-07-14')) AS apart FROM cases),
+    """+ d AS (SELECT *, abs(dayofyear(date_issued) - dayofyear(DATE '2024-07-14')) AS apart FROM cases),
     best AS (SELECT month(date_issued) AS m, day(date_issued) AS dd FROM d ORDER BY CASE WHEN month(date_issued) = 7 AND day(date_issued) = 14 THEN -1 ELSE least(apart, 366 - apart) END, date_issued DESC LIMIT 1)
     SELECT case_number, date_issued FROM cases, best WHERE month(date_issued) = m AND day(date_issued) = dd""",
     CASES_SQL,
 )
 def on_this_day(t: Tables) -> DataFrame:
-    return reports.on_this_day(t.cases, 7, 14).select("case_number", "date_issued")
+    return reports.on_this_day(t.cases, dt.date(2024, 7, 14)).select("case_number", "date_issued")
 
 
 def _score_sql(words: list[str], whole: str, fields: dict[str, str], points: dict[str, int]) -> str:
@@ -588,23 +588,25 @@ def header_extraction(t: Tables) -> DataFrame:
 @query(
     """SELECT 'u' || case_number AS url, docket AS case_number, case_name, NULL::VARCHAR AS citation FROM cases WHERE status = 'F'
     UNION ALL SELECT 'u' || case_number, '1999-' || lpad(CAST(case_number % 10000 AS VARCHAR), 4, '0'), case_name, NULL FROM cases WHERE status = 'F'
-    UNION ALL SELECT 'u' || case_number, NULL, case_name, (1990 + case_number % 30) || ' N.H. 7' FROM cases WHERE status <> 'F'""",
+    UNION ALL SELECT 'u' || case_number, NULL, case_name, (1990 + case_number % 30) || ' N.H. 7' FROM cases WHERE status = 'O'
+    UNION ALL SELECT 'u' || case_number, CASE WHEN case_number % 2 = 0 THEN NULL ELSE docket END, case_name, '2025 N.H. 54' FROM cases WHERE status = 'P'""",
     CASES_SQL,
 )
 def link_harmonise(t: Tables) -> DataFrame:
     first = t.cases.where("status = 'F'").selectExpr("'u' || case_number AS url", "docket || ', ' || case_name || '; 1999-' || lpad(CAST(case_number % 10000 AS STRING), 4, '0') || ', ' || case_name AS text")
-    second = t.cases.where("status <> 'F'").selectExpr("'u' || case_number AS url", "(1990 + case_number % 30) || ' N.H. 7, ' || case_name AS case_name")
-    return text.harmonise_links(text.link_text(first), text.link_citation(second))
+    second = t.cases.where("status = 'O'").selectExpr("'u' || case_number AS url", "(1990 + case_number % 30) || ' N.H. 7, ' || case_name AS case_name")
+    third = t.cases.where("status = 'P'").selectExpr("'u' || case_number AS pdf_url", "CASE WHEN case_number % 2 = 0 THEN ' ' ELSE docket END AS case_number", "case_name", "'2025 N.H. 54' AS citation", "2025 AS year")
+    return text.harmonise_links(text.link_text(first), text.link_citation(second), text.link_structured(third))
 
 
 # Transcripts --------------------------------------------------------------------------------
 
-_STATS = """seg AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w, substr(text, 1, 2) AS same FROM turns),
+_STATS = """seg AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w, text AS same FROM turns),
 dup AS (SELECT case_number, CAST(sum(k - 1) AS BIGINT) AS duplicate_segment_instances FROM (SELECT case_number, same, count(*) AS k FROM seg GROUP BY ALL) GROUP BY case_number),
 base AS (SELECT case_number, count(*) AS segment_count, CAST(sum(w) AS BIGINT) AS word_count, CAST(sum(length(text)) AS BIGINT) AS character_count, round(avg(w), 4) AS avg_words_per_segment, round(quantile_cont(w, 0.5), 4) AS median_words_per_segment,
  CAST(quantile_disc(w, 0.9) AS BIGINT) AS p90_words_per_segment, round(avg(length(text)), 4) AS avg_chars_per_segment, round(quantile_cont(length(text), 0.5), 4) AS median_chars_per_segment,
- CAST(max(w) AS BIGINT) AS max_segment_words, count_if(w >= 100) AS long_segment_count, count_if(w >= 200) AS very_long_segment_count, count_if(contains(text, ',')) AS question_segment_count,
- CAST(sum(length(text) - length(replace(text, ',', ''))) AS BIGINT) AS question_mark_count, CAST(sum(length(text) - length(replace(text, '!', ''))) AS BIGINT) AS exclamation_mark_count,
+ CAST(max(w) AS BIGINT) AS max_segment_words, count_if(w >= 100) AS long_segment_count, count_if(w >= 200) AS very_long_segment_count, count_if(contains(text, '?')) AS question_segment_count,
+ CAST(sum(length(text) - length(replace(text, '?', ''))) AS BIGINT) AS question_mark_count, CAST(sum(length(text) - length(replace(text, '!', ''))) AS BIGINT) AS exclamation_mark_count,
  CAST(max(turn) * 30 + 30 AS DOUBLE) AS duration_seconds, count_if(speaker = 'Justice') AS justice_segments, count_if(speaker = 'Counsel') AS counsel_segments FROM seg GROUP BY case_number),
 stats AS (SELECT *, round(long_segment_count / segment_count, 4) AS long_segment_ratio, round(duplicate_segment_instances / segment_count, 4) AS repeated_segment_ratio, round(word_count / (duration_seconds / 60), 4) AS words_per_minute,
  round(segment_count / (duration_seconds / 60), 4) AS segments_per_minute, round(question_mark_count / (duration_seconds / 60), 4) AS questions_per_minute, round(justice_segments / segment_count, 4) AS justice_guess_ratio,
@@ -612,7 +614,7 @@ stats AS (SELECT *, round(long_segment_count / segment_count, 4) AS long_segment
 
 
 def _stats(t: Tables) -> DataFrame:
-    return transcripts.transcript_stats(t.turns, seconds=F.max("turn") * 30 + 30, question=",", same=F.substring("text", 1, 2))
+    return transcripts.transcript_stats(t.turns, seconds=F.max("turn") * 30 + 30)
 
 
 @query(f"+ {_STATS} SELECT * FROM stats", TURNS_SQL)
@@ -688,16 +690,18 @@ def merge_turns(t: Tables) -> DataFrame:
 
 
 @query(
-    """+ pairs AS (SELECT unnest([docket, '1900-' || right(docket, 4)]) AS docket, date_issued AS argued, case_name FROM cases WHERE status <> 'O'), tr AS (SELECT docket, any_value(argued) AS argued FROM pairs GROUP BY docket),
-    op AS (SELECT docket, CASE WHEN case_number % 4 = 0 THEN NULL ELSE date_issued END AS argued FROM cases WHERE status <> 'F')
+    """+ pairs AS (SELECT unnest([docket, '1900-' || right(docket, 4)]) AS docket, date_issued AS argued, case_name FROM cases WHERE status <> 'O'), tr AS (SELECT docket, any_value(argued) AS argued, any_value(case_name) AS name FROM pairs GROUP BY docket),
+    op AS (SELECT docket, CASE WHEN case_number % 4 = 0 THEN NULL ELSE date_issued END AS argued, CASE WHEN case_number % 5 = 0 THEN 'Zq & Co.' ELSE upper(case_name) || '.' END AS name FROM cases WHERE status <> 'F')
     SELECT docket, CASE WHEN tr.docket IS NULL THEN 'opinion-only' WHEN op.docket IS NULL THEN 'transcript-only' ELSE 'both' END AS link_state,
-    CASE WHEN tr.docket IS NOT NULL AND op.docket IS NOT NULL THEN tr.argued IS DISTINCT FROM op.argued END AS date_mismatch FROM tr FULL JOIN op USING (docket)""",
+    CASE WHEN tr.docket IS NOT NULL AND op.docket IS NOT NULL THEN tr.argued IS DISTINCT FROM op.argued END AS date_mismatch,
+    CASE WHEN tr.docket IS NOT NULL AND op.docket IS NOT NULL THEN 3 * levenshtein(regexp_replace(lower(tr.name), '[^a-z0-9]+', ' ', 'g'), regexp_replace(lower(op.name), '[^a-z0-9]+', ' ', 'g'))
+      > greatest(length(regexp_replace(lower(tr.name), '[^a-z0-9]+', ' ', 'g')), length(regexp_replace(lower(op.name), '[^a-z0-9]+', ' ', 'g'))) END AS name_mismatch FROM tr FULL JOIN op USING (docket)""",
     CASES_SQL,
 )
 def transcript_link(t: Tables) -> DataFrame:
     tr = t.cases.where("status <> 'O'").selectExpr("docket || '-1900-' || right(docket, 4) AS docket", "date_issued AS argument_date", "case_name")
-    op = t.cases.where("status <> 'F'").selectExpr("docket", "CASE WHEN case_number % 4 = 0 THEN NULL ELSE date_issued END AS date_argued", "case_name")
-    return transcripts.transcript_link(tr, op, "docket").select("docket", "link_state", "date_mismatch")
+    op = t.cases.where("status <> 'F'").selectExpr("docket", "CASE WHEN case_number % 4 = 0 THEN NULL ELSE date_issued END AS date_argued", "CASE WHEN case_number % 5 = 0 THEN 'Zq & Co.' ELSE upper(case_name) || '.' END AS case_name")
+    return transcripts.transcript_link(tr, op, "docket").select("docket", "link_state", "date_mismatch", "name_mismatch")
 
 
 # Streaming ----------------------------------------------------------------------------------
@@ -707,8 +711,7 @@ def transcript_link(t: Tables) -> DataFrame:
 def incremental_stream_load(t: Tables) -> DataFrame:
     """Load the events as a stream into a table that already has every fourth of them."""
     spark = t.spark
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    at = f"{root.rstrip('/')}/casemill-stream-{uuid.uuid4().hex}"
+    at = t.folder("stream")
     rows = t.raw("events").select("event_id", "user_id", "event_type")
     rows.where("event_id % 4 = 0").write.parquet(f"{at}/target")
     rows.repartition(4).write.parquet(f"{at}/incoming")

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import clean as N
 from ..functions import constants as K
 
+#: The columns of each table.
 VOTE = "display_name STRING, role STRING, vote STRING, note STRING"
 CASES_DDL = (
     "case_number STRING, citation STRING, citation_year INT, citation_seq INT, case_name STRING, pdf_url STRING, date_argued DATE, "
@@ -56,22 +58,44 @@ TRANSCRIPT_METADATA = (
 )
 
 
+def _csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """The columns of ``ddl`` from a CSV with a header, by name in any order; absent ones are null, values that don't fit too."""
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = raw.toDF(*(c.lstrip("\ufeff").strip() for c in raw.columns))
+
+    def one(name: str, kind: str) -> Column:
+        if name not in raw.columns:
+            return F.lit(None).cast(kind).alias(name)
+        c = F.col(f"`{name}`")
+        if kind in ("int", "bigint"):  # nullable numbers are often written as 2020.0
+            return F.coalesce(c.try_cast(kind), c.try_cast("double").try_cast(kind)).alias(name)
+        return (F.try_to_timestamp(c).cast("date") if kind == "date" else c.try_cast(kind)).alias(name)
+
+    return raw.select(*(one(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(ddl)))
+
+
 def read_cases_csv(spark: SparkSession, path: str) -> DataFrame:
     """Flat case table from CSV; list columns are parsed, and empty where absent or malformed."""
-    df = spark.read.schema(CASES.replace("ARRAY<STRING>", "STRING")).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    df = _csv(spark, path, CASES.replace("ARRAY<STRING>", "STRING"))
     return df.withColumns({c: N.list_column(F.col(c)) for c in LIST_COLUMNS})
 
 
-def read_case_json(spark: SparkSession, *paths: str, schema: str = CASES) -> DataFrame:
+def _json(spark: SparkSession, paths: list[str], schema: str, multi_line: bool) -> DataFrame:
+    """Records of JSON arrays; a whole file is one document unless ``multi_line`` is false: then each line is
+    a record or an array of records, and large files are split."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(paths)
+
+
+def read_case_json(spark: SparkSession, *paths: str, schema: str = CASES, multi_line: bool = True) -> DataFrame:
     """Case records from JSON array files; paths may be globs.  An empty array has no rows."""
     from ..operators.build import normalize_cases
 
-    return normalize_cases(spark.read.schema(schema).option("multiLine", True).json(list(paths)))
+    return normalize_cases(_json(spark, list(paths), schema, multi_line))
 
 
-def read_cases_nested(spark: SparkSession, path: str) -> DataFrame:
+def read_cases_nested(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Case records with their votes."""
-    return spark.read.schema(CASES_NESTED).option("multiLine", True).json(path)
+    return _json(spark, [path], CASES_NESTED, multi_line)
 
 
 def read_justices(spark: SparkSession, path: str) -> DataFrame:
@@ -87,19 +111,19 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(topics).alias("topic", "t")).select("topic", "t.*")
 
 
-def read_panel_orders(spark: SparkSession, *paths: str) -> DataFrame:
-    return spark.read.schema(PANEL_ORDERS).option("multiLine", True).json(list(paths))
+def read_panel_orders(spark: SparkSession, *paths: str, multi_line: bool = True) -> DataFrame:
+    return _json(spark, list(paths), PANEL_ORDERS, multi_line)
 
 
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
-    """Overrides as strings: blanks are empty, not null."""
-    return spark.read.schema(OVERRIDES).option("header", True).csv(path).na.fill("")
+    """Overrides as strings: blanks and absent columns are empty, not null."""
+    return _csv(spark, path, OVERRIDES).na.fill("")
 
 
-def read_case_text(spark: SparkSession, path: str) -> DataFrame:
-    """``case_number, text`` from one text file per case, named by its number."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)\\.[^./]+$", 1)
-    return spark.read.text(path, wholetext=True).select(name.alias("case_number"), F.col("value").alias("text"))
+def read_case_text(spark: SparkSession, path: str, name: str = "([^/]+)\\.[^./]+$") -> DataFrame:
+    """``case_number, text`` from one text file per case; ``name`` finds the number in the file's path."""
+    found = F.regexp_extract(F.col("_metadata.file_path"), name, 1)
+    return spark.read.text(path, wholetext=True).select(F.url_decode(F.replace(found, F.lit("+"), F.lit("%2B"))).alias("case_number"), F.col("value").alias("text"))
 
 
 def with_text(cases: DataFrame, texts: DataFrame, key: str = "case_number") -> DataFrame:
@@ -107,21 +131,21 @@ def with_text(cases: DataFrame, texts: DataFrame, key: str = "case_number") -> D
     return cases.join(texts, key, "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def _tree(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    reader = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name)
+def _tree(spark: SparkSession, root: str, name: str, schema: str, multi_line: bool) -> DataFrame:
+    reader = spark.read.schema(schema).option("multiLine", multi_line).option("recursiveFileLookup", True).option("pathGlobFilter", name)
     return reader.json(root).select("*", F.col("_metadata.file_path").alias("path"))
 
 
-def read_transcript_stats(spark: SparkSession, root: str) -> DataFrame:
-    return _tree(spark, root, "transcript_stats.json", TRANSCRIPT_STATS)
+def read_transcript_stats(spark: SparkSession, root: str, name: str = "transcript_stats.json", multi_line: bool = True) -> DataFrame:
+    return _tree(spark, root, name, TRANSCRIPT_STATS, multi_line)
 
 
-def read_transcript_metadata(spark: SparkSession, root: str) -> DataFrame:
-    return _tree(spark, root, "metadata.json", TRANSCRIPT_METADATA)
+def read_transcript_metadata(spark: SparkSession, root: str, name: str = "metadata.json", multi_line: bool = True) -> DataFrame:
+    return _tree(spark, root, name, TRANSCRIPT_METADATA, multi_line)
 
 
-def read_transcript_status(spark: SparkSession, root: str) -> DataFrame:
-    return _tree(spark, root, "status.json", TRANSCRIPT_STATUS)
+def read_transcript_status(spark: SparkSession, root: str, name: str = "status.json", multi_line: bool = True) -> DataFrame:
+    return _tree(spark, root, name, TRANSCRIPT_STATUS, multi_line)
 
 
 def turns_of(markdown: DataFrame, key: str = "case_number", text: str = "text") -> DataFrame:
@@ -132,8 +156,8 @@ def turns_of(markdown: DataFrame, key: str = "case_number", text: str = "text")
     return out.where("speaker <> ''")
 
 
-def read_transcript_turns(spark: SparkSession, path: str) -> DataFrame:
-    return turns_of(read_case_text(spark, path))
+def read_transcript_turns(spark: SparkSession, path: str, **options) -> DataFrame:
+    return turns_of(read_case_text(spark, path, **options))
 
 
 def read_transcript_index(spark: SparkSession, path: str) -> DataFrame:

@@ -79,8 +79,8 @@ def test_normalize_cases_reports_how_a_type_was_found(spark):
 
 def test_on_this_day_goes_around_the_turn_of_the_year(spark):
     df = spark.createDataFrame([(1, dt.date(2020, 12, 30)), (2, dt.date(2019, 1, 9)), (3, dt.date(2018, 12, 30)), (4, None)], "case_number int, date_issued date")
-    assert [r["case_number"] for r in reports.on_this_day(df, 1, 2).collect()] == [1, 3]
-    assert [r["case_number"] for r in reports.on_this_day(df, 1, 9).collect()] == [2]
+    assert [r["case_number"] for r in reports.on_this_day(df, dt.date(2021, 1, 2)).collect()] == [1, 3]
+    assert [r["case_number"] for r in reports.on_this_day(df, dt.date(2021, 1, 9)).collect()] == [2]
 
 
 def test_pivot_total_is_the_sum_of_its_columns(spark):
@@ -140,3 +140,54 @@ def test_stream_equals_batch(spark, tmp_path):
     for _ in range(2):  # a second run adds nothing
         incremental_stream(spark, str(tmp_path / "in"), str(tmp_path / "target"), rows.schema, str(tmp_path / "cp"), "k", files_per_batch=1).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "target")).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_bench_prefers_its_order_and_falls_back_to_keys(spark):
+    rows = [(1, k) for k in ("hicks", "bassett", "countway", "gould", "will", "macdonald", "donovan", "hantz_marconi")] + [(2, k) for k in ("zed", "abel")] + [(3, "lynn"), (3, "zed")]
+    got = {}
+    for r in votes.bench_seats(spark.createDataFrame(rows, "case_number int, justice_key string")).orderBy("place").collect():
+        got.setdefault(r["case_number"], []).append(r["justice_key"])
+    assert got == {1: ["macdonald", "donovan", "hantz_marconi", "countway", "gould"], 2: ["abel", "zed"], 3: ["lynn"]}
+
+
+def test_csv_columns_are_read_by_name(spark, tmp_path):
+    at = str(tmp_path / "overrides.csv")
+    with open(at, "w", encoding="utf-8-sig") as f:
+        f.write('case_name,case_number,override_reason,override_case_type\nA v. B,2024-0001,"why, then",civil\nC,,,\n')
+    got = [tuple(r) for r in tables.read_overrides(spark, at).collect()]
+    assert got == [("2024-0001", "A v. B", "civil", "why, then"), ("", "C", "", "")]
+    at = str(tmp_path / "cases.csv")
+    with open(at, "w") as f:
+        f.write("topics,case_number,term_year,date_issued,unknown\n\"['a', 'b']\",1,2020.0,2020-02-03,x\n,2,,no day,y\n")
+    rows = tables.read_cases_csv(spark, at).orderBy("case_number").collect()
+    assert (rows[0]["topics"], rows[0]["term_year"], rows[0]["date_issued"], rows[0]["case_name"]) == (["a", "b"], 2020, dt.date(2020, 2, 3), None)
+    assert (rows[1]["topics"], rows[1]["term_year"], rows[1]["date_issued"], rows[1]["rsa_citations"]) == ([], None, None, [])
+
+
+def test_array_files_and_empty_arrays(spark, tmp_path):
+    (tmp_path / "a_2020.json").write_text('[\n {"case_number": "1", "outcome": " Remaned"},\n {"case_number": "2"}\n]')
+    (tmp_path / "a_2021.json").write_text("[]")
+    got = {r["case_number"]: r["outcome"] for r in tables.read_case_json(spark, str(tmp_path / "a_*.json")).collect()}
+    assert got == {"1": "remanded", "2": None}
+
+
+def test_repeats_are_judged_by_whole_texts(spark):
+    rows = [(1, i, "Counsel", x) for i, x in enumerate(["Yes?", "Yes? No!", "Yes?", "Ye", None])]
+    got = transcripts.transcript_stats(spark.createDataFrame(rows, "case_number int, turn int, speaker string, text string")).first()
+    assert (got["duplicate_segment_instances"], got["question_segment_count"], got["question_mark_count"], got["exclamation_mark_count"]) == (1, 3, 3, 1)
+
+
+def test_orders_are_sorted_by_what_their_text_says(spark):
+    rows = [("a", "2/1/2020", "2020"), ("b", "2020-12-01", None), ("c", "soon", "2021.0"), ("d", None, "x"), ("e", None, "2022")]
+    got = reports.orders_newest_first(spark.createDataFrame(rows, "case_number string, date_issued string, term_year string")).collect()
+    assert [r["case_number"] for r in got] == ["b", "a", "e", "c", "d"]
+    assert got[1]["date_issued"] == "2/1/2020"
+
+
+def test_a_later_absence_replaces_the_note_only(spark):
+    text_ = "LYNN, C.J., did not participate.\nGOULD, J., concurred specially; LYNN, C.J., recused.\nGOULD, J., dissented."
+    docs = spark.createDataFrame([(1, text_, "donovan"), (1, text_, None), (2, "", "donovan")], "case_number int, text string, author string")
+    out = votes.extract_votes(docs, votes.roster_table(docs)).where("case_number = 1 AND justice_key IN ('lynn', 'gould')").distinct().collect()
+    got = {r["justice_key"]: (r["vote"], r["note"]) for r in out}
+    assert got["gould"][0] == "concur_separate"
+    assert got["lynn"][0] == "not_participating" and "recused" in got["lynn"][1]
