@@ -16,7 +16,7 @@ coarse to fine regions, and every link lies inside a region of each level:
    recursively, down to ``FEW`` members, whose pairs are compared.
 3. *Larger regions* take the same step as a Spark job: their members are dealt into salted chunks,
    the region's pivot sets go to each chunk, and a cell is a region of the next level.  A cell of
-   far ones that still is too large is dealt to its single-shingle regions.
+   far ones that still is too large is parted by the pairs that share enough rare shingles.
 
 A cell that a step does not make smaller is settled by pivots: members of the smallest components
 are compared with all members of other components whose size and pivot distances admit a link
@@ -45,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -57,6 +57,8 @@ SLICE = 1 << 16
 FAR = 0.5
 #: Members of a cell whose pairs are compared one by one.
 FEW = 4
+#: Members of a token's group up to which its pairs are counted.
+HELD = 16
 #: Pivots of one Voronoi step inside a task (the square root of the members, if more), and in a Spark job.
 PIVOTS, JOB_PIVOTS = 8, 32
 
@@ -99,8 +101,12 @@ def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def least_shared(n: int) -> int:
-    """How many tokens of their prefixes two linked sets of ``n`` shingles are to share."""
-    return min(max(n // 8, 1), 16)
+    """How many tokens of their prefixes two linked sets, of which the smaller has ``n`` shingles, are to share."""
+    return min(max(n // 8, 1), max(16, n // 16))
+
+
+def least_shared_column(n: Column) -> Column:
+    return F.least(F.greatest(F.floor(n / 8), F.lit(1)), F.greatest(F.lit(16), F.floor(n / 16)))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -404,14 +410,44 @@ class _Join:
             self.steps["cells"] += size.count()
             stuck = size.where((F.col("now") > 0.5 * F.col("before")) & ((F.col("now") > self.leaf) | (F.col("all") > self.leaf * 512))).select("region")
             stays = cells.join(stuck, "region")
-            # far ones go to their single-shingle regions, once
-            split = stays.where("pivot = 0 and not fine").join(self.tokens, "cls").select(F.xxhash64("region", "token").alias("region"), "cls", "n", F.lit(True).alias("fine"))
-            following = cells.join(stuck, "region", "left_anti").select("region", "cls", "n", "fine").unionByName(split)
+            following = cells.join(stuck, "region", "left_anti").select("region", "cls", "n", "fine").unionByName(self.parted(stays.where("pivot = 0 and not fine")))
             members = self.scratch.table(following, "members")
             rest = self.scratch.table(stays.where("pivot <> 0 or fine").select("region", "cls", "n"), "stuck-cells")
             self.scratch.drop(measured, cells, rows)
             self.exhaust(rest)
 
+    def parted(self, far: DataFrame) -> DataFrame:
+        """A cell of far ones as regions of members that share as many tokens as a link needs, directly or through others.
+
+        Pairs are counted for tokens of at most ``HELD`` members; a member may share all of its
+        tokens of more members with any other one, and those that could link by these alone are
+        put together by token.
+        """
+        if far.isEmpty():
+            return far.select("region", "cls", "n", F.lit(True).alias("fine"))
+        self.steps["parted"] += 1
+        held = self.scratch.table(far.select("region", "cls", "n").join(self.tokens, "cls"), "far-tokens")
+        often = held.groupBy("region", "token").agg(F.count(F.lit(1)).alias("f"), F.min("cls").alias("lo"))
+        hot = held.join(often.where(F.col("f") > HELD), ["region", "token"])
+        of_hot = hot.groupBy("region", "cls").agg(F.count(F.lit(1)).alias("h"))
+        group = held.join(often.where((F.col("f") > 1) & (F.col("f") <= HELD)).select("region", "token"), ["region", "token"])
+        group = group.groupBy("region", "token").agg(F.sort_array(F.collect_list(F.struct("cls", "n"))).alias("g"))  # HELD at most
+        pairs = group.select("region", F.explode(F.transform("g", lambda x, i: F.struct(x.alias("x"), F.slice("g", i + 2, HELD).alias("ys")))).alias("p"))
+        pairs = pairs.select("region", F.col("p.x").alias("x"), F.explode("p.ys").alias("y")).select("region", F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("y.cls").alias("b"), F.col("y.n").alias("nb"))
+        pairs = pairs.where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
+        pairs = pairs.groupBy("region", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+        of_b = of_hot.select("region", F.col("cls").alias("b"), F.col("h").alias("hb"))
+        pairs = pairs.join(of_hot.withColumnRenamed("cls", "a"), ["region", "a"], "left").join(of_b, ["region", "b"], "left").na.fill(0, ["h", "hb"])
+        strong = pairs.where(F.col("c") + F.least("h", "hb") >= least_shared_column(F.least("na", "nb")))
+        by_hot = hot.join(of_hot, ["region", "cls"]).where(F.col("h") >= least_shared_column(F.floor((self.percent * F.col("n") + 99) / 100)))
+        node = lambda c: F.xxhash64("region", c)
+        edges = strong.select(node("a").alias("a"), node("b").alias("b")).union(by_hot.where("cls <> lo").select(node("cls").alias("a"), node("lo").alias("b"))).distinct()
+        parts = connected_components(self.scratch.table(edges, "far-edges"), self.scratch)
+        rows = far.select("region", "cls", "n").withColumn("node", node("cls")).join(parts, "node")
+        out = self.scratch.table(rows.select(F.col("component").alias("region"), "cls", "n", F.lit(True).alias("fine")), "parted")
+        self.scratch.drop(held)
+        return out
+
     def exhaust(self, left: DataFrame) -> None:
         """Rounds of pivots over cells that Voronoi steps don't make smaller; ``left`` is a stored table."""
         k = JOB_PIVOTS
@@ -470,8 +506,7 @@ def _placed(docs: DataFrame, shingle: int, percent: int, key: str, text: str, bu
     members = scratch.table(members, "token-members")
     scratch.drop(prefixes, shared)
     # a linked class shares at least as many tokens as the smaller of the two sets must; chance hits seldom do
-    smaller = F.floor((percent * F.col("n") + 99) / 100)
-    needed = F.least(F.greatest(F.floor(smaller / 8), F.lit(1)), F.lit(16))
+    needed = least_shared_column(F.floor((percent * F.col("n") + 99) / 100))
     for _ in range(2):
         enough = members.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= needed).select("cls")
         left = members.join(enough, "cls")
