@@ -12,13 +12,17 @@ ordered by rarity (documents that hold them, over the whole corpus) it is the ra
    leave one candidate, whose words are compared one by one.
 
 Documents stay where they are read.  The benchmark is dealt into blocks of at most
-``block_windows`` windows by item, and each block is broadcast in turn, so that the
-broadcast has a fixed bound however large the benchmark is; a block costs one more scan.
+``block_windows`` windows, each block is broadcast in turn, its hits are stored and it is
+released, so that neither the driver nor a worker ever holds more than one block, however large
+the benchmark is; a longer item is dealt to several blocks.  A block costs two scans.
 
 Defined cases: null or empty texts have no words: such documents are clean and such items
-occur nowhere.  Repeated items and documents each count by their own rows (items with one id
-are one item).  Items of fewer words than a shingle are keyed by all their words.  An empty
-benchmark leaves every document clean.  Extra columns are ignored.
+occur nowhere.  Very long texts are read whole.  Repeated items and documents each count by
+their own rows (items with one id are one item).  An item without id counts for hits and
+contamination, but has no id to list, so it does not count among the items.  Items of fewer
+words than a shingle are keyed by all their words.  Equally rare shingles: the smaller
+fingerprint is the key.  An empty benchmark leaves every document clean; an empty table of
+documents gives an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,28 +51,25 @@ def item_windows(words: list[bytes], window: int) -> list[tuple[bytes, ...]]:
 
 
 class WindowBlock:
-    """One block of item windows: shingles, and after ``order`` the windows by rarest shingle."""
+    """The windows of one block of items, by item and start; after ``order`` also by their rarest shingle."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int, shingle: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int, shingle: int):
         self.shingle = shingle
         self.items = [name for name, _ in items]
-        owners: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
-        for i, (_, words) in enumerate(items):
-            for w in item_windows(words, window):
-                owners[w].add(i)
-        self.windows = list(owners)
-        self.owners = [sorted(owners[w]) for w in self.windows]
-        self.hashes = [C.window_hashes(C.word_hashes(list(w)), min(shingle, len(w))) for w in self.windows]
-        sizes = defaultdict(set)
-        for w, h in zip(self.windows, self.hashes, strict=True):
-            sizes[min(shingle, len(w))].update(h.tolist())
+        known: dict[bytes, bytes] = {}
+        self.words = [[known.setdefault(w, w) for w in words] for _, words in items]
+        self.sizes = [min(window, len(words)) for words in self.words]
+        found: dict[int, list[np.ndarray]] = defaultdict(list)
+        for words, size in zip(self.words, self.sizes, strict=True):
+            k = min(shingle, size)
+            found[k].append(C.window_hashes(C.word_hashes(words), k))
         #: for each shingle length (below ``shingle`` only for very short items) the sorted fingerprints
-        self.wanted = {k: np.array(sorted(v), dtype=np.uint64) for k, v in sizes.items()}
-        self.keys: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        self.sorted_keys: dict[int, np.ndarray] = {}
+        self.wanted = {k: np.unique(np.concatenate(v)) for k, v in found.items()}
+        #: for each shingle length, sorted: key, item, start of the window in the item, place of the key in the window
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def present(self, words: list[bytes]) -> set[tuple[int, int]]:
-        """The benchmark's shingles that a document holds, as (length, fingerprint)."""
+        """The block's shingles that a document holds, as (length, fingerprint)."""
         hashes = C.word_hashes(words)
         found = set()
         for k, wanted in self.wanted.items():
@@ -77,26 +79,41 @@ class WindowBlock:
 
     def order(self, documents_with: dict[tuple[int, int], int]) -> None:
         """Key every window that can occur at all by its rarest shingle; ties go to the smaller fingerprint."""
-        keys: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for i, (w, h) in enumerate(zip(self.windows, self.hashes, strict=True)):
-            k = min(self.shingle, len(w))
-            rank = [(documents_with.get((k, int(x)), 0), int(x), at) for at, x in enumerate(h)]
-            rarest = min(rank)
-            if rarest[0]:
-                keys[k][rarest[1]].append((i, rarest[2]))
-        self.keys = {k: dict(v) for k, v in keys.items()}
-        self.sorted_keys = {k: np.array(sorted(v), dtype=np.uint64) for k, v in keys.items()}
+        rank, rare = {}, {}
+        for k, wanted in self.wanted.items():  # fingerprints ascend and the sort is stable
+            n = np.array([documents_with.get((k, int(x)), 0) for x in wanted], dtype=np.int64)
+            rank[k] = np.empty(len(n), dtype=np.int64)
+            rank[k][np.argsort(n, kind="stable")] = np.arange(len(n))
+            rare[k] = n == 0
+        parts: dict[int, list[tuple]] = defaultdict(list)
+        for i, (words, size) in enumerate(zip(self.words, self.sizes, strict=True)):
+            k = min(self.shingle, size)
+            h = C.window_hashes(C.word_hashes(words), k)
+            at = np.searchsorted(self.wanted[k], h)
+            span = size - k + 1
+            r = np.lib.stride_tricks.sliding_window_view(rank[k][at], span)
+            place = r.argmin(axis=1)
+            start = np.arange(len(place))
+            occurs = ~np.lib.stride_tricks.sliding_window_view(rare[k][at], span).any(axis=1)
+            parts[k].append((h[start + place][occurs], np.full(occurs.sum(), i), start[occurs], place[occurs]))
+        for k, p in parts.items():
+            key, item, start, place = (np.concatenate(x) for x in zip(*p, strict=True))
+            by = np.argsort(key, kind="stable")
+            self.keys[k] = key[by], item[by], start[by], place[by]
 
     def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
-        """(window, start) of every occurrence of a window in a document, exactly."""
+        """(item, start in the document) of every occurrence of a window, exactly."""
         hashes = C.word_hashes(words)
-        for k, keys in self.sorted_keys.items():
+        for k, (key, item, start, place) in self.keys.items():
             h = C.window_hashes(hashes, k)
-            for at in np.flatnonzero(_among(h, keys)).tolist():
-                for i, offset in self.keys[k][int(h[at])]:
-                    w, start = self.windows[i], at - offset
-                    if start >= 0 and start + len(w) <= len(words) and tuple(words[start : start + len(w)]) == w:
-                        yield i, start
+            hits = np.flatnonzero(_among(h, key))
+            first, last = np.searchsorted(key, h[hits], "left"), np.searchsorted(key, h[hits], "right")
+            for at, a, b in zip(hits.tolist(), first.tolist(), last.tolist(), strict=True):
+                for e in range(a, b):
+                    i, s, begin = int(item[e]), int(start[e]), at - int(place[e])
+                    size = self.sizes[i]
+                    if begin >= 0 and begin + size <= len(words) and words[begin : begin + size] == self.words[i][s : s + size]:
+                        yield i, begin
 
 
 def _among(h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -108,28 +125,53 @@ def _among(h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, window: int, block_windows: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items, streamed to the driver in blocks of at most ``block_windows`` windows (or one item)."""
+    """The items, streamed to the driver in blocks of at most ``block_windows`` windows; parts of a longer item overlap by a window."""
     rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("t is not null")
     block, total = [], 0
     for row in rows.toLocalIterator():
         words = item_words(row["t"])
         n = max(1, len(words) - window + 1) if words else 0
-        if block and total + n > block_windows:
-            yield block
-            block, total = [], 0
-        if n:
-            block.append((row["i"], words))
-            total += n
+        for a in range(0, n, block_windows):
+            part = words[a : a + block_windows + window - 1]
+            some = max(1, len(part) - window + 1)
+            if block and total + some > block_windows:
+                yield block
+                block, total = [], 0
+            block.append((row["i"], part))
+            total += some
     if block:
         yield block
 
 
+def _ordered(texts: DataFrame, rows: list[tuple[str, list[bytes]]], window: int, shingle: int) -> Broadcast:
+    """A block with its windows keyed by the rarest shingle over all documents, sent to the executors."""
+    spark = texts.sparkSession
+    block = WindowBlock(rows, window, shingle)
+    counting = spark.sparkContext.broadcast(block)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[tuple[int, int], int] = defaultdict(int)  # at most the block's shingles
+        for pdf in batches:
+            for t in pdf["_text"]:
+                for s in counting.value.present(item_words(t)):
+                    totals[s] += 1
+        yield pd.DataFrame(
+            [(k, np.uint64(h).astype(np.int64), n) for (k, h), n in totals.items()], columns=["k", "h", "n"]
+        ).astype({"k": "int32", "h": "int64", "n": "int64"})
+
+    frequency = texts.select("_text").mapInPandas(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
+    # at most as many rows as the block has shingles
+    block.order({(r["k"], int(np.int64(r["h"]).astype(np.uint64))): r["n"] for r in frequency.toLocalIterator()})
+    counting.unpersist()
+    return spark.sparkContext.broadcast(block)
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = 10,
     shingle: int = 4,
-    block_windows: int = 500_000,
+    block_windows: int = 1_000_000,
     key: str = "doc_id",
     text: str = "text",
     item: str = "item_id",
@@ -144,27 +186,8 @@ def contamination(
     def schema_of(df: DataFrame) -> str:
         return ", ".join(f"{c} {t}" for c, t in df.dtypes if c != "_text") + ", n_words long, hit binary, items array<string>"
 
-    parts = []
-    for rows in _blocks(benchmark, item, item_text, window, block_windows):
-        block = WindowBlock(rows, window, shingle)
-        counting = spark.sparkContext.broadcast(block)
-
-        def count(batches: Iterator[pd.DataFrame], sent=counting) -> Iterator[pd.DataFrame]:
-            totals: dict[tuple[int, int], int] = defaultdict(int)  # at most the block's shingles
-            for pdf in batches:
-                for t in pdf["_text"]:
-                    for s in sent.value.present(item_words(t)):
-                        totals[s] += 1
-            yield pd.DataFrame(
-                [(k, np.uint64(h).astype(np.int64), n) for (k, h), n in totals.items()], columns=["k", "h", "n"]
-            ).astype({"k": "int32", "h": "int64", "n": "int64"})
-
-        frequency = texts.select("_text").mapInPandas(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
-        # at most as many rows as the block has shingles
-        block.order({(r["k"], int(np.int64(r["h"]).astype(np.uint64))): r["n"] for r in frequency.toLocalIterator()})
-        joined = spark.sparkContext.broadcast(block)
-
-        def join(batches: Iterator[pd.DataFrame], sent=joined) -> Iterator[pd.DataFrame]:
+    def joined(df: DataFrame, sent: Broadcast) -> DataFrame:
+        def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             b = sent.value
             for pdf in batches:
                 counts, hits, items = [], [], []
@@ -172,39 +195,44 @@ def contamination(
                     words = item_words(t)
                     hit, owners = np.zeros(len(words), dtype=bool), set()
                     for i, start in b.occurrences(words):
-                        hit[start : start + len(b.windows[i])] = True
-                        owners.update(b.owners[i])
+                        hit[start : start + b.sizes[i]] = True
+                        owners.add(i)
                     counts.append(len(words))
                     hits.append(np.packbits(hit).tobytes() if owners else None)
                     items.append(sorted({b.items[o] for o in owners if b.items[o] is not None}))
                 yield pdf.assign(n_words=counts, hit=hits, items=items)
 
-        parts.append(lambda df, join=join: df.mapInPandas(join, schema_of(df)))
+        return df.mapInPandas(join, schema_of(df))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.assign(n_words=[len(item_words(t)) for t in pdf.pop("_text")], hit=None, items=[[] for _ in range(len(pdf))])
 
-    def clean(df: DataFrame) -> DataFrame:
-        return df.mapInPandas(counted, schema_of(df))
-
-    if len(parts) < 2:
-        return (parts[0] if parts else clean)(texts)
+    blocks = _blocks(benchmark, item, item_text, window, block_windows)
+    block = next(blocks, None)
+    if block is None:
+        return texts.mapInPandas(counted, schema_of(texts))
+    following = next(blocks, None)
+    if following is None:
+        return joined(texts, _ordered(texts, block, window, shingle))
     # several blocks: what each found is stored and put together by id and text, so repeated rows stay apart
     scratch = C.Scratch(spark)
-    fp = F.xxhash64(F.coalesce("_text", F.lit("")))
+    marked = texts.withColumn("_fp", F.xxhash64(F.coalesce("_text", F.lit(""))))
     found = None
-    for p in parts:
-        hits = scratch.table(p(texts.withColumn("_fp", fp)).where("hit is not null"), "contamination-block")
+    while block is not None:
+        sent = _ordered(texts, block, window, shingle)
+        hits = scratch.table(joined(marked, sent).where("hit is not null").dropDuplicates([key, "_fp"]), "contamination-block")
+        sent.destroy()
         found = hits if found is None else found.unionByName(hits)
+        block, following = following, next(blocks, None)
 
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:  # one row of each block
         hit = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in pdf["hit"]]).tobytes()
         row = (pdf[key].iloc[0], pdf["_fp"].iloc[0], hit, sorted({x for names in pdf["items"] for x in names}))
         return pd.DataFrame([row], columns=["_key", "_fp2", "hit", "items"])
 
     found = found.groupBy(key, "_fp").applyInPandas(merged, f"_key {kind}, _fp2 long, hit binary, items array<string>")
-    every = clean(texts.withColumn("_fp", fp)).drop("hit", "items")
+    every = marked.mapInPandas(counted, schema_of(marked)).drop("hit", "items")
     out = every.join(found, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_fp") == F.col("_fp2")), "left")
     return out.select(key, "n_words", "hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
@@ -231,8 +259,30 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame, key: str = "doc_
     return contamination(docs, benchmark, key=key, **options).mapInPandas(digest, schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows of a contaminated document's id."""
-    name = C.fresh(docs, "_hit")
-    hits = contamination(docs, benchmark, key=key, text=text, **options).where("hit is not null").select(F.col(key).alias(name)).distinct()
-    return docs.join(hits, F.col(key).eqNullSafe(F.col(name)), "left_anti")
+def _without(sent: Broadcast):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([next(sent.value.occurrences(item_words(t)), None) is None for t in texts], dtype=bool)
+
+    return clean
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 4, block_windows: int = 1_000_000,
+    text: str = "text", item: str = "item_id", item_text: str = "text",
+) -> DataFrame:
+    """``docs`` without its contaminated rows: each row is judged by its own text where it lies, whatever its id."""
+    C.prepare(docs.sparkSession)
+    scratch = C.Scratch(docs.sparkSession)
+    blocks = _blocks(benchmark, item, item_text, window, block_windows)
+    block = next(blocks, None)
+    while block is not None:
+        following = next(blocks, None)
+        sent = _ordered(docs.select(F.col(text).cast("string").alias("_text")), block, window, shingle)
+        docs = docs.where(_without(sent)(F.col(text).cast("string")))
+        if following is not None:
+            docs = scratch.table(docs, "decontaminated")
+            sent.destroy()
+        block = following
+    return docs

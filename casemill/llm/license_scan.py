@@ -1,31 +1,29 @@
 """Licence scans with DataFrame and SQL functions only: a trained paragraph classifier.
 
 1. Training paragraphs are the templates below and windows of them, bare and inside ordinary
-   text, against ordinary paragraphs of the corpus (at most ``ordinary_rows``, a documented
-   bound) and sentences that use licence words for something else.
-2. Word 1- to 3-grams are hashed into a sparse vector and an L1-penalized multinomial logistic
+   text, against paragraphs of the corpus that are like no template, whatever words they have (at
+   most ``ordinary_rows`` of about ``sample_documents`` documents, documented bounds), and
+   sentences that use licence words for something else.
+2. Words and word pairs are hashed into a sparse vector and an L1-penalized multinomial logistic
    regression tells the families and the unknown class apart.
-3. A temperature fitted on held-out paragraphs calibrates the probabilities; a family below
-   ``least`` is unknown.
-4. A prediction is confirmed if the paragraph shares enough word pairs with a template of the
-   family; one that is not is reported as unknown.
+3. The probabilities are calibrated by a temperature that is fitted on out-of-fold scores; folds
+   part whole templates, so a paragraph is scored by models that have not seen its wording.
+4. A family below ``least`` is unknown.  A prediction is confirmed if the paragraph shares enough
+   word pairs with a template of the family; one that is not is reported as unknown.
 
-Paragraphs are the parts of a text between newlines.  Those with an anchor word are classified
-and reported, whatever the outcome.  Of the others those that share enough word pairs with the
-templates to be confirmed at all are classified (``confirmable``, a bound that loses no
-confirmed one), and those that are found to be of a family are reported.
+Paragraphs are the parts of a text between newlines, and every one with a word is classified.
+Reported are those of a family and those with an anchor word (which may be unknown).
 
 Defined cases: null and empty texts have no paragraphs to report.  Repeated rows each report
-theirs.  A very long paragraph is one paragraph.  An empty table gives an empty result.  Extra
+theirs.  Very long texts are read whole, and a very long paragraph is one paragraph.  Of equal
+probabilities the first class in order wins.  An empty table gives an empty result.  Extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, NGram
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,87 +108,76 @@ OTHER_SENSES = (
     "The license plate was reported to the police.",
     "Please cc the general manager on that message.",
 )
-#: Each template has one of these words.
+#: Paragraphs with one of these words are reported even if unknown.
 ANCHORS = (
     "license", "licence", "licensed", "licenses", "copyright", "rights", "permission", "permitted", "redistribute", "redistribution",
     "gnu", "gpl", "lgpl", "agpl", "mit", "bsd", "apache", "mozilla", "mpl", "cc", "cc0", "creative", "spdx", "warranty", "public",
 )
 UNKNOWN = "unknown"
 FEATURES = 1 << 13
+FOLDS = 3
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0)
+#: A corpus paragraph that shares this part of its pairs with a template does not train the unknown class.
+ALIKE = 0.3
 
 
-def has_anchor(text: Column) -> Column:
-    return text.rlike(r"(?i)\b(?:" + "|".join(ANCHORS) + r")\b")
+def words(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
+def pairs(w: str) -> Column:
+    """The distinct word pairs of the words in column ``w``."""
+    return F.array_distinct(F.expr(f"CASE WHEN size({w}) >= 2 THEN transform(sequence(0, size({w}) - 2), i -> concat({w}[i], ' ', {w}[i + 1])) ELSE cast(array() AS array<string>) END"))
 
 
-def grams(w: str, n: int) -> Column:
-    """The n-grams of the words in column ``w``."""
-    parts = ", ' ', ".join(f"{w}[i + {k}]" for k in range(n))
-    return F.expr(f"CASE WHEN size({w}) >= {n} THEN transform(sequence(0, size({w}) - {n}), i -> concat({parts})) ELSE cast(array() AS array<string>) END")
+def once(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed a single time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def literal_rows(spark: SparkSession, rows: list[tuple[str, str]], names: tuple[str, str]) -> DataFrame:
-    one = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(a).alias(names[0]), F.lit(b).alias(names[1])) for a, b in rows))).alias("r"))
+def literal_rows(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
+    one = spark.range(1).select(F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(r, names, strict=True))) for r in rows))).alias("r"))
     return one.select("r.*")
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    rows = [(f, t) for f, texts in TEMPLATES.items() for t in texts]
-    return literal_rows(spark, rows, ("family", "template")).withColumn("w", words(F.col("template"))).withColumn("pairs", F.array_distinct(grams("w", 2))).drop("w")
-
-
-def confirmable(text: Column, similar: float) -> Column:
-    """Whether a paragraph can be as ``similar`` to a template as is asked.
+    rows = [(f, t, i % FOLDS) for f, texts in TEMPLATES.items() for i, t in enumerate(texts)]
+    return literal_rows(spark, rows, ("family", "template", "fold")).withColumn("w", words(F.col("template"))).withColumn("pairs", pairs("w")).drop("w")
 
-    The pairs it shares with one template are at most those it shares with all together, and
-    must be ``similar`` times the smaller number of pairs, which the shortest template bounds.
-    """
-    if similar <= 0:
-        return F.lit(True)
-    known = [re.findall("[a-z0-9]+", t.lower()) for texts in TEMPLATES.values() for t in texts]
-    pairs = [{f"{x} {y}" for x, y in zip(t, t[1:], strict=False)} for t in known]
-    every, shortest = sorted(set().union(*pairs)), min(map(len, pairs))
-    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  # evaluates value a single time
 
-    def enough(p: Column) -> Column:
-        held = F.size(F.array_distinct(F.filter(p, lambda x: x.isin(every))))
-        return (held > 0) & (held >= similar * F.least(F.size(F.array_distinct(p)) - 1, F.lit(shortest)) - 1e-9)  # the last one is null
+def shared(p: str | Column, t: Column) -> Column:
+    """Part of the smaller set of pairs that the other one has too."""
+    p = F.col(p) if isinstance(p, str) else p
+    return F.size(F.array_intersect(p, t)) / F.greatest(F.least(F.size(p), F.size(t)), F.lit(1))
 
-    def of_words(w: Column) -> Column:
-        return once(F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda x, y: F.concat(x, F.lit(" "), y)), enough)
 
-    return F.coalesce(once(words(text), of_words), F.lit(False))
+def featured(df: DataFrame) -> DataFrame:
+    """With ``features``, the hashed words and word pairs of column ``w``."""
+    rows = NGram(n=2, inputCol="w", outputCol="_two").transform(df).withColumn("_grams", F.concat("w", "_two"))
+    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="_grams", outputCol="features").transform(rows).drop("_two", "_grams")
 
 
-def featured(df: DataFrame, text: str) -> DataFrame:
-    rows = df.withColumn("w", words(F.col(text)))
-    rows = rows.withColumn("grams", F.concat("w", grams("w", 2), grams("w", 3)))
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(rows).drop("grams")
-
-
-def training_paragraphs(docs: DataFrame, text: str, ordinary_rows: int, similar: float) -> DataFrame:
-    """``family, paragraph, held``: template windows alone and inside ordinary words, and unknown paragraphs."""
+def training_paragraphs(docs: DataFrame, key: str, text: str, ordinary_rows: int, sample_documents: int) -> DataFrame:
+    """``family, paragraph, fold``: template windows alone and inside ordinary words, and unknown paragraphs."""
     spark = docs.sparkSession
-    plain = docs.select(F.explode(F.split(F.col(text), "\n")).alias("paragraph")).where(F.length(F.trim("paragraph")) > 0)
-    plain = plain.where(~has_anchor(F.col("paragraph")) & (F.length("paragraph") < 2000))
-    plain = plain.orderBy(F.xxhash64("paragraph"), "paragraph").limit(ordinary_rows)  # a bounded sample of ordinary text
-    plain = plain.where(~confirmable(F.col("paragraph"), similar))
-    plain = plain.select(F.lit(UNKNOWN).alias("family"), "paragraph")
-    other = literal_rows(spark, [(UNKNOWN, t) for t in OTHER_SENSES], ("family", "paragraph"))
-    cut = templates(spark).select("family", F.split("template", " ").alias("t"))
+    part = min(1.0, sample_documents / max(1, docs.count()))
+    some = docs.where(F.pmod(F.xxhash64(key, text), F.lit(1 << 20)) < int(part * (1 << 20)))
+    known = templates(spark).agg(F.collect_list("pairs").alias("known"))  # one row, the templates above
+    plain = some.select(F.explode(F.split(F.col(text), "\n")).alias("paragraph")).where(F.length(F.trim("paragraph")) > 0).distinct()
+    plain = plain.withColumn("w", words(F.col("paragraph"))).withColumn("pairs", pairs("w"))
+    plain = plain.join(F.broadcast(known)).where(F.forall("known", lambda t: shared("pairs", t) < ALIKE))
+    order = F.xxhash64("paragraph")
+    plain = plain.select(F.lit(UNKNOWN).alias("family"), "paragraph").orderBy(order, "paragraph").limit(ordinary_rows)  # of the sample
+    plain = plain.withColumn("fold", F.pmod(order, F.lit(FOLDS)).cast("int"))
+    other = literal_rows(spark, [(UNKNOWN, t, i % FOLDS) for i, t in enumerate(OTHER_SENSES)], ("family", "paragraph", "fold"))
+    cut = templates(spark).select("family", "fold", F.split("template", " ").alias("t"))
     # leave out up to a quarter of the words at either end
-    cut = cut.select("family", "t", F.explode(F.sequence(F.lit(0), F.floor(F.size("t") / 4).cast("int"))).alias("a"))
-    cut = cut.select("family", "t", "a", F.explode(F.sequence(F.lit(0), F.floor(F.size("t") / 4).cast("int"))).alias("b"))
-    bare = cut.select("family", F.array_join(F.expr("slice(t, a + 1, size(t) - a - b)"), " ").alias("paragraph")).distinct()
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.size("t") / 4).cast("int"))).alias("a"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.size("t") / 4).cast("int"))).alias("b"))
+    bare = cut.select("family", F.array_join(F.expr("slice(t, a + 1, size(t) - a - b)"), " ").alias("paragraph"), "fold").distinct()
     around = literal_rows(spark, [("Notice:", ""), ("Acme tools 1.2,", "See the file for details."), ("Copyright 2021 The Authors.", "Thank you for reading.")], ("before", "after"))
-    inside = bare.crossJoin(F.broadcast(around)).select("family", F.concat_ws(" ", "before", "paragraph", "after").alias("paragraph"))  # three fixed frames
-    every = plain.unionByName(other).unionByName(bare).unionByName(inside)
-    return every.withColumn("held", F.pmod(F.xxhash64("paragraph"), F.lit(5)) == 0)
+    inside = bare.join(F.broadcast(around)).select("family", F.concat_ws(" ", "before", "paragraph", "after").alias("paragraph"), "fold")  # three fixed frames
+    return plain.unionByName(other).unionByName(bare).unionByName(inside)
 
 
 def softmax(raw: Column, temperature: float) -> Column:
@@ -200,42 +187,57 @@ def softmax(raw: Column, temperature: float) -> Column:
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, y: s + y))
 
 
-def train(docs: DataFrame, text: str, ordinary_rows: int, similar: float, scratch: C.Scratch) -> tuple[LogisticRegressionModel, list[str], float]:
+def fit(rows: DataFrame) -> LogisticRegressionModel:
+    """A few thousand short rows; the model computes raw scores only."""
+    model = LogisticRegression(family="multinomial", regParam=0.0005, elasticNetParam=0.5, maxIter=40, maxBlockSizeInMB=8.0).fit(rows.coalesce(1))
+    return model.setProbabilityCol("").setPredictionCol("")
+
+
+def train(docs: DataFrame, key: str, text: str, ordinary_rows: int, sample_documents: int, scratch: C.Scratch) -> tuple[LogisticRegressionModel, list[str], float]:
     """The model, its classes in order and the temperature."""
     names = [UNKNOWN, *TEMPLATES]
     label = F.element_at(F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, float(i)))), F.col("family")).alias("label")
-    rows = scratch.table(training_paragraphs(docs, text, ordinary_rows, similar), "license-training")
-    rows = featured(rows, "paragraph").select(label, "features", "held")
-    # a few thousand short rows
-    fit = LogisticRegression(family="multinomial", regParam=0.0005, elasticNetParam=0.5, maxIter=60, maxBlockSizeInMB=8.0).fit(rows.where("not held").coalesce(1))
-    scored = fit.transform(rows.where("held")).select("label", vector_to_array("rawPrediction").alias("raw"))
-    losses = [F.avg(-F.log(F.greatest(F.element_at(softmax(F.col("raw"), t), F.col("label").cast("int") + 1), F.lit(1e-12)))).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)]
-    loss = scored.agg(*losses).first()
-    best = min(range(len(TEMPERATURES)), key=lambda i: loss[i] if loss[i] is not None else abs(TEMPERATURES[i] - 1))
-    return fit, names, TEMPERATURES[best]
-
-
-def scan_licenses(docs: DataFrame, least: float = 0.5, similar: float = 0.6, ordinary_rows: int = 2000, key: str = "doc_id", text: str = "text") -> DataFrame:
+    rows = scratch.table(training_paragraphs(docs, key, text, ordinary_rows, sample_documents), "license-training")
+    rows = scratch.table(featured(rows.withColumn("w", words(F.col("paragraph")))).select(label, "features", "fold"), "license-features")
+    scored = None
+    for k in range(FOLDS):
+        held = fit(rows.where(F.col("fold") != k)).transform(rows.where(F.col("fold") == k)).select("label", vector_to_array("rawPrediction").alias("raw"))
+        scored = held if scored is None else scored.unionByName(held)
+    p = lambda t: F.element_at(softmax(F.col("raw"), t), F.col("label").cast("int") + 1)
+    loss = scored.agg(*(F.avg(-F.log(F.greatest(p(t), F.lit(1e-12)))).alias(f"t{i}") for i, t in enumerate(TEMPERATURES))).first()
+    best = min(range(len(TEMPERATURES)), key=lambda i: loss[i])
+    return fit(rows), names, TEMPERATURES[best]
+
+
+def classified(docs: DataFrame, model: LogisticRegressionModel, key: str, text: str) -> DataFrame:
+    """Every paragraph that has an anchor word or that the model finds to be of a family: its number, words and raw scores."""
+    parts = docs.select(key, F.posexplode(F.split(text, "\n")).alias("paragraph", "_line"))
+    parts = parts.select(key, "paragraph", words(F.col("_line")).alias("w"))
+    raw = vector_to_array(F.col("rawPrediction")).alias("raw")
+    anchor = F.arrays_overlap("w", F.array(*(F.lit(a) for a in ANCHORS))).alias("anchor")
+    # the number of the task keeps the filter above this projection, so that scores are computed once
+    scored = model.transform(featured(parts)).select(key, "paragraph", "w", raw, anchor, F.spark_partition_id().alias("_task"))
+    return scored.where((F.size("w") > 0) & (F.col("anchor") | once(F.col("raw"), lambda x: F.array_max(x) > x[0]))).drop("_task")
+
+
+def scan_licenses(
+    docs: DataFrame, least: float = 0.5, similar: float = 0.6, ordinary_rows: int = 2000, sample_documents: int = 1000, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """One row per paragraph with an anchor or of a family: id, ``paragraph`` number, ``license`` (family or unknown),
     ``predicted``, calibrated ``probability``, ``similarity`` to the closest template of the family and ``confirmed``."""
     spark = docs.sparkSession
     scratch = C.Scratch(spark)
     texts = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
-    model, names, temperature = train(texts, "_text", ordinary_rows, similar, scratch)
-    parts = texts.select(key, F.posexplode(F.split("_text", "\n")).alias("paragraph", "_line"))
-    parts = featured(parts.where(has_anchor(F.col("_line")) | confirmable(F.col("_line"), similar)), "_line")
-    scored = model.transform(parts).select(key, "paragraph", "w", has_anchor(F.col("_line")).alias("anchor"), softmax(vector_to_array("rawPrediction"), temperature).alias("p"))
+    model, names, temperature = train(texts, key, "_text", ordinary_rows, sample_documents, scratch)
     classes = F.array(*(F.lit(n) for n in names))
+    scored = classified(texts, model, key, "_text").withColumn("p", softmax(F.col("raw"), temperature))
     scored = scored.withColumn("probability", F.array_max("p")).withColumn("predicted", F.element_at(classes, F.array_position("p", F.col("probability")).cast("int")))
-    scored = scored.where(F.col("anchor") | (F.col("predicted") != UNKNOWN))
-    scored = scored.withColumn("pairs", F.array_distinct(grams("w", 2))).drop("w", "p")
+    scored = scored.withColumn("pairs", pairs("w")).drop("w", "p", "raw")
     known = templates(spark).groupBy("family").agg(F.collect_list("pairs").alias("known"))  # the templates above
     joined = scored.join(F.broadcast(known), F.col("predicted") == F.col("family"), "left")
-    share = lambda t: F.size(F.array_intersect("pairs", t)) / F.greatest(F.least(F.size("pairs"), F.size(t)), F.lit(1))
-    joined = joined.withColumn("similarity", F.coalesce(F.array_max(F.transform("known", share)), F.lit(0.0)))
+    joined = joined.withColumn("similarity", F.coalesce(F.array_max(F.transform("known", lambda t: shared("pairs", t))), F.lit(0.0)))
     confirmed = (F.col("predicted") != UNKNOWN) & (F.col("probability") >= least) & (F.col("similarity") >= similar)
     return joined.select(
         key, F.col("paragraph").cast("long").alias("paragraph"), F.when(confirmed, F.col("predicted")).otherwise(F.lit(UNKNOWN)).alias("license"),
         "predicted", F.round("probability", 4).alias("probability"), F.round("similarity", 4).alias("similarity"), confirmed.alias("confirmed"),
     )
-

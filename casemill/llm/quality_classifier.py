@@ -8,8 +8,9 @@ Training takes at most ``train_rows`` labelled rows (a documented bound), whose
 computed where the documents lie; one task fits the model, and every document is scored.
 
 Defined cases: a text without words scores 0 and is judged by the thresholds alone.  Labels
-that are null or without document are left out, and of repeated labels of one id any one
-counts.  Without labelled rows, or with a single grade, there is no model: expected grade and
+that are null or without document are left out; of repeated labels of one id the least grade
+counts, and of repeated ids one text trains (see ``training_rows``).  Very long texts are read
+whole.  A tail probability equal to ``least`` keeps the row.  Without labelled rows, or with a single grade, there is no model: expected grade and
 tail probability are null and every row is kept.  Repeated rows each get a row.  Extra columns
 are ignored.
 """

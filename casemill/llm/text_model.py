@@ -179,16 +179,22 @@ def fit_logistic(design: Design, y: np.ndarray, steps: int = 150, sparsity: floa
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, columns: list[str], limit: int, key: str, text: str, extra: dict | None = None) -> DataFrame:
-    """Features and label columns of at most ``limit`` labelled rows, those of least key hash; one row per document id."""
+    """Features and label columns of at most ``limit`` labelled rows, those of least key hash; one row per document id.
+
+    Of contradicting labels of an id the least counts (by ``columns`` in order), of the texts of an
+    id the one of least fingerprint, so the rows and the model are the same in every run.
+    """
     C.prepare(docs.sparkSession)
     known = F.col(key).isNotNull()
     for c in columns:
         known = known & F.col(c).isNotNull()
-    some = labels.where(known).select(key, *columns).dropDuplicates([key])
+    some = labels.where(known).groupBy(key).agg(F.min(F.struct(*columns)).alias("_least")).select(key, "_least.*")
     some = some.orderBy(F.xxhash64(key), key).limit(limit)  # at most ``limit`` small rows
     texts = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
-    joined = texts.join(F.broadcast(some), key)
-    names = [f"{c} {t}" for c, t in some.dtypes]
+    fields = some.dtypes
+    # partial aggregation leaves one text of each id and task
+    chosen = F.min(F.struct(F.xxhash64("_text").alias("fp"), F.col("_text").alias("text"))).alias("_first")
+    joined = texts.join(F.broadcast(some), key).groupBy(*[c for c, _ in fields]).agg(chosen).withColumn("_text", F.col("_first.text")).drop("_first")
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -198,5 +204,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, columns: list[str], limit:
                 out[name] = [f(t) for t in pdf["_text"]]
             yield out
 
-    schema = ", ".join([*names, "index array<int>", "share array<float>", *(f"{n} boolean" for n in extra or {})])
-    return joined.select(*[c for c, _ in some.dtypes], "_text").mapInPandas(featured, schema)
+    schema = ", ".join([*(f"{c} {t}" for c, t in fields), "index array<int>", "share array<float>", *(f"{n} boolean" for n in extra or {})])
+    return joined.mapInPandas(featured, schema)

@@ -5,10 +5,14 @@ newline between two other characters: no token crosses it (byte-level: the space
 starts the next piece; word-end: both are dropped).  So a text is cut there, each distinct
 piece is encoded once per worker by the library, and the ids of a text are the ids of its
 pieces in a row.  A text with any other white space is cut at its lone spaces only.
+
+A text that holds the string of a special token (which the library finds first), and every text
+under a tokenizer file with other settings than these two, goes to the library as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import repeat
@@ -30,6 +34,17 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _cuttable(settings: dict, space_leads: bool) -> bool:
+    """Whether the file has the settings that cutting at spaces relies on."""
+    before, normal, model = settings["pre_tokenizer"] or {}, settings["normalizer"] or {}, settings["model"]
+    if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or settings.get("truncation") or settings.get("padding"):
+        return False
+    if space_leads:
+        return not normal and before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before["use_regex"]
+    steps = [x["type"] for x in normal.get("normalizers", ())], [x["type"] for x in before.get("pretokenizers", ())]
+    return steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and bool(model.get("end_of_word_suffix"))
+
+
 class CachedTokenizer:
     """``ids(text)``: an array (uint16 if the vocabulary allows) equal to ``encode(text, add_special_tokens=False).ids``.
 
@@ -42,7 +57,8 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cuttable = _cuttable(json.loads(self.tokenizer.to_str(pretty=False)), space_leads)
         self.merge = self.tokenizer.model.tokenize
         self.space_leads = space_leads
         letters = byte_letters()
@@ -97,6 +113,8 @@ class CachedTokenizer:
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, dtype=self.dtype)
+        if not self.cuttable or any(x in text for x in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
         parts = text.split()
         head = None
         marks = text.count(" ") + text.count("\n")

@@ -9,8 +9,10 @@ category's folds are fitted as parallel tasks, one for each fold and one for all
 
 Defined cases: a text without words has probability 0 and is not toxic.  A row whose label
 of a category is null does not train that category; a category without both labels has
-probability 0.  Without labelled rows nothing is toxic.  Repeated rows each get a row.  Extra
-columns are ignored.
+probability 0.  Without labelled rows nothing is toxic.  Of repeated labels of one id the least
+counts, and of repeated ids one text trains.  A probability equal to ``least`` is toxic.  Very
+long texts are read whole.  Repeated rows each get a row, an empty table none.  Extra columns are
+ignored.
 """
 
 from __future__ import annotations
