@@ -6,22 +6,26 @@ words is the least fingerprint among its ``anchor``-word shingles, so equal phra
 equal anchors and one anchor stands for about ``(window - anchor + 2) / 2`` phrases.
 
 1. The first document of each anchor is its reference; anchors of one document only drop
-   out (a bitmap of fixed size keeps them from being shuffled again, an exact join follows).
-2. Every document's phrases meet the reference phrases of their anchor in its block.
-   Phrases that the first document does not hold are compared among themselves in a second
-   index, by phrase: any earlier document that holds one has it there too.
-3. ``parse`` factors each document greedily from its matched phrases: a factor is extended
-   as long as the next phrase is matched; at its end the phrases that cross the boundary
-   were looked up on their own, so no duplicate is lost between two factors.  A factor of at
-   least ``window`` words becomes a duplicate span.
+   out (a bitmap keeps them from being shuffled again, an exact join follows).
+2. Every document's phrases meet the reference's phrases of their anchor, with their places, in
+   the anchor's block.  Phrases that the first document does not hold are looked up in a second
+   index, by phrase: the first document that holds one, and where.
+3. ``factors`` parses each document greedily: a factor starts at a phrase with a reference and
+   goes on as long as the next word of the text is the next word of the same reference document;
+   it is (start, end, reference document, start there).  Where it ends, the phrases across the
+   boundary have references of their own, so factors overlap there and no duplicate is lost.  A
+   factor has at least ``window`` words, and all factors become duplicate spans.
 
 An anchor of a third of all documents has one reference row; the other side of that join is
-split by adaptive execution, and both indexes are built by partial aggregation.
+split by adaptive execution, and both indexes are built by partial aggregation.  A lookup sorts
+the reference's phrases once, so a text that repeats a phrase costs no more than its length.
 
 Defined cases: null or empty texts and texts of fewer than ``window`` words lose nothing.
-Exact copies lose all words but in the document of smallest id.  Rows that repeat an id are
-one document: they are no earlier reference for each other.  A row without id comes after
-all others and is a reference for none.  Extra columns are ignored.
+Very long texts are parsed whole.  Exact copies lose all words but in the document of smallest
+id.  Rows that repeat an id are one document: they are no earlier reference for each other, and
+a place is in one of their texts.  A row without id comes after all others and is a reference
+for none.  A phrase that the reference repeats is found at its first place.  An empty table gives
+an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,21 +124,57 @@ def _candidates(batches: Iterator[pa.RecordBatch], window: int, anchor: int, fla
         )
 
 
-def parse(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Greedy factors (start, end) in words from the sorted starts of matched phrases.
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's phrases that its reference has (``hit``, and ``there``, the place) and those that it has not (``at``, ``w``)."""
 
-    A factor runs as far as each next phrase is matched; the next factor starts at the first
-    matched phrase after it, which may overlap its last words.
+    def flat(column: pa.ListArray, dtype) -> tuple[np.ndarray, np.ndarray]:
+        values = column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+        return values, np.repeat(np.arange(len(column)), pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))
+
+    def lists(rows: np.ndarray, n: int, *values: np.ndarray) -> list[pa.Array]:
+        offsets = pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32))
+        return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        (w, row), (at, _) = flat(batch.column("w"), np.int64), flat(batch.column("at"), np.int32)
+        (ref, ref_row), (place, _) = flat(batch.column("ref_w"), np.int64), flat(batch.column("ref_at"), np.int32)
+        salt = lambda v, r: v.view(np.uint64) + C.mixed(r.astype(np.uint64) + np.uint64(1))  # noqa: E731  # rows of the batch stay apart
+        known = salt(ref, ref_row)
+        order = np.lexsort((place, known))
+        known, place = known[order], place[order]
+        key = salt(w, row)
+        found = np.searchsorted(known, key)  # the first place
+        found[found == len(known)] = 0
+        hit = known[found] == key if len(known) else np.zeros(len(key), dtype=bool)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc"), batch.column("fp"), batch.column("first"),
+                *lists(row[hit], n, at[hit], place[found[hit]]), *lists(row[~hit], n, at[~hit], w[~hit]),
+            ],
+            names=["doc", "fp", "first", "hit", "there", "at", "w"],
+        )
+
+
+def factors(starts: np.ndarray, refs: np.ndarray, places: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, end, reference, start there) in words from the matched phrases of a text, in order of start.
+
+    A factor goes on while the next phrase is found one word further in the same reference.
     """
     if not len(starts):
         return []
-    s = np.unique(starts)
-    breaks = np.flatnonzero(np.diff(s) > 1)
-    return list(zip(s[np.append(0, breaks + 1)].tolist(), (s[np.append(breaks, len(s) - 1)] + window).tolist(), strict=True))
+    order = np.argsort(starts, kind="stable")
+    s, r, p = starts[order], refs[order], places[order]
+    breaks = np.flatnonzero((np.diff(s) != 1) | (np.diff(r) != 0) | (np.diff(p) != 1))
+    first, last = np.append(0, breaks + 1), np.append(breaks, len(s) - 1)
+    return list(zip(s[first].tolist(), (s[last] + window).tolist(), r[first].tolist(), p[first].tolist(), strict=True))
 
 
-def duplicate_starts(docs: DataFrame, window: int = 13, anchor: int = 6, bits: int = 1 << 28, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc, fp, starts``: the phrases of each document that an earlier document holds."""
+def phrase_references(docs: DataFrame, window: int = 13, anchor: int = 6, most_bits: int = 1 << 30, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc, fp, parts``: the phrases of each document that an earlier document holds, as lists
+    of starts and of places in the reference ``first``."""
     spark = docs.sparkSession
     C.prepare(spark)
     scratch = C.Scratch(spark)
@@ -144,7 +185,9 @@ def duplicate_starts(docs: DataFrame, window: int = 13, anchor: int = 6, bits: i
     index = anchors.groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max(F.col("doc").isNull()).alias("loose"))
     index = scratch.table(index.where("first is not null and (first < last or loose)").select("anchor", "first"), "anchor-index")
 
-    flags = np.zeros(bits // 8, dtype=np.uint8)  # fixed size, whatever the corpus
+    # about eight bits for each anchor, and 2^30 (128 MB) at most; the join below is exact in any case
+    bits = min(max(SLICE, 1 << (8 * index.count()).bit_length()), most_bits)
+    flags = np.zeros(bits // 8, dtype=np.uint8)
     width = SLICE // 8
     number = F.shiftright(F.col("anchor").bitwiseAND(F.lit(bits - 1)), SLICE.bit_length() - 1)
     sliced = index.select("anchor").repartition(max(1, bits // SLICE), number).mapInPandas(lambda it: _flagged(it, bits), "slice int, bits binary")
@@ -155,45 +198,54 @@ def duplicate_starts(docs: DataFrame, window: int = 13, anchor: int = 6, bits: i
     found = texts.mapInArrow(lambda it: _candidates(it, window, anchor, sent), f"anchor long, doc {kind}, fp int, at array<int>, w array<long>")
     found = scratch.table(found.join(index, "anchor"), "phrases")
     later = F.coalesce(F.col("doc") > F.col("first"), F.lit(True))
-    reference = found.where(F.col("doc") == F.col("first")).groupBy("anchor").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("ref"))
-    met = found.where(later).join(reference, "anchor").select("doc", "fp", F.arrays_zip("at", "w").alias("z"), "ref")
-    met = met.select(
-        "doc", "fp",
-        F.filter("z", lambda x: F.array_contains("ref", x["w"]))["at"].alias("hit"),
-        F.filter("z", lambda x: ~F.array_contains("ref", x["w"])).alias("rest"),
-    )
-    met = scratch.table(met, "factors")
+    # one row, or the rows of a repeated id
+    reference = found.where(F.col("doc") == F.col("first")).groupBy("anchor").agg(F.flatten(F.collect_list("w")).alias("ref_w"), F.flatten(F.collect_list("at")).alias("ref_at"))
+    met = found.where(later).join(reference, "anchor").select("doc", "fp", "first", "at", "w", "ref_w", "ref_at")
+    met = met.mapInArrow(_looked_up, f"doc {kind}, fp int, first {kind}, hit array<int>, there array<int>, at array<int>, w array<long>")
+    met = scratch.table(met, "looked-up")
     scratch.drop(found)
-    rest = met.select("doc", "fp", F.explode("rest").alias("x")).select("doc", "fp", "x.at", "x.w")
-    second = rest.groupBy("w").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max(F.col("doc").isNull()).alias("loose"))
-    second = second.where("first is not null and (first < last or loose)").select("w", "first")
-    more = rest.join(second, "w").where(later).select("doc", "fp", F.array("at").alias("hit"))
-    hits = met.where(F.size("hit") > 0).select("doc", "fp", "hit").unionByName(more)
-    return hits.groupBy("doc", "fp").agg(F.flatten(F.collect_list("hit")).alias("starts"))
+    rest = met.where(F.size("w") > 0).select("doc", "fp", F.explode(F.arrays_zip("at", "w")).alias("x")).select("doc", "fp", "x.at", "x.w")
+    first = F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "at"))).alias("one")  # a row without id is no reference
+    second = rest.groupBy("w").agg(first, F.max("doc").alias("last"), F.max(F.col("doc").isNull()).alias("loose"))
+    second = second.where("one is not null and (one.doc < last or loose)").select("w", F.col("one.doc").alias("first"), F.col("one.at").alias("there"))
+    more = rest.join(second, "w").where(later).groupBy("doc", "fp", "first").agg(F.collect_list("at").alias("hit"), F.collect_list("there").alias("there"))
+    hits = met.where(F.size("hit") > 0).select("doc", "fp", "first", "hit", "there").unionByName(more)
+    return hits.groupBy("doc", "fp").agg(F.collect_list(F.struct("first", "hit", "there")).alias("parts"))
 
 
 def remove_spans(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Per row: id, ``n_words``, ``spans`` (start, end in words) and the kept words joined by spaces."""
-    starts = duplicate_starts(docs, window, key=key, text=text, **options)
-    starts = starts.select(F.col("doc").alias("_doc"), F.col("fp").alias("_fp"), F.col("starts").alias("_starts"))
+    """Per row: id, ``n_words``, ``factors`` (start, end in words, reference document and start there) and the kept words joined by spaces."""
+    parts = phrase_references(docs, window, key=key, text=text, **options)
+    parts = parts.select(F.col("doc").alias("_doc"), F.col("fp").alias("_fp"), F.col("parts").alias("_parts"))
     rows = docs.select(key, F.col(text).cast("string").alias("_text"), _text_mark(text).alias("_own"))
-    rows = rows.join(starts.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_fp")), "left").select(key, "_text", "_starts")
+    rows = rows.join(parts.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_fp")), "left").select(key, "_text", "_parts")
+    kind = dict(docs.dtypes)[key]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             counts, spans, kept = [], [], []
-            for t, s in zip(pdf.pop("_text"), pdf.pop("_starts"), strict=True):
+            for t, found in zip(batch.column("_text").to_pylist(), batch.column("_parts"), strict=True):
                 words = C.encoded(t).split()
-                factors = parse(np.asarray(s, dtype=np.int64), window) if s is not None else []
-                keep = np.ones(len(words), dtype=bool)
-                for a, b in factors:
-                    keep[a:b] = False
+                keep = None
+                own = []
+                if found.is_valid:
+                    number: dict = {}
+                    parts = found.values
+                    size = pa.compute.list_value_length(parts.field("hit")).to_numpy(zero_copy_only=False)
+                    refs = np.repeat([number.setdefault(x, len(number)) for x in parts.field("first").to_pylist()], size)
+                    names = list(number)
+                    own = factors(parts.field("hit").flatten().to_numpy(), refs, parts.field("there").flatten().to_numpy(), window)
+                    keep = np.ones(len(words), dtype=bool)
+                    for a, b, _, _ in own:
+                        keep[a:b] = False
+                    own = [{"start": a, "end": b, "ref": names[r], "ref_start": p} for a, b, r, p in own]
                 counts.append(len(words))
-                spans.append([{"start": a, "end": b} for a, b in factors])
-                kept.append(b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k).decode("utf-8", "surrogatepass") if factors else b" ".join(words).decode("utf-8", "surrogatepass"))
-            yield pdf.assign(n_words=counts, spans=spans, kept=kept)
+                spans.append(own)
+                kept.append(b" ".join(words if keep is None else [words[i] for i in np.flatnonzero(keep).tolist()]).decode("utf-8", "surrogatepass"))
+            of = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ref", batch.schema.field(key).type), ("ref_start", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(counts, pa.int64()), pa.array(spans, of), pa.array(kept, pa.string())], names=[key, "n_words", "factors", "kept"])
 
-    return rows.mapInPandas(cut, f"{key} {dict(docs.dtypes)[key]}, n_words long, spans array<struct<start:int,end:int>>, kept string")
+    return rows.mapInArrow(cut, f"{key} {kind}, n_words long, factors array<struct<start:int,end:int,ref:{kind},ref_start:int>>, kept string")
 
 
 def removal_digest(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
