@@ -21,7 +21,9 @@ the exact BM25 neighbours of all documents would need the postings of every quer
 every seed, which is quadratic.
 
 Defined cases: null and empty texts have only the end id.  Rows that repeat an id are packed
-each on its own.  An empty table gives no pieces.  Extra columns are ignored.
+each on its own.  A very long text fills windows of its own; its last part goes on like a short
+text.  Of equal scores the smaller id comes first.  An empty table gives no pieces.  Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -63,13 +65,17 @@ class Statistics:
     df: np.ndarray
 
 
-def postings(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Term, text and count of every distinct pair, by term."""
-    n = len(texts)
+def described(texts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text its distinct terms and how often it has them."""
+    if not texts:
+        return []
     flat = np.concatenate(texts).astype(np.int64)
-    owner = np.repeat(np.arange(n), [len(t) for t in texts])
-    pair, tf = np.unique(flat * n + owner, return_counts=True)
-    return pair // n, pair % n, tf
+    width = int(flat.max(initial=0)) + 1
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    pair, tf = np.unique(owner * width + flat, return_counts=True)
+    ends = np.searchsorted(pair, (np.arange(len(texts)) + 1) * width)
+    term, tf = (pair % width).astype(texts[0].dtype), np.minimum(tf, 65535).astype(np.uint16)
+    return [(term[i:j], tf[i:j]) for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 class Bm25Shard:
@@ -78,28 +84,42 @@ class Bm25Shard:
     Weights are those of ``whole``, of the shard's own texts without it.
     """
 
-    def __init__(self, texts: list[np.ndarray], whole: Statistics | None = None):
-        n = len(texts)
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        term, self.doc, tf = postings(texts)
-        self.terms, first, held = np.unique(term, return_index=True, return_counts=True)
-        self.bounds = np.append(first, len(term))
+    def __init__(self, terms: list[tuple[np.ndarray, np.ndarray]], sizes: list[int], whole: Statistics | None = None):
+        self.n = n = len(terms)
+        sizes = np.array(sizes, dtype=np.int64)
+        held = np.array([len(t) for t, _ in terms], dtype=np.int64)
+        self.term = np.concatenate([t for t, _ in terms])
+        tf = np.concatenate([f for _, f in terms]).astype(np.float64)
+        doc = np.repeat(np.arange(n), held)
+        df = whole.df if whole else np.bincount(self.term)
         total, mean = (whole.n, whole.mean) if whole else (n, sizes.mean())
-        self.df = whole.df[self.terms] if whole else held
+        self.df = df[self.term]
         idf = np.log1p((total - self.df + 0.5) / (self.df + 0.5))
         norm = K1 * (1 - B + B * sizes / max(1.0, mean))
-        self.weight = np.repeat(idf, held) * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.n = n
+        self.weight = idf * tf * (K1 + 1) / (tf + norm[doc])
         # each document's query: its heaviest terms
-        number = np.repeat(np.arange(len(self.terms)), held)
-        order = np.lexsort((-self.weight, self.doc))
-        begin = np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.query = [number[order[begin[i] : min(begin[i] + QUERY_TERMS, begin[i + 1])]] for i in range(n)]
+        self.order = np.argsort(doc - self.weight / (1.001 * max(self.weight.max(initial=0), 1e-9)), kind="stable")
+        self.begin = np.concatenate([[0], np.cumsum(held)])
+        self.doc, self.postings = doc, None
+
+    def query(self, text: int) -> np.ndarray:
+        return self.order[self.begin[text] : min(self.begin[text] + QUERY_TERMS, self.begin[text + 1])]
+
+    def _index(self) -> None:
+        by_term = np.argsort(self.term, kind="stable")
+        term = self.term[by_term]
+        self.postings = self.doc[by_term], self.weight[by_term]
+        at = self.term[self.order]
+        self.first, self.last = np.searchsorted(term, at, "left"), np.searchsorted(term, at, "right")
 
     def neighbours(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents that share a query term, best first, and their scores."""
-        parts = [slice(self.bounds[t], self.bounds[t + 1]) for t in self.query[seed]]
-        score = np.bincount(np.concatenate([self.doc[p] for p in parts]), weights=np.concatenate([self.weight[p] for p in parts]), minlength=self.n)
+        if self.postings is None:
+            self._index()
+        docs, weights = self.postings
+        part = slice(self.begin[seed], min(self.begin[seed] + QUERY_TERMS, self.begin[seed + 1]))
+        parts = [slice(i, j) for i, j in zip(self.first[part].tolist(), self.last[part].tolist(), strict=True)]
+        score = np.bincount(np.concatenate([docs[p] for p in parts]), weights=np.concatenate([weights[p] for p in parts]), minlength=self.n)
         found = np.flatnonzero(score)
         found = found[np.argsort(-score[found], kind="stable")]
         return found, score[found]
@@ -107,8 +127,9 @@ class Bm25Shard:
     def keys(self, turn: int, least_df: int) -> np.ndarray:
         """Each document's terms to be sorted by in round ``turn``: its heaviest that ``least_df`` documents hold."""
         out = np.full((self.n, len(KEYS)), -1, dtype=np.int32)
-        for i, q in enumerate(self.query):
-            shared = self.terms[q[self.df[q] >= least_df]]
+        for i in range(self.n):
+            q = self.query(i)
+            shared = self.term[q[self.df[q] >= least_df]]
             if len(shared):
                 out[i] = shared[(turn + np.arange(len(KEYS))) % len(shared)]
         return out
@@ -120,7 +141,7 @@ def pack_shard(texts: list[np.ndarray], window: int, index: Bm25Shard | None = N
     With ``share`` only the windows that neighbours of at least this share of the seed's own
     score fill; the rest of each text stays unused.
     """
-    index = index or Bm25Shard(texts)
+    index = index or Bm25Shard(described(texts), [len(t) for t in texts])
     used = np.zeros(len(texts), dtype=np.int64)  # ids of each text that are placed
     left = np.array([len(t) for t in texts], dtype=np.int64)
     by_size = np.argsort(-left, kind="stable")
@@ -206,15 +227,13 @@ def statistics(rest: DataFrame, wide: np.dtype) -> Statistics:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            if batch.num_rows:
-                term, _, _ = postings([np.frombuffer(x, dtype=wide) for x in batch.column("ids").to_pylist()])
-                more = np.bincount(term, minlength=len(df))
-                more[: len(df)] += df
-                df = more
+            more = np.bincount(np.frombuffer(b"".join(batch.column("terms").to_pylist()), dtype=wide), minlength=len(df))
+            more[: len(df)] += df
+            df = more
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(df[held])], names=["term", "df"])
 
-    rows = rest.select("ids").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    rows = rest.select("terms").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
     df = np.zeros(int(rows["term"].max()) + 1 if len(rows) else 0, dtype=np.int64)
     df[rows["term"]] = rows["df"]
     n, mean = rest.agg(F.count(F.lit(1)), F.avg("length")).first()
@@ -232,33 +251,42 @@ def pack(
     scratch = C.Scratch(spark)
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(key), F.col(text)).alias("mark"), F.col(text).cast("string").alias("text"))
-    wide = tokenizer(path, space_leads).dtype
+    wide = np.dtype(tokenizer(path, space_leads).dtype)
+
+    def terms_of(terms: list[bytes], tfs: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(np.frombuffer(t, dtype=wide), np.frombuffer(f, dtype=np.uint16)) for t, f in zip(terms, tfs, strict=True)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path, space_leads)
-        sequence = TaskContext.get().partitionId() << 32
+        task = TaskContext.get().partitionId() << 32
+        sequence = row = task
         for batch in batches:
-            out = []
+            out, ends = [], []
             for i, x in enumerate(batch.column("text").to_pylist()):
                 ids = np.append(t.ids(x or ""), np.array(end_id, dtype=wide))
                 whole = len(ids) // window * window
                 for a in range(0, whole, window):
                     piece = ids[a : a + window]
-                    out.append((i, False, a, window, crc(piece), len(ids), sequence, 0, piece.astype("<u4").tobytes() if with_ids else None))
+                    out.append((i, row, False, a, window, crc(piece), len(ids), sequence, 0, piece.astype("<u4").tobytes() if with_ids else None, None, None))
                     sequence += 1
                 if whole < len(ids):
-                    out.append((i, True, whole, len(ids) - whole, None, len(ids), None, None, ids[whole:].tobytes()))
-            which, *columns = zip(*out, strict=True) if out else [()] * 9
+                    ends.append((i, row, True, whole, len(ids) - whole, None, len(ids), None, None, ids[whole:]))
+                row += 1
+            for e, (terms, tf) in zip(ends, described([e[-1] for e in ends]), strict=True):
+                out.append((*e[:-1], e[-1].tobytes(), terms.tobytes(), tf.tobytes()))
+            which, *columns = zip(*out, strict=True) if out else [()] * 12
             which = pa.array(which, pa.int64())
-            types = [pa.bool_()] + [pa.int64()] * 6 + [pa.binary()]
+            types = [pa.int64(), pa.bool_()] + [pa.int64()] * 6 + [pa.binary()] * 3
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc").take(which), batch.column("mark").take(which), *(pa.array(c, k) for c, k in zip(columns, types, strict=True))],
-                names=["doc", "mark", "open", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
+                names=["doc", "mark", "row", "open", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "terms", "tf"],
             )
 
-    pieces = rows.mapInArrow(cut, f"doc {kind}, mark long, open boolean, {PIECE}")
+    described_by = "terms binary, tf binary"
+    pieces = rows.mapInArrow(cut, f"doc {kind}, mark long, row long, open boolean, {PIECE}, {described_by}")
     pieces = scratch.table(pieces, "pieces", "open")
-    full = pieces.where("not open").select("doc", *[c.split()[0] for c in PIECE.split(", ")])
+    columns = [c.split()[0] for c in PIECE.split(", ")]
+    full = pieces.where("not open").select("doc", *columns)
     rest = pieces.where("open")
     sent = spark.sparkContext.broadcast(statistics(rest, wide))
     least_df = max(2, shard_documents // 16)
@@ -267,7 +295,8 @@ def pack(
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = Bm25Shard([np.frombuffer(x, dtype=wide) for x in batch.column("ids").to_pylist()], sent.value).keys(0, least_df)
+                terms = terms_of(batch.column("terms").to_pylist(), batch.column("tf").to_pylist())
+                keys = Bm25Shard(terms, [len(x) // wide.itemsize for x in batch.column("ids").to_pylist()], sent.value).keys(0, least_df)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(k) for k in keys.T)], names=[*batch.schema.names, *KEYS])
 
     def filler(turn: int, share: float | None):
@@ -275,39 +304,39 @@ def pack(
             shard = [b for b in batches if len(b)]  # about shard_documents rows
             if not shard:
                 return
-            pdf = pd.concat(shard).sort_values(["doc", "mark", "start"], kind="stable").reset_index(drop=True)
+            pdf = pd.concat(shard).sort_values(["doc", "mark", "row", "start"], kind="stable").reset_index(drop=True)
             texts = [np.frombuffer(x, dtype=wide) for x in pdf["ids"]]
-            docs_, marks, starts, totals = (pdf[c].tolist() for c in ("doc", "mark", "start", "doc_tokens"))
-            index = Bm25Shard(texts, sent.value)
+            docs_, marks, rows_, starts, totals, terms, tfs = (pdf[c].tolist() for c in ("doc", "mark", "row", "start", "doc_tokens", "terms", "tf"))
+            index = Bm25Shard(terms_of(terms, tfs), [len(t) for t in texts], sent.value)
             used, out = [0] * len(texts), []
             number = (1 << 62) + (turn << 58) + (TaskContext.get().partitionId() << 24)
             for k, s in enumerate(pack_shard(texts, window, index, share)):
                 offset = 0
                 for d, a, b in s:
                     piece = texts[d][a:b]
-                    out.append((docs_[d], marks[d], False, starts[d] + a, b - a, crc(piece), totals[d], number + k, offset, piece.astype("<u4").tobytes() if with_ids else None, *[None] * len(KEYS)))
+                    out.append((docs_[d], marks[d], rows_[d], False, starts[d] + a, b - a, crc(piece), totals[d], number + k, offset, piece.astype("<u4").tobytes() if with_ids else None, None, None, *[None] * len(KEYS)))
                     offset += b - a
                     used[d] = b
             if share is not None:
                 keys = index.keys(turn + 1, least_df).tolist()
                 out += [
-                    (docs_[d], marks[d], True, starts[d] + a, len(texts[d]) - a, None, totals[d], None, None, texts[d][a:].tobytes(), *keys[d])
+                    (docs_[d], marks[d], rows_[d], True, starts[d] + a, len(texts[d]) - a, None, totals[d], None, None, texts[d][a:].tobytes(), terms[d], tfs[d], *keys[d])
                     for d, a in enumerate(used) if a < len(texts[d])
                 ]
-            names = ["doc", "mark", "open", *columns, *KEYS]
+            names = ["doc", "mark", "row", "open", *columns, "terms", "tf", *KEYS]
             whole = {c: "Int64" for c in ("ids_crc32", "sequence_id", "offset")} | {k: "Int32" for k in KEYS}
             yield pd.DataFrame({c: pd.Series(v, dtype=whole.get(c)) for c, v in zip(names, zip(*out, strict=True), strict=True)})
 
         return fill
 
-    columns = [c.split()[0] for c in PIECE.split(", ")]
-    needed = ("doc", "mark", "start", "doc_tokens", "ids")
+    needed = ("doc", "mark", "row", "start", "doc_tokens", "ids", "terms", "tf")
     types = dict(rest.dtypes)
     remaining = rest.select(*needed).mapInArrow(keyed, ", ".join(f"{c} {types[c]}" for c in needed) + f", {sort_by}")
     out, n = full, sent.value.n
     for turn, share in enumerate(SHARES):
-        dealt = remaining.repartitionByRange(max(1, -(-n // shard_documents)), *KEYS, "mark")
-        filled = dealt.mapInPandas(filler(turn, share), f"doc {kind}, mark long, open boolean, {PIECE}, {sort_by}")
+        # rows that repeat id and text differ by their number, so a shard never grows with them
+        dealt = remaining.repartitionByRange(max(1, -(-n // shard_documents)), *KEYS, "mark", "row")
+        filled = dealt.mapInPandas(filler(turn, share), f"doc {kind}, mark long, row long, open boolean, {PIECE}, {described_by}, {sort_by}")
         if share is not None:
             filled = scratch.table(filled, f"round-{turn}", "open")
             remaining = filled.where("open").select(*needed, *KEYS)

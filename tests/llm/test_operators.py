@@ -552,6 +552,32 @@ def test_spans_against_brute_force(docs, empty, window, anchor):
         gone = {p for i in range(len(w) - window + 1) if first[tuple(w[i : i + window])] < d for p in range(i, i + window)}
         kept = b" ".join(x for p, x in enumerate(w) if p not in gone)
         want[d] = (len(w), len(gone), hashlib.sha256(kept).hexdigest())
-    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.removal_digest(docs, window=window, anchor=anchor, bits=1 << 22).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.removal_digest(docs, window=window, anchor=anchor).collect()}
     assert got == want
-    assert substring_dedup.removal_digest(empty, bits=1 << 22).count() == 0
+    assert substring_dedup.removal_digest(empty).count() == 0
+    # factors are words of an earlier document, as long as they can be there, and cover what is removed
+    for r in substring_dedup.remove_spans(docs, window=window, anchor=anchor).collect():
+        own, covered = texts[r["doc_id"]], set()
+        for f in r["factors"]:
+            ref, n = texts[f["ref"]], f["end"] - f["start"]
+            assert f["ref"] < r["doc_id"] and n >= window
+            assert own[f["start"] : f["end"]] == ref[f["ref_start"] : f["ref_start"] + n]
+            covered.update(range(f["start"], f["end"]))
+        assert len(covered) == want[r["doc_id"]][1]
+        for f, g in zip(r["factors"], r["factors"][1:], strict=False):  # the next one does not go on where this one ended
+            assert g["start"] > f["start"]
+            assert (g["ref"], g["start"], g["ref_start"]) != (f["ref"], f["end"] - window + 1, f["ref_start"] + f["end"] - f["start"] - window + 1)
+
+
+def test_factors_of_an_exact_copy_and_of_repeats(spark):
+    rng = random.Random(8)
+    one, two = words(rng, 60, 9000), words(rng, 60, 9000)
+    loop = ["so", "it", "goes", "on", "and"] * 4000
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(two[10:40] + one[5:50])), (4, " ".join(one)), (None, " ".join(one)), (5, " ".join(loop)), (6, " ".join(loop)), (7, None), (8, "")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, first int")
+    got = {r["doc_id"]: r for r in substring_dedup.remove_spans(df).collect()}
+    plain = lambda d: [tuple(f) for f in got[d]["factors"]]
+    assert plain(3) == [(0, 30, 2, 10), (30, 75, 1, 5)]
+    assert plain(4) == plain(None) == [(0, 60, 1, 0)]
+    assert plain(1) == plain(2) == plain(5) == plain(7) == plain(8) == []
+    assert got[6]["kept"] == "" and got[5]["kept"].count(" ") == len(loop) - 1
