@@ -122,7 +122,7 @@ def _prefixed(batches: Iterator[pd.DataFrame], size: int, percent: int, rarity)
     mask = np.uint64(len(counts) - 1)
     seen: set[int] = set()  # classes already written by this task; only saves repeats
     for pdf in batches:
-        tokens, classes, sizes = [], [], []
+        tokens, classes = [], []
         for text in pdf["text"]:
             s = _document_set(text, size)
             cls = _class_id(s) if len(s) else None
@@ -135,9 +135,8 @@ def _prefixed(batches: Iterator[pd.DataFrame], size: int, percent: int, rarity)
             rare = s[np.argsort(counts[(s & mask).astype(np.int64)], kind="stable")[:k]]
             tokens.append(rare.view(np.int64))
             classes.append(np.full(k, cls, dtype=np.int64))
-            sizes.append(np.full(k, len(s), dtype=np.int32))
         if tokens:
-            yield pd.DataFrame({"token": np.concatenate(tokens), "cls": np.concatenate(classes), "n": np.concatenate(sizes)})
+            yield pd.DataFrame({"token": np.concatenate(tokens), "cls": np.concatenate(classes)})
 
 
 # One region in one task ------------------------------------------------------------------
@@ -498,22 +497,22 @@ def _placed(docs: DataFrame, shingle: int, percent: int, key: str, text: str, bu
     rarity = spark.sparkContext.broadcast(counts)
     rows = profiles.where("kind = 0").select("doc", "fp", "n", "cls")
 
-    prefixes = texts.select("text").mapInPandas(lambda it: _prefixed(it, shingle, percent, rarity), "token long, cls long, n int")
+    prefixes = texts.select("text").mapInPandas(lambda it: _prefixed(it, shingle, percent, rarity), "token long, cls long")
     prefixes = scratch.table(prefixes, "prefixes")
-    shared = prefixes.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token")
-    shared = scratch.table(shared, "shared-tokens")
-    members = prefixes.join(C.bounded_broadcast(shared, broadcast_rows), "token").distinct()
-    members = scratch.table(members, "token-members")
-    scratch.drop(prefixes, shared)
+    by_token = prefixes.repartition("token")  # one shuffle serves the count, the join and the distinct
+    shared = by_token.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token")
+    members = scratch.table(by_token.join(shared, "token").distinct(), "token-members")
+    scratch.drop(prefixes)
     # a linked class shares at least as many tokens as the smaller of the two sets must; chance hits seldom do
+    sizes = scratch.table(rows.where("cls is not null").groupBy("cls").agg(F.min("n").alias("n")), "class-sizes")
     needed = least_shared_column(F.floor((percent * F.col("n") + 99) / 100))
     for _ in range(2):
-        enough = members.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= needed).select("cls")
-        left = members.join(enough, "cls")
+        enough = members.groupBy("cls").agg(F.count(F.lit(1)).alias("held")).join(sizes, "cls").where(F.col("held") >= needed).select("cls")
+        left = members.select("token", "cls").join(enough, "cls")
         several = left.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token", "lo")
-        kept = scratch.table(left.join(several, "token").select("token", "cls", "n", "lo"), "token-members")
+        kept = scratch.table(left.join(several, "token"), "token-members")
         scratch.drop(members)
-        members = kept.select("token", "cls", "n")
+        members = kept
     # documents that share tokens, directly or through others, are one region, so each is in one region only
     edges = kept.where("cls <> lo").select(F.col("cls").alias("a"), F.col("lo").alias("b")).distinct()
     regions = connected_components(edges, scratch).select(F.col("node").alias("cls"), F.col("component").alias("region"))
@@ -528,12 +527,11 @@ def _placed(docs: DataFrame, shingle: int, percent: int, key: str, text: str, bu
             yield pd.DataFrame({"cls": [_class_id(s) for s in sets], "shingles": [s.tobytes() for s in sets]}).astype({"cls": "int64"})
 
     sets = scratch.table(held.mapInPandas(as_sets, "cls long, shingles binary"), "sets")
-    sizes = members.select("cls", "n").distinct()
     join = _Join(scratch, percent, leaf, sets, members.select("cls", "token"))
     join.run(scratch.table(regions.join(sizes, "cls").select("region", "cls", "n", F.lit(False).alias("fine")), "members"))
     labels = join.labels().withColumnRenamed("node", "cls")
     placed = scratch.table(rows.join(labels, "cls", "left").select("doc", "fp", "n", F.coalesce("component", "cls").alias("component")), "placed")
-    scratch.drop(sets, members, regions, wanted, profiles, *join.links)
+    scratch.drop(sets, members, sizes, regions, wanted, profiles, *join.links)
     return placed
 
 
