@@ -3,20 +3,23 @@
 1. ``text_statistics`` measures every whole text (words, characters, symbols, repeated
    lines and phrases) in Arrow batches; no shuffle.
 2. ``robust_outliers`` fits, for each group (language and source), the minimum covariance
-   determinant estimate of the transformed statistics: starting from medians and MADs,
-   each concentration step keeps the ``support`` share of rows with the smallest
-   Mahalanobis distances and re-estimates centre and covariance from them.  A step is one
-   aggregation over all rows: moments are summed per group and distance bin (partial sums
-   on the map side, so a group with a third of all rows costs no skew) and a running sum
-   over the bins gives the moments of the kept share.  Rows are never sampled.
+   determinant estimate of the transformed statistics.  There are several starts: medians and
+   MADs, and mean and covariance of small subsets chosen by hash.  A concentration step keeps the
+   ``support`` share of rows with the smallest Mahalanobis distances and estimates centre and
+   covariance from them, which never raises the determinant.  After two steps the start of least
+   determinant goes on until no determinant changes any more.  A step is one aggregation over
+   all rows: moments are summed per group, start and distance bin (partial sums on the map side, so
+   a group with a third of all rows costs no skew) and a running sum over the bins gives the
+   moments of the kept share.  Rows are never sampled for a step.
 3. Distances whose median is above that of a chi-squared variable are scaled down to it
    (the kept share understates the spread), and rows beyond its ``quantile`` are rejected.
 
 Defined cases: a null or empty text has no words, is short and fails the base rule.  Null
 group columns are groups of their own.  Groups of fewer than ``min_group`` fitted rows are
 pooled per language (first group column), and those again overall; without any fitted row
-nothing but the base rule rejects.  Repeated rows each count and each get a row.  Extra
-columns are ignored.
+nothing but the base rule rejects.  Repeated rows each count and each get a row.  Very long texts
+are measured whole.  Rows at one distance are in one bin, which is kept or left as a whole; starts of
+equal determinant: the first.  An empty table gives an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ FEATURES = ("f_length", "f_word", "f_symbol", "f_upper", "f_adjacent", "f_lines"
 #: and spread within it is ordinary in any prose.
 FLOORS = (1.0, 0.12, 0.03, 0.05, 0.04, 0.15, 0.06)
 BINS_PER_OCTAVE = 16
+#: A log determinant that changes by less has converged.
+TOLERANCE = 1e-3
 
 
 def measure(text: object) -> tuple[int, int, int, int, int, int, int, int]:
@@ -113,28 +118,31 @@ def distance(features: tuple[str, ...]) -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
+PARAMS = "fit string, start int, mu array<double>, prec array<double>, logdet double"
+
+
 def _inverted(batches: Iterator[pd.DataFrame], floors: tuple[float, ...]) -> Iterator[pd.DataFrame]:
-    """Centre and inverse covariance of each group from its sums."""
+    """Centre, inverse covariance and log determinant of each group and start from its sums."""
     p = len(floors)
     for pdf in batches:
         rows = []
-        for fit, n, s, q in zip(pdf["fit"], pdf["n"], pdf["s"], pdf["q"], strict=True):
+        for fit, start, n, s, q in zip(pdf["fit"], pdf["start"], pdf["n"], pdf["s"], pdf["q"], strict=True):
             mu = np.asarray(s, dtype=float) / n
             cov = np.zeros((p, p))
             cov[np.triu_indices(p)] = np.asarray(q, dtype=float) / n
             cov = cov + np.triu(cov, 1).T - np.outer(mu, mu)
             cov += np.diag(np.maximum(np.square(floors) - np.diag(cov), 0) + 1e-9)
-            rows.append((fit, mu.tolist(), np.linalg.inv(cov).ravel().tolist()))
-        yield pd.DataFrame(rows, columns=["fit", "mu", "prec"])
+            rows.append((fit, start, mu.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
+        yield pd.DataFrame(rows, columns=["fit", "start", "mu", "prec", "logdet"])
 
 
 def _share(df: DataFrame, share: float, *sums: Column) -> DataFrame:
     """Running sums over each group's distance bins up to the first bin that reaches ``share`` of its rows."""
-    per_bin = df.groupBy("fit", "bin").agg(F.count(F.lit(1)).alias("n_bin"), *sums)
-    names = [c for c in per_bin.columns if c not in ("fit", "bin")]
-    up = W.partitionBy("fit").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-    run = per_bin.select("fit", "bin", *(F.sum(c).over(up).alias(c) for c in names), F.sum("n_bin").over(W.partitionBy("fit")).alias("n_all"))
-    first = W.partitionBy("fit").orderBy("bin")
+    per_bin = df.groupBy("fit", "start", "bin").agg(F.count(F.lit(1)).alias("n_bin"), *sums)
+    names = [c for c in per_bin.columns if c not in ("fit", "start", "bin")]
+    up = W.partitionBy("fit", "start").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    run = per_bin.select("fit", "start", "bin", *(F.sum(c).over(up).alias(c) for c in names), F.sum("n_bin").over(W.partitionBy("fit", "start")).alias("n_all"))
+    first = W.partitionBy("fit", "start").orderBy("bin")
     return run.where(F.col("n_bin") >= F.col("n_all") * share).withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "n_all")
 
 
@@ -145,7 +153,8 @@ def robust_outliers(
     floors: tuple[float, ...] = FLOORS,
     groups: tuple[str, ...] = ("g0", "g1"),
     support: float = 0.75,
-    steps: int = 4,
+    steps: int = 10,
+    subsets: tuple[int, ...] = (3, 17),
     quantile: float = 0.999999,
     min_group: int = 100,
     broadcast_groups: int = 20_000,
@@ -180,30 +189,46 @@ def robust_outliers(
     )
     inverse = [F.pow(F.greatest(F.round(F.col(f"s_{f}") * 1.4826, 3), F.lit(w)), F.lit(-2.0)) for f, w in zip(features, floors, strict=True)]
     params = spread.select(
-        "fit",
+        "fit", F.lit(0).alias("start"),
         F.array(*(F.round(F.col(f"m_{f}"), 3) for f in features)).alias("mu"),
         F.array(*(inverse[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p))).alias("prec"),
+        F.lit(math.inf).alias("logdet"),
     )
-    params = scratch.table(params, "mcd-start")
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(features)]
     sums += [F.sum(F.col(features[i]) * F.col(features[j])).alias(f"q{k}") for k, (i, j) in enumerate(pairs)]
+    moments = [F.array(*(f"s{i}" for i in range(p))).alias("s"), F.array(*(f"q{k}" for k in range(len(pairs)))).alias("q")]
+    fit_of = lambda df: df.select("fit", "start", "n", *moments).mapInPandas(lambda it: _inverted(it, floors), PARAMS)
+    # other starts: one row in 32 by hash, if these are enough for a covariance
+    residue = F.pmod(F.xxhash64(*features), F.lit(32)).cast("int")
+    some = fitted.where(residue.isin(*subsets)).groupBy("fit", residue.alias("start")).agg(F.count(F.lit(1)).alias("n"), *sums).where(F.col("n") >= 4 * p)
+    params = scratch.table(params.unionByName(fit_of(some)), "mcd-starts")
     binned = F.floor(F.log2(distance(features) + 1e-6) * BINS_PER_OCTAVE).cast("int").alias("bin")
-    for step in range(steps):
-        near = fitted.join(hint(params), "fit").select("fit", *features, binned)
-        best = _share(near, support, *sums).select(
-            "fit",
-            F.col("n_bin").alias("n"),
-            F.array(*(f"s{i}" for i in range(p))).alias("s"),
-            F.array(*(f"q{k}" for k in range(len(pairs)))).alias("q"),
-        )
-        fresh = best.mapInPandas(lambda it: _inverted(it, floors), "fit string, mu array<double>, prec array<double>")
-        fresh = scratch.table(fresh, f"mcd-step{step}")
+
+    def concentrated(params: DataFrame, step: int) -> DataFrame:
+        near = fitted.join(hint(params), "fit").select("fit", "start", *features, binned)
+        fresh = scratch.table(fit_of(_share(near, support, *sums).withColumnRenamed("n_bin", "n")), f"mcd-step{step}")
+        return fresh
+
+    for step in range(2):
+        fresh = concentrated(params, step)
+        scratch.drop(params)
+        params = fresh
+    best = F.min_by(F.struct("start", "mu", "prec", "logdet"), F.struct("logdet", "start")).alias("b")
+    fresh = scratch.table(params.groupBy("fit").agg(best).select("fit", "b.*"), "mcd-best")
+    scratch.drop(params)
+    params = fresh
+    for step in range(2, steps):
+        fresh = concentrated(params, step)
+        before = params.select("fit", F.col("logdet").alias("before"))
+        change = fresh.join(hint(before), "fit").agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
         scratch.drop(params)
         params = fresh
-    near = fitted.join(hint(params), "fit").select("fit", binned)
+        if change is None or change < TOLERANCE:
+            break
+    near = fitted.join(hint(params), "fit").select("fit", "start", binned)
     middle = _share(near, 0.5).select("fit", F.pow(F.lit(2.0), (F.col("bin") + 0.5) / BINS_PER_OCTAVE).alias("middle"))
-    final = scratch.table(params.join(middle, "fit"), "mcd-final")
+    final = scratch.table(params.join(middle, "fit").drop("start", "logdet"), "mcd-final")
     scratch.drop(params)
     half = chi2_quantile(0.5, p)
     scaled = distance(features) * (half / F.greatest(F.col("middle"), F.lit(half)))
