@@ -95,6 +95,11 @@ class Scratch:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def range_partitions(stored: DataFrame, rows_each: int) -> int:
+    """The session's number of shuffle partitions, or more, so that one has about ``rows_each`` rows at most, whatever the table's size."""
+    return max(int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored.count() // rows_each))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

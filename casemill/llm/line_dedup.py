@@ -11,7 +11,9 @@ document; ``apply_bitmaps`` turns bitmaps and documents into text.
 Defined cases: null and empty texts are one empty line, which has no key and stays.  Lines
 whose key has fewer than ``min_chars`` code points stay.  Repeated rows (the same id and
 text) count as one document and each gets the result; the same id with another text is
-judged by its own lines.  A null id is an id like any other.  Extra columns are ignored.
+judged by its own lines.  A null id is an id like any other.  Very long texts are read whole.  Ties in
+the order of a key's documents are rows of one id, ordered by text.  An empty table gives an empty
+result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -123,8 +125,7 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, mi
     kind = dict(keyed.dtypes)["doc"]
     keyed = keyed.mapInPandas(lambda it: _keyed(it, min_chars), f"key binary, doc {kind}, fp long, n_lines int, at array<int>")
     keyed = scratch.table(keyed, "line-keys")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartitionByRange(parts, "key", "doc").sortWithinPartitions("key", "doc", "fp")
+    ordered = keyed.repartitionByRange(C.range_partitions(keyed, 500_000), "key", "doc").sortWithinPartitions("key", "doc", "fp")
     rows = ordered.mapInPandas(
         lambda it: _streamed(it, min_docs, keep_first),
         f"state int, key binary, part int, n_docs long, doc {kind}, fp long, n_lines int, at array<int>",

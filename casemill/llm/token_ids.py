@@ -13,7 +13,8 @@ range of ids and is written as one file; Parquet is the container, so that tasks
 are repeated leave no trace.
 
 Defined cases: null and empty texts have only the end id.  Rows that repeat an id follow each
-other, ordered by text; rows without id come first.  Extra columns are ignored.
+other, ordered by text; rows without id come first.  Very long texts are one document.  Equally
+frequent ids: the smaller one first.  An empty table gives empty tables.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -134,8 +135,7 @@ def write_token_files(docs: DataFrame, path: str, space_leads: bool = False, end
         rank_of[r["id"]] = r["rank"]
     sent = spark.sparkContext.broadcast(rank_of)
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = raw.repartitionByRange(parts, "doc", "mark").sortWithinPartitions("doc", "mark")
+    ordered = raw.repartitionByRange(C.range_partitions(raw, 20_000), "doc", "mark").sortWithinPartitions("doc", "mark")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, before, place = TaskContext.get().partitionId(), 0, 0
