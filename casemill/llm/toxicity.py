@@ -115,15 +115,20 @@ def train_chain(rows: DataFrame, categories: tuple[str, ...], folds: int, scratc
     return Chain(np.stack(weights), earlier, intercepts)
 
 
+def training_table(docs: DataFrame, labels: DataFrame, train_rows: int, folds: int, key: str, text: str, scratch: C.Scratch) -> DataFrame:
+    """The stored, bounded table of the training rows with their features, categories and folds."""
+    rows = M.training_rows(docs, labels, ["toxic"], train_rows, key, text, {"has_insult": has_word(INSULTS), "has_contempt": has_word(CONTEMPT)})
+    # at most ``train_rows`` rows are numbered here
+    rows = rows.withColumn("row", F.row_number().over(W.orderBy(F.xxhash64(key), key)) - 1).withColumn("fold", F.col("row") % folds)
+    return scratch.table(weak_labels(rows), "toxicity-training")
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, least: float = 0.5, train_rows: int = 4000, folds: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, the probability of each category and ``toxic``."""
     spark = docs.sparkSession
     C.prepare(spark)
     scratch = C.Scratch(spark)
-    rows = M.training_rows(docs, labels, ["toxic"], train_rows, key, text, {"has_insult": has_word(INSULTS), "has_contempt": has_word(CONTEMPT)})
-    # at most ``train_rows`` rows are numbered here
-    rows = rows.withColumn("row", F.row_number().over(W.orderBy(F.xxhash64(key), key)) - 1).withColumn("fold", F.col("row") % folds)
-    rows = scratch.table(weak_labels(rows), "toxicity-training")
+    rows = training_table(docs, labels, train_rows, folds, key, text, scratch)
     picked = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
     kind = dict(docs.dtypes)[key]
     if rows.isEmpty():

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from casemill.llm import decontaminate, jaccard_join, license_scan, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, token_ids, toxicity
+from casemill.llm import decontaminate, jaccard_join, license_scan, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, text_model, token_ids, toxicity
 from casemill.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -95,16 +95,56 @@ def test_outliers_are_found_and_the_rest_is_kept(spark):
     assert sum(got[i] for i in range(300)) >= 298
 
 
-def test_covariance_of_the_kept_share_matches_numpy(spark):
-    """Without bins that matter (a share of 1) one step is the plain mean and covariance."""
+def brute_outliers(x, residue, floors, support, steps, quantile, med, mad, subsets=(3, 17)):
+    """Minimum covariance determinant in numpy: the same starts, concentration by whole distance bins, least determinant."""
+    n, p = x.shape
+
+    def estimate(rows):
+        mu, cov = rows.mean(axis=0), np.cov(rows.T, bias=True).reshape(p, p)
+        cov = cov + np.diag(np.maximum(np.square(floors) - np.diag(cov), 0) + 1e-9)
+        return mu, np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+    def bins(mu, inv):
+        d = np.maximum(np.einsum("ij,jk,ik->i", x - mu, inv, x - mu), 0)
+        return d, np.floor(np.log2(d + 1e-6) * quality_rules.BINS_PER_OCTAVE)
+
+    def concentrate(mu, inv, _):
+        b = bins(mu, inv)[1]
+        edge = min(v for v in np.unique(b) if (b <= v).sum() >= n * support)
+        return estimate(x[b <= edge])
+
+    starts = [(np.round(med, 3), np.diag(1 / np.square(np.maximum(np.round(mad * 1.4826, 3), floors))), np.inf)]
+    starts += [estimate(x[residue == k]) for k in subsets if (residue == k).sum() >= 4 * p]
+    starts = [concentrate(*concentrate(*s)) for s in starts]
+    best = min(starts, key=lambda s: s[2])
+    for _ in range(2, steps):
+        after = concentrate(*best)
+        change, best = abs(after[2] - best[2]), after
+        if change < quality_rules.TOLERANCE:
+            break
+    d, b = bins(*best[:2])
+    edge = min(v for v in np.unique(b) if (b <= v).sum() >= n * 0.5)
+    half = quality_rules.chi2_quantile(0.5, p)
+    d = d * half / max(2 ** ((edge + 0.5) / quality_rules.BINS_PER_OCTAVE), half)
+    return d, d > quality_rules.chi2_quantile(quantile, p), len(starts)
+
+
+@pytest.mark.parametrize(("support", "steps"), [(0.75, 10), (0.5, 3), (1.0, 4)])
+def test_outliers_against_brute_force(spark, support, steps):
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(200, 2)) @ np.array([[1.0, 0.6], [0.0, 0.8]]) + [3, -1]
-    stats = spark.createDataFrame([(float(a), float(b), "g", "h") for a, b in x], "f0 double, f1 double, g0 string, g1 string")
-    out = quality_rules.robust_outliers(stats, F.lit(True), ("f0", "f1"), (0.01, 0.01), support=1.0, steps=1, min_group=10).toPandas()
-    mu, inv = x.mean(axis=0), np.linalg.inv(np.cov(x.T, bias=True) + 1e-9 * np.eye(2))
-    d = np.einsum("ij,jk,ik->i", out[["f0", "f1"]].to_numpy() - mu, inv, out[["f0", "f1"]].to_numpy() - mu)
-    ratio = out["distance"].to_numpy() / d
-    assert np.allclose(ratio, ratio[0], rtol=1e-4)
+    x = rng.normal(size=(1500, 2)) @ np.array([[1.0, 0.6], [0.0, 0.8]]) + [3, -1]
+    x[:200] = rng.normal(size=(200, 2)) * 0.3 + [9, 5]  # a cluster of outliers
+    stats = spark.createDataFrame([(float(a), float(b), "g", "h", i) for i, (a, b) in enumerate(x)], "f0 double, f1 double, g0 string, g1 string, i int")
+    rows = quality_rules.robust_outliers(stats, F.lit(True), ("f0", "f1"), (0.01, 0.01), support=support, steps=steps, min_group=10, quantile=0.999)
+    out = rows.withColumn("residue", F.pmod(F.xxhash64("f0", "f1"), F.lit(32))).toPandas().sort_values("i")
+    med = stats.agg(*(F.percentile_approx(c, 0.5, 2000) for c in ("f0", "f1"))).first()
+    mad = stats.agg(*(F.percentile_approx(F.abs(F.col(c) - m), 0.5, 2000) for c, m in zip(("f0", "f1"), med, strict=True))).first()
+    distance, outlier, starts = brute_outliers(x, out["residue"].to_numpy(), np.array([0.01, 0.01]), support, steps, 0.999, np.array(med), np.array(mad))
+    assert starts == 3
+    assert np.allclose(out["distance"].to_numpy(), distance, rtol=1e-6)
+    assert np.array_equal(out["outlier"].to_numpy(), outlier)
+    if support < 1:
+        assert outlier[:200].all() and outlier[200:].mean() < 0.02
 
 
 # 2 line dedup
@@ -273,6 +313,66 @@ def test_ordinal_gradient():
     assert w[0] > w[1]
 
 
+def test_grades_against_brute_force(spark, docs):
+    """The model is the same in every run, and each whole text is scored by its own features."""
+    table, labels, _ = labelled(spark)
+    ratings = quality_classifier.graded(labels)
+    model, again = (quality_classifier.train(table, r) for r in (ratings, ratings.repartition(7)))
+    weights, thresholds, grades = model
+    assert np.array_equal(weights, again[0]) and np.array_equal(thresholds, again[1]) and grades == again[2] == [0, 1, 2]
+    mixed = table.select("doc_id", "text").union(docs.select(F.col("doc_id") + 10_000, "text"))
+    got = {r["doc_id"]: r for r in quality_classifier.grade_quality(mixed.withColumn("n", F.lit(1)), ratings.where("doc_id < 10000")).collect()}
+    for d, t in texts_of(mixed).items():
+        index, share = text_model.document_features(t)
+        s = float(weights[index].astype(float) @ share)
+        below = 1 / (1 + np.exp(-(thresholds - s)))
+        p = np.diff([0, *below, 1])
+        assert abs(got[d]["expected_grade"] - p @ grades) < 2e-3
+        assert abs(got[d]["tail_probability"] - p[1:].sum()) < 2e-3
+        assert got[d]["kept"] == (p[1:].sum() >= 0.5) or abs(p[1:].sum() - 0.5) < 1e-3
+
+
+def test_chain_against_brute_force(spark, docs):
+    """The chain fitted by a plain loop over categories and folds, and probabilities from each text's features."""
+    table, labels, _ = labelled(spark, 240)
+    scratch = toxicity.C.Scratch(spark)
+    rows = toxicity.training_table(table, labels, 4000, 3, "doc_id", "text", scratch)
+    pdf = rows.toPandas().sort_values("row").reset_index(drop=True)
+    assert len(pdf) == len(set(pdf["row"])) == 240
+    index, share, fold = [np.asarray(x) for x in pdf["index"]], [np.asarray(x) for x in pdf["share"]], pdf["fold"].to_numpy()
+    earlier, models = np.zeros((240, 0)), []
+    for c in toxicity.CATEGORIES:
+        design = text_model.Design(index, share, toxicity.log_odds(earlier), least=5, even=True)
+        y, known, held_out = pdf[c].fillna(0).to_numpy(dtype=float), pdf[c].notna().to_numpy(), np.zeros(240)
+        for k in (0, 1, 2, -1):
+            learn = np.flatnonzero(known & (fold != k))
+            w, d, b = text_model.fit_logistic(design.take(learn), y[learn])
+            if k < 0:
+                models.append((design.full(w), d, b))
+            else:
+                held_out[fold == k] = text_model.sigmoid(design.scores(w, d) + b)[fold == k]
+        earlier = np.column_stack([earlier, held_out])
+    mixed = table.select("doc_id", "text").union(docs.select(F.col("doc_id") + 10_000, "text"))
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(mixed.withColumn("row", F.lit(1)), labels.where("doc_id < 10000")).collect()}
+    for d, t in texts_of(mixed).items():
+        i, x = text_model.document_features(t)
+        p = []
+        for w, dense, b in models:
+            p.append(float(text_model.sigmoid(w[i].astype(float) @ x + toxicity.log_odds(np.array(p)) @ dense + b)) if len(i) else 0.0)
+        assert np.allclose([got[d][f"p_{c}"] for c in toxicity.CATEGORIES], p, atol=5e-3)
+        assert got[d]["toxic"] == (p[-1] >= 0.5) or abs(p[-1] - 0.5) < 5e-3
+
+
+def test_training_rows_are_bounded_and_chosen_by_rule(spark):
+    """Repeated ids and contradicting labels: one row for each id, the least label, whatever the order."""
+    docs = spark.createDataFrame([(i % 50, f"text {i % 3} of {i % 50}", "x") for i in range(3000)] + [(None, "no id", "x")], "doc_id long, text string, grade string")
+    labels = spark.createDataFrame([(i % 50, i % 2, 0) for i in range(200)] + [(None, 1, 0), (77, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int")
+    some = [text_model.training_rows(docs.repartition(n), labels.repartition(n), ["quality", "toxic"], 20, "doc_id", "text").collect() for n in (2, 5)]
+    assert len(some[0]) <= 20 and sorted(map(str, some[0])) == sorted(map(str, some[1]))
+    assert len({r["doc_id"] for r in some[0]}) == len(some[0])
+    assert all(r["quality"] == r["doc_id"] % 2 for r in some[0])
+
+
 # 5, 10 token files and packing
 
 

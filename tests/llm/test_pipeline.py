@@ -1,5 +1,6 @@
 """The pipeline against a brute-force version of each stage, on all that the stage before it kept."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -73,3 +74,26 @@ def test_run_is_the_stages_in_order(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "packing"]
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     assert decontaminate.item_words(None) == []
+
+
+def test_empty_tables_and_odd_rows(spark, tmp_path):
+    """Nothing in, nothing out; and rows without id or text, repeated rows and clashing columns go through every stage."""
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(9000)}" for _ in range(40))
+    one, hit = text(), text()
+    rows = [(1, one), (1, one), (None, text()), (2, None), (3, ""), (4, hit), (4, text()), (5, "x " * 30_000)]
+    schema = "doc_id long, text string, _doc int, fp string, label int, row int"
+    for name, some in (("none", []), ("odd", [(*r, 1, "f", 0, 2) for r in rows])):
+        at = str(tmp_path / name)
+        spark.createDataFrame(some, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(None, hit)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        docs, columns = spark.read.parquet(f"{at}/documents.parquet"), None
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            columns = docs.columns
+            stage(spark, docs, at).write.parquet(f"{at}/{i}")
+            docs = spark.read.parquet(f"{at}/{i}")
+            assert i == 4 or docs.columns == columns
+        kept = sorted(((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{at}/3").collect()), key=str)
+        assert kept == sorted([r for r in rows[1:] if r[1] != hit] if some else [], key=str)
+        assert docs.where("start = 0").count() == len(kept)
