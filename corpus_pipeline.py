@@ -3,6 +3,13 @@
 ``STAGES`` lists the stages in order.  Each takes (spark, docs, sf_dir), works on all rows of
 ``docs`` and returns a DataFrame, which ``run`` writes as Parquet to the shared folder and
 reads again as the next stage's documents.  All but the last return the columns of documents.
+
+Defined cases, for every stage: null and empty texts have no words and no lines to lose; they pass the
+filters and are packed as their end id.  Very long texts are taken whole.  Repeated rows are judged
+alike; of rows that repeat id and text the near-duplicate stage keeps one.  Rows without id are judged by
+their texts.  Ties: see the operator of the stage.  Extra columns, whatever their names, go through the
+filters unchanged.  Without documents every stage gives an empty table, without labels the classifier
+keeps every row, and without a benchmark no row is contaminated.
 """
 
 from __future__ import annotations
@@ -26,6 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A line of at least ten documents stays in the first of them only."""
     kept = line_dedup.dedup_lines(docs, min_docs=10, keep_first=True)
+    if "n_chars" not in docs.columns:
+        return kept
     return kept.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
