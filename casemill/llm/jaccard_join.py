@@ -564,7 +564,8 @@ def first_of_each(
     own = placed.join(first, "component").select("doc", "fp", (order != F.col("first")).alias("later"))
     marks = own.groupBy("doc", "fp").agg(F.min("later").alias("later"), (F.count(F.lit(1)) > 1).alias("repeated")).where("later or repeated")
     d, f, later, row = (C.fresh(docs, x) for x in ("_doc", "_fp", "_later", "_row"))
-    marks = marks.select(F.col("doc").alias(d), F.col("fp").alias(f), F.col("later").alias(later))
+    marks = C.Scratch(docs.sparkSession).table(marks.select(F.col("doc").alias(d), F.col("fp").alias(f), F.col("later").alias(later)), "marks")
+    marks = C.bounded_broadcast(marks, broadcast_rows)  # then no text is shuffled
     same = F.col(key).eqNullSafe(F.col(d)) & (F.xxhash64(F.col(text).cast("string")) == F.col(f))
     alone = docs.join(marks, same, "left_anti")
     repeats = docs.join(marks.where(~F.col(later)), same).withColumn(row, F.struct(*docs.columns))
