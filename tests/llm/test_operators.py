@@ -681,3 +681,33 @@ def test_factors_of_an_exact_copy_and_of_repeats(spark):
     assert plain(4) == plain(None) == [(0, 60, 1, 0)]
     assert plain(1) == plain(2) == plain(5) == plain(7) == plain(8) == []
     assert got[6]["kept"] == "" and got[5]["kept"].count(" ") == len(loop) - 1
+
+
+# Rows of every kind, for all operators
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    """Repeated rows, rows without id or text, a very long text and columns with the operators' own names: one outcome per row, the same for equal rows."""
+    rng = random.Random(12)
+    one, two = " ".join(words(rng, 60)), " ".join(words(rng, 60)) + "\nReleased under the MIT License."
+    rows = [(1, one), (1, one), (None, two), (None, two), (2, None), (3, ""), (4, " ".join(words(rng, 40_000, 3000))), (5, " \n\t ")]
+    clash = ("n_words", "kept", "toxic", "w", "features", "start", "parts", "fit", "raw", "label", "row", "paragraph", "text_", "doc", "cls", "fp", "hit", "items", "n", "component", "_text", "mark", "grade", "anchor", "logdet")
+    df = spark.createDataFrame([(*r, "en", None, 0) for r in rows], SCHEMA).withColumns({c: F.lit(1) for c in clash})
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(6)] + [(None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(7, one), (None, "of another kind")], "item_id long, text string")
+    results = {
+        "op1": quality_rules.quality_rules(df), "op2": line_dedup.dedup_digest(df, min_docs=2), "op3": decontaminate.contamination_digest(df, bench), "op4": toxicity.score_toxicity(df, labels),
+        "op5": token_ids.token_digest(df, tokenizer_path("word_bpe_49k.json")).drop("start"), "op7": jaccard_join.jaccard_components(df, buckets=1 << 16), "op8": quality_classifier.grade_quality(df, quality_classifier.graded(labels)),
+        "op9": substring_dedup.removal_digest(df),
+    }
+    for name, out in results.items():
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == len(rows), name
+        assert all(sum(r[0] == d for r in got) == n for d, n in ((1, 2), (None, 2), (2, 1), (3, 1), (4, 1), (5, 1))), name
+        assert len({r for r in got if r[0] == 1}) == 1, name
+        if name != "op9":
+            assert len({r for r in got if r[0] is None}) == 1, name
+    found = [(r["doc_id"], r["license"]) for r in license_scan.scan_licenses(df).collect()]
+    assert found == [(None, "mit")] * 2
+    pieces = packing.pack(df, tokenizer_path("byte_bpe_50k.json"), window=256).collect()
+    assert sum(r["start"] == 0 for r in pieces) == len(rows)
