@@ -68,20 +68,20 @@ class WindowBlock:
         #: for each shingle length, sorted: key, item, start of the window in the item, place of the key in the window
         self.keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    def present(self, words: list[bytes]) -> set[tuple[int, int]]:
-        """The block's shingles that a document holds, as (length, fingerprint)."""
+    def present(self, words: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        """The block's shingles that a document holds, each once: length, and places in ``wanted``."""
         hashes = C.word_hashes(words)
-        found = set()
         for k, wanted in self.wanted.items():
             h = C.window_hashes(hashes, k)
-            found.update((k, int(x)) for x in h[_among(h, wanted)])
-        return found
+            if len(h):
+                at = np.searchsorted(wanted, h)
+                at[at == len(wanted)] = 0
+                yield k, np.unique(at[wanted[at] == h])
 
-    def order(self, documents_with: dict[tuple[int, int], int]) -> None:
+    def order(self, documents_with: dict[int, np.ndarray]) -> None:
         """Key every window that can occur at all by its rarest shingle; ties go to the smaller fingerprint."""
         rank, rare = {}, {}
-        for k, wanted in self.wanted.items():  # fingerprints ascend and the sort is stable
-            n = np.array([documents_with.get((k, int(x)), 0) for x in wanted], dtype=np.int64)
+        for k, n in documents_with.items():  # fingerprints ascend and the sort is stable
             rank[k] = np.empty(len(n), dtype=np.int64)
             rank[k][np.argsort(n, kind="stable")] = np.arange(len(n))
             rare[k] = n == 0
@@ -150,18 +150,20 @@ def _ordered(texts: DataFrame, rows: list[tuple[str, list[bytes]]], window: int,
     counting = spark.sparkContext.broadcast(block)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[tuple[int, int], int] = defaultdict(int)  # at most the block's shingles
+        totals = {k: np.zeros(len(wanted), dtype=np.int64) for k, wanted in counting.value.wanted.items()}
         for pdf in batches:
             for t in pdf["_text"]:
-                for s in counting.value.present(item_words(t)):
-                    totals[s] += 1
-        yield pd.DataFrame(
-            [(k, np.uint64(h).astype(np.int64), n) for (k, h), n in totals.items()], columns=["k", "h", "n"]
-        ).astype({"k": "int32", "h": "int64", "n": "int64"})
-
-    frequency = texts.select("_text").mapInPandas(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
-    # at most as many rows as the block has shingles
-    block.order({(r["k"], int(np.int64(r["h"]).astype(np.uint64))): r["n"] for r in frequency.toLocalIterator()})
+                for k, at in counting.value.present(item_words(t)):
+                    totals[k][at] += 1
+        for k, n in totals.items():
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"k": np.full(len(at), k, dtype=np.int32), "at": at, "n": n[at]})
+
+    frequency = texts.select("_text").mapInPandas(count, "k int, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n"))
+    documents_with = {k: np.zeros(len(wanted), dtype=np.int64) for k, wanted in block.wanted.items()}
+    for r in frequency.toLocalIterator():  # at most as many rows as the block has shingles
+        documents_with[r["k"]][r["at"]] = r["n"]
+    block.order(documents_with)
     counting.unpersist()
     return spark.sparkContext.broadcast(block)
 
