@@ -48,7 +48,11 @@ QUERY_TERMS = 24
 #: Least score of a neighbour, as a share of the seed's own, in each round; the last takes any.
 SHARES = (0.5, 0.35, None)
 #: Terms that a remainder is sorted by.
-KEYS = ("k0", "k1", "k2")
+KEYS = ("k0", "k1", "k2", "k3", "k4")
+#: Of these so many in a row, from the number of the round on.
+SORTED_BY = 3
+#: Seeds whose scores are computed together.
+SEEDS = 64
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -94,44 +98,44 @@ class Bm25Shard:
         df = whole.df if whole else np.bincount(self.term)
         total, mean = (whole.n, whole.mean) if whole else (n, sizes.mean())
         self.df = df[self.term]
-        idf = np.log1p((total - self.df + 0.5) / (self.df + 0.5))
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * sizes / max(1.0, mean))
-        self.weight = idf * tf * (K1 + 1) / (tf + norm[doc])
+        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[doc])
         # each document's query: its heaviest terms
         self.order = np.argsort(doc - self.weight / (1.001 * max(self.weight.max(initial=0), 1e-9)), kind="stable")
         self.begin = np.concatenate([[0], np.cumsum(held)])
         self.doc, self.postings = doc, None
 
-    def query(self, text: int) -> np.ndarray:
-        return self.order[self.begin[text] : min(self.begin[text] + QUERY_TERMS, self.begin[text + 1])]
-
     def _index(self) -> None:
         by_term = np.argsort(self.term, kind="stable")
-        term = self.term[by_term]
         self.postings = self.doc[by_term], self.weight[by_term]
-        at = self.term[self.order]
-        self.first, self.last = np.searchsorted(term, at, "left"), np.searchsorted(term, at, "right")
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(self.term))])
 
-    def neighbours(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents that share a query term, best first, and their scores."""
+    def scores(self, seeds: list[int]) -> np.ndarray:
+        """Score of every document under the query of each seed (seeds x documents)."""
         if self.postings is None:
             self._index()
         docs, weights = self.postings
-        part = slice(self.begin[seed], min(self.begin[seed] + QUERY_TERMS, self.begin[seed + 1]))
-        parts = [slice(i, j) for i, j in zip(self.first[part].tolist(), self.last[part].tolist(), strict=True)]
-        score = np.bincount(np.concatenate([docs[p] for p in parts]), weights=np.concatenate([weights[p] for p in parts]), minlength=self.n)
-        found = np.flatnonzero(score)
-        found = found[np.argsort(-score[found], kind="stable")]
-        return found, score[found]
-
-    def keys(self, turn: int, least_df: int) -> np.ndarray:
-        """Each document's terms to be sorted by in round ``turn``: its heaviest that ``least_df`` documents hold."""
+        begin = self.begin[seeds]
+        terms = np.minimum(self.begin[np.asarray(seeds) + 1] - begin, QUERY_TERMS)
+        at = np.arange(terms.sum()) + np.repeat(begin - (np.cumsum(terms) - terms), terms)
+        row = np.repeat(np.arange(len(seeds)), terms)
+        term = self.term[self.order[at]].astype(np.int64)
+        first = self.bounds[term]
+        held = self.bounds[term + 1] - first
+        posting = np.arange(held.sum()) + np.repeat(first - (np.cumsum(held) - held), held)
+        cell = np.repeat(row, held) * self.n + docs[posting]
+        return np.bincount(cell, weights=weights[posting], minlength=len(seeds) * self.n).reshape(len(seeds), self.n)
+
+    def keys(self, least_df: int) -> np.ndarray:
+        """Each document's terms to be sorted by: its heaviest that ``least_df`` documents hold, again from the first where they are fewer."""
         out = np.full((self.n, len(KEYS)), -1, dtype=np.int32)
-        for i in range(self.n):
-            q = self.query(i)
-            shared = self.term[q[self.df[q] >= least_df]]
-            if len(shared):
-                out[i] = shared[(turn + np.arange(len(KEYS))) % len(shared)]
+        shared = self.df[self.order] >= least_df
+        for i, (a, b) in enumerate(zip(self.begin[:-1].tolist(), self.begin[1:].tolist(), strict=True)):
+            b = min(b, a + QUERY_TERMS)
+            terms = self.term[self.order[a:b][shared[a:b]]]
+            if len(terms):
+                out[i] = np.resize(terms, len(KEYS))
         return out
 
 
@@ -152,19 +156,25 @@ def pack_shard(texts: list[np.ndarray], window: int, index: Bm25Shard | None = N
         used[doc] += size
         left[doc] -= size
 
+    rows: dict[int, np.ndarray] = {}  # scores of the seeds to come, some at a time
     spare: list[int] = []  # documents that were cut, and so are shorter than their place in by_size says
-    for seed in by_size.tolist():
+    for place, seed in enumerate(by_size.tolist()):
         if not left[seed] or used[seed]:
             continue
         sequence: list[tuple[int, int, int]] = []
         gap = window - int(left[seed])
         if gap:
-            found, score = index.neighbours(seed)
-            if share is not None:
-                found = found[score >= share * score[found == seed]]
-            found = found[(left[found] > 0) & (found != seed)]
+            if seed not in rows:
+                coming = by_size[place : place + 2 * SEEDS]
+                coming = coming[(left[coming] > 0) & (used[coming] == 0)][:SEEDS].tolist()
+                rows = dict(zip(coming, index.scores(coming), strict=True))
+            score = rows[seed]
+            near = (score > 0 if share is None else score >= max(share * score[seed], 1e-12)) & (left > 0)
+            near[seed] = False
+            found = np.flatnonzero(near)
             if share is not None and left[found].sum() < gap:
                 continue
+            found = found[np.argsort(-score[found], kind="stable")]
         take(sequence, seed, int(left[seed]))
         if gap:
             for doc in found[left[found] <= gap].tolist():
@@ -296,7 +306,7 @@ def pack(
         for batch in batches:
             if batch.num_rows:
                 terms = terms_of(batch.column("terms").to_pylist(), batch.column("tf").to_pylist())
-                keys = Bm25Shard(terms, [len(x) // wide.itemsize for x in batch.column("ids").to_pylist()], sent.value).keys(0, least_df)
+                keys = Bm25Shard(terms, [len(x) // wide.itemsize for x in batch.column("ids").to_pylist()], sent.value).keys(least_df)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(k) for k in keys.T)], names=[*batch.schema.names, *KEYS])
 
     def filler(turn: int, share: float | None):
@@ -318,7 +328,7 @@ def pack(
                     offset += b - a
                     used[d] = b
             if share is not None:
-                keys = index.keys(turn + 1, least_df).tolist()
+                keys = pdf[list(KEYS)].to_numpy().tolist()
                 out += [
                     (docs_[d], marks[d], rows_[d], True, starts[d] + a, len(texts[d]) - a, None, totals[d], None, None, texts[d][a:].tobytes(), terms[d], tfs[d], *keys[d])
                     for d, a in enumerate(used) if a < len(texts[d])
@@ -335,7 +345,7 @@ def pack(
     out, n = full, sent.value.n
     for turn, share in enumerate(SHARES):
         # rows that repeat id and text differ by their number, so a shard never grows with them
-        dealt = remaining.repartitionByRange(max(1, -(-n // shard_documents)), *KEYS, "mark", "row")
+        dealt = remaining.repartitionByRange(max(1, -(-n // shard_documents)), *KEYS[turn : turn + SORTED_BY], "mark", "row")
         filled = dealt.mapInPandas(filler(turn, share), f"doc {kind}, mark long, row long, open boolean, {PIECE}, {described_by}, {sort_by}")
         if share is not None:
             filled = scratch.table(filled, f"round-{turn}", "open")
