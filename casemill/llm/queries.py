@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontaminate, jaccard_join, license_scan, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, token_ids, toxicity
+from . import decontaminate, hard_negatives, jaccard_join, license_scan, line_dedup, packing, periodic_runs, quality_classifier, quality_rules, sentence_pieces, substring_dedup, token_ids, toxicity
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +61,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(C.documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), space_leads=True, end_id=0, window=1024, with_ids=False)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(rows.withColumn("label", moved), F.col("id") % 50 == 0, positives=5, negatives=3, low_percent=50, high_percent=95, scale=256)
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.piece_digest(C.documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digest(periodic_runs.repeated_tails(C.documents(spark, sf_dir)), least_length=24, least_exponent=3)
+
+
 def queries() -> dict:
-    found = (op1_quality_rules, op2_line_dedup, op3_decontamination, op4_toxicity, op5_token_ids, op6_license_scan, op7_jaccard_join, op8_quality_classifier, op9_substring_dedup, op10_packing)
+    found = (
+        op1_quality_rules, op2_line_dedup, op3_decontamination, op4_toxicity, op5_token_ids, op6_license_scan, op7_jaccard_join, op8_quality_classifier,
+        op9_substring_dedup, op10_packing, op11_hard_negatives, op12_sentence_pieces, op13_periodic_runs,
+    )
     return {f.__name__: f for f in found}
 
 
@@ -141,5 +158,25 @@ FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN components USING (doc_id)
 """
 
 
+NEGATIVE_SQL = """
+WITH rows_in AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scores AS (
+  SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS s
+  FROM rows_in a JOIN rows_in b ON a.id % 50 = 0 AND a.id <> b.id
+), positives AS (
+  SELECT a, b, s FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5
+)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS INTEGER) AS rank,
+       n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM positives p JOIN scores n ON n.a = p.a AND NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_SQL, "op3_decontamination": WINDOW_SQL, "op7_jaccard_join": JACCARD_SQL, "op9_substring_dedup": REPEAT_SQL}
+    return {"op11_hard_negatives": NEGATIVE_SQL, "op2_line_dedup": LINE_SQL, "op3_decontamination": WINDOW_SQL, "op7_jaccard_join": JACCARD_SQL, "op9_substring_dedup": REPEAT_SQL}
