@@ -95,15 +95,22 @@ def generated_overrides(cases: DataFrame) -> DataFrame:
 
 
 def override_apply(cases: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Set valid overrides; what they change has manual confidence."""
-    valid = overrides.where(F.col("override_case_type").isin(*VALID_TYPES)).select("case_number", "override_case_type", "override_reason")
-    out = cases.join(first_per_key(valid, "case_number", "override_case_type", "override_reason"), "case_number", "left")
-    hit = F.col("override_case_type").isNotNull()
+    """Set valid overrides of case orders; what they change has manual confidence.
+
+    Opinions keep their type.  Numbers and types are compared trimmed, types in lower case too;
+    of several overrides of a case the first type in the alphabet counts.
+    """
+    kind = F.lower(N.strip(F.col("override_case_type")))
+    valid = overrides.select(N.strip(F.col("case_number")).alias("_number"), kind.alias("_type")).where(F.col("_type").isin(*VALID_TYPES) & (F.col("_number") != ""))
+    order = F.lower(N.strip(F.col("opinion_type"))) == "case_order"
+    keyed = cases.withColumn("_key", F.when(order, N.strip(F.col("case_number").cast("string"))))
+    out = keyed.join(valid.groupBy("_number").agg(F.min("_type").alias("_type")), F.col("_key") == F.col("_number"), "left")
+    hit = F.col("_type").isNotNull()
     return out.withColumns({
-        "case_type": F.coalesce("override_case_type", "case_type"),
+        "case_type": F.coalesce("_type", "case_type"),
         "inference_confidence": F.when(hit, "manual").otherwise(F.col("inference_confidence")),
-        "inference_reason": F.when(hit, F.coalesce(F.nullif(F.col("override_reason"), F.lit("")), F.lit("manual_override"))).otherwise(F.col("inference_reason")),
-    }).drop("override_case_type", "override_reason")
+        "inference_reason": F.when(hit, "manual_override_table").otherwise(F.col("inference_reason")),
+    }).drop("_key", "_number", "_type")
 
 
 def review_queue(cases: DataFrame) -> DataFrame:

@@ -145,10 +145,11 @@ def merge_turns(turns: DataFrame, case: str = CASE, turn: str = "turn", speaker:
 def transcript_link(transcripts: DataFrame, opinions: DataFrame, case: str = CASE) -> DataFrame:
     """Transcripts and opinions by docket, combined dockets taken apart; never by name or year.
 
+    A docket that was argued twice has a row for each transcript.
     Flags a differing argument date, and a name whose edit distance is over a third of its length.
     """
     plain = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " ")
-    t = transcripts.select(F.explode(N.docket_list(F.col(case))).alias(case), F.col("argument_date"), F.col("case_name").alias("t_name"), F.lit(True).alias("_t")).dropDuplicates([case])
+    t = transcripts.select(F.explode(N.docket_list(F.col(case))).alias(case), F.col("argument_date"), F.col("case_name").alias("t_name"), F.lit(True).alias("_t"))
     o = opinions.select(case, "date_argued", F.col("case_name").alias("o_name"), F.lit(True).alias("_o"))
     out = t.join(o, case, "full")
     a, b = plain(F.col("t_name")), plain(F.col("o_name"))

@@ -65,7 +65,7 @@ TURNS = {
     "case_number": "conv_id",
     "turn": "turn",
     "speaker": "CASE role WHEN 'assistant' THEN 'Justice' ELSE 'Counsel' END",
-    "text": "CASE WHEN turn % 3 = 2 THEN 'May it please the court? Yes!' ELSE text END",
+    "text": "text",
 }
 
 

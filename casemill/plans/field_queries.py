@@ -93,9 +93,15 @@ def titled_columns(t: Tables) -> DataFrame:
     return N.title_columns(t.cases.select("case_number", "term_year", "outcome"))
 
 
-@query("SELECT justice_key, CASE WHEN date_appointed IS NULL THEN '—' ELSE CAST(year(date_appointed) AS VARCHAR) END AS since FROM appointed", ROSTER_SQL, APPOINTED_SQL)
+@query(
+    """SELECT c_custkey AS id, coalesce(CAST(year(first_day) AS VARCHAR), '—') AS since
+    FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_day FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey"""
+)
 def roster_years(t: Tables) -> DataFrame:
-    return t.appointed.select("justice_key", N.roster_year(F.col("date_appointed")).alias("since"))
+    """The year in which each customer first ordered, in the form of a roster."""
+    first = t.raw("orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_day"))
+    rows = t.raw("customer").join(first, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.select(F.col("c_custkey").alias("id"), N.roster_year(F.col("first_day").cast("date")).alias("since"))
 
 
 _BODY = "'Intro of ' || case_name || chr(10) || chr(10) || chr(10) || chr(10) || 'more'"
@@ -214,26 +220,24 @@ _TERM = "CASE case_number % 3 WHEN 0 THEN term_year || '.0' WHEN 1 THEN 'n/a' EL
 
 
 @query(
-    f"""+ o AS (SELECT case_number, {_DAY} AS date_issued, {_TERM} AS term_year FROM cases WHERE case_number % 40 < 5)
-    SELECT case_number, date_issued, term_year FROM o ORDER BY coalesce(try_cast(date_issued AS TIMESTAMP), try_strptime(date_issued, '%-m/%-d/%Y')) DESC NULLS LAST, try_cast(term_year AS DOUBLE) DESC NULLS LAST,
-    CAST(case_number AS VARCHAR) DESC LIMIT 500""",
+    f"""+ o AS (SELECT case_number, {_DAY} AS date_issued, {_TERM} AS term_year FROM cases)
+    SELECT case_number, date_issued, term_year FROM o""",
     CASES_SQL,
 )
 def orders_coerced(t: Tables) -> DataFrame:
-    """The head of the coerced order, past the rows with a date at the smallest size."""
-    rows = t.cases.where("case_number % 40 < 5").selectExpr("case_number", f"{_DAY} AS date_issued", f"{_TERM} AS term_year")
-    return reports.orders_newest_first(rows).limit(500)
+    rows = t.cases.selectExpr("case_number", f"{_DAY} AS date_issued", f"{_TERM} AS term_year")
+    return reports.orders_newest_first(rows)
 
 
-@query("SELECT case_number, case_name FROM cases WHERE term_year = 1996 ORDER BY case_name, case_number LIMIT 40", CASES_SQL)
+@query("SELECT case_number, case_name FROM cases WHERE term_year = 1996 ORDER BY case_name, case_number", CASES_SQL)
 def cases_of_year(t: Tables) -> DataFrame:
-    return reports.cases_of_year(t.cases.select("case_number", "case_name", "term_year"), 1996).select("case_number", "case_name").limit(40)
+    return reports.cases_of_year(t.cases.select("case_number", "case_name", "term_year"), 1996).select("case_number", "case_name")
 
 
-@query("SELECT s_suppkey AS id, s_name AS last_name FROM supplier ORDER BY s_suppkey % 40 <> 3, s_name LIMIT 30")
+@query("SELECT s_suppkey AS id, s_name AS last_name FROM supplier ORDER BY s_suppkey % 40 <> 3, s_name")
 def roster_order(t: Tables) -> DataFrame:
     rows = t.raw("supplier").selectExpr("s_suppkey AS id", "s_name AS last_name", "CASE WHEN s_suppkey % 40 = 3 THEN 'chief_justice' WHEN s_suppkey % 2 = 0 THEN NULL ELSE 'associate_justice' END AS role")
-    return votes.roster_order(rows).select("id", "last_name").limit(30)
+    return votes.roster_order(rows).select("id", "last_name")
 
 
 @query(

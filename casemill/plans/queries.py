@@ -478,8 +478,8 @@ def infer_case_type(t: Tables) -> DataFrame:
 
 
 def _inferred(t: Tables) -> DataFrame:
-    rows = t.cases.select("case_number", "case_name", N.infer_case_type(F.col("case_name"), F.col("rsa_citations")).alias("g"))
-    return rows.select("case_number", "case_name", F.col("g.case_type").alias("case_type"), F.col("g.confidence").alias("inference_confidence"), F.col("g.reason").alias("inference_reason"), F.lit(True).alias("case_type_was_null"))
+    rows = t.cases.select("case_number", "case_name", "opinion_type", N.infer_case_type(F.col("case_name"), F.col("rsa_citations")).alias("g"))
+    return rows.select("case_number", "case_name", "opinion_type", F.col("g.case_type").alias("case_type"), F.col("g.confidence").alias("inference_confidence"), F.col("g.reason").alias("inference_reason"), F.lit(True).alias("case_type_was_null"))
 
 
 _GENERATED = """generated AS (SELECT case_number, case_name, CASE WHEN regexp_matches(lower(case_name), '\\bv\\.\\s+state\\s+of\\s+new\\s+hampshire\\b') THEN 'criminal' WHEN starts_with(lower(case_name), 'in the matter of ') THEN 'family/domestic' ELSE 'civil' END AS override_case_type,
@@ -506,14 +506,19 @@ def override_upsert(t: Tables) -> DataFrame:
     return build.override_upsert(_existing_overrides(t), build.generated_overrides(_as_text(_inferred(t))))
 
 
+_BY_HAND = "CASE case_number % 4 WHEN 0 THEN '' WHEN 1 THEN ' Civil ' WHEN 2 THEN 'wrong' ELSE 'family/domestic' END"
+
+
 @query(
-    f"""+ {INFER_SQL}, {_EXISTING}, valid AS (SELECT * FROM existing WHERE override_case_type IN ('criminal', 'civil', 'family/domestic'))
+    f"""+ {INFER_SQL}, valid AS (SELECT case_number, lower(trim({_BY_HAND})) AS override_case_type FROM cases WHERE opinion_type = 'case_order' AND case_number % 4 IN (1, 3))
     SELECT CAST(i.case_number AS VARCHAR) AS case_number, coalesce(v.override_case_type, i.case_type) AS case_type, CASE WHEN v.case_number IS NOT NULL THEN 'manual' ELSE i.confidence END AS inference_confidence,
-    CASE WHEN v.case_number IS NOT NULL THEN coalesce(v.override_reason, 'manual_override') ELSE i.reason END AS inference_reason FROM inferred i LEFT JOIN valid v ON v.case_number = i.case_number""",
+    CASE WHEN v.case_number IS NOT NULL THEN 'manual_override_table' ELSE i.reason END AS inference_reason FROM inferred i LEFT JOIN valid v ON v.case_number = i.case_number""",
     CASES_SQL,
 )
 def override_apply(t: Tables) -> DataFrame:
-    return build.override_apply(_as_text(_inferred(t)), _existing_overrides(t)).select("case_number", "case_type", "inference_confidence", "inference_reason")
+    """Overrides of all cases, opinions too; only those of case orders count."""
+    by_hand = _as_text(t.cases).selectExpr("' ' || case_number AS case_number", f"{_BY_HAND} AS override_case_type".replace("case_number %", "CAST(case_number AS BIGINT) %"))
+    return build.override_apply(_as_text(_inferred(t)), by_hand).select("case_number", "case_type", "inference_confidence", "inference_reason")
 
 
 @query(f"+ {INFER_SQL} SELECT case_number, case_type, confidence AS inference_confidence FROM inferred WHERE case_type IS NULL OR confidence IN ('low', 'medium', 'none')", CASES_SQL)
@@ -690,7 +695,7 @@ def merge_turns(t: Tables) -> DataFrame:
 
 
 @query(
-    """+ pairs AS (SELECT unnest([docket, '1900-' || right(docket, 4)]) AS docket, date_issued AS argued, case_name FROM cases WHERE status <> 'O'), tr AS (SELECT docket, any_value(argued) AS argued, any_value(case_name) AS name FROM pairs GROUP BY docket),
+    """+ pairs AS (SELECT unnest([docket, '1900-' || right(docket, 4)]) AS docket, date_issued AS argued, case_name FROM cases WHERE status <> 'O'), tr AS (SELECT docket, argued, case_name AS name FROM pairs),
     op AS (SELECT docket, CASE WHEN case_number % 4 = 0 THEN NULL ELSE date_issued END AS argued, CASE WHEN case_number % 5 = 0 THEN 'Zq & Co.' ELSE upper(case_name) || '.' END AS name FROM cases WHERE status <> 'F')
     SELECT docket, CASE WHEN tr.docket IS NULL THEN 'opinion-only' WHEN op.docket IS NULL THEN 'transcript-only' ELSE 'both' END AS link_state,
     CASE WHEN tr.docket IS NOT NULL AND op.docket IS NOT NULL THEN tr.argued IS DISTINCT FROM op.argued END AS date_mismatch,
