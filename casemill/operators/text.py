@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions import clean as N
 from ..functions import constants as K
@@ -30,6 +33,75 @@ def topic_tags(docs: DataFrame, taxonomy: Mapping[str, Sequence[str]], text: str
     return docs.withColumn(column, F.array_compact(F.array(*tags)))
 
 
+#: Characters of keywords and topics that are sent to the tasks at once; a larger table takes several passes over the texts.
+BLOCK_CHARACTERS = 8_000_000
+_PLACED = pa.list_(pa.struct([("place", pa.int64()), ("topic", pa.string())]))
+
+
+def _automaton(keywords: list[tuple[str, int, str]]):
+    """Finds every keyword (with its places and topics) that ends at a character, in one pass over a text."""
+    import ahocorasick
+
+    topics: dict[str, list[tuple[int, str]]] = {}
+    for word, place, topic in keywords:
+        topics.setdefault(word, []).append((place, topic))
+    found = ahocorasick.Automaton()
+    for number, (word, placed) in enumerate(topics.items()):
+        found.add_word(word, (number, word, placed))
+    found.make_automaton()
+    return found
+
+
+def _met(batches: Iterator[pa.RecordBatch], keywords: list[tuple[str, int, str]], text: str, column: str, word_boundary: bool) -> Iterator[pa.RecordBatch]:
+    """Add the topics with a keyword in the lower-cased text."""
+    automaton = _automaton(keywords) if keywords else None
+    letter = re.compile("\\w", re.ASCII).match
+    for batch in batches:
+        lists = []
+        for t in batch.column(text).to_pylist():
+            low, seen, placed = (t or "").lower(), set(), set()
+            for end, (number, word, topics) in automaton.iter(low) if automaton and low else ():
+                if number in seen:
+                    continue
+                if word_boundary:
+                    start = end - len(word) + 1
+                    before, after = start > 0 and bool(letter(low[start - 1])), end + 1 < len(low) and bool(letter(low[end + 1]))
+                    if before == bool(letter(word[0])) or after == bool(letter(word[-1])):
+                        continue
+                seen.add(number)
+                placed.update(topics)
+            lists.append([{"place": p, "topic": x} for p, x in sorted(placed)])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, _PLACED)], names=[*batch.schema.names, column])
+
+
+def topic_tags_by_table(
+    docs: DataFrame, taxonomy: DataFrame, text: str = "text", word_boundary: bool = False, column: str = "topics",
+    topic: str = "topic", place: str = "place", keywords: str = "keywords", block_characters: int = BLOCK_CHARACTERS,
+) -> DataFrame:
+    """``topic_tags`` with the taxonomy as a table: ``topic``, its ``place`` in the order, and an array of ``keywords``.
+
+    All keywords are looked for at once, by an automaton over each text, so the cost of a text does not grow with
+    their number; documents are not shuffled.  Keywords reach the tasks in blocks of about ``block_characters`` at most
+    (their size is summed first); each block is one more pass over the texts.  Keywords are literal, case is ignored, and with
+    ``word_boundary`` a keyword counts only where a word boundary (of ASCII words) stands at both its ends.
+    """
+    rows = taxonomy.select(F.explode(keywords).alias("keyword"), F.col(place).cast("long").alias("place"), F.col(topic).cast("string").alias("topic"))
+    rows = rows.select(F.lower("keyword").alias("keyword"), "place", "topic").where((F.coalesce(F.length("keyword"), F.lit(0)) > 0) & F.col("topic").isNotNull()).distinct()
+    total = rows.agg(F.sum(F.length("keyword") + F.length("topic") + 16)).first()[0] or 0
+    parts = 1 if total <= block_characters else -(-2 * total // block_characters)
+    out, met = docs, []
+    for i in range(parts):
+        block = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("keyword", "topic"), F.lit(parts)) == i)
+        words = sorted((r["keyword"], r["place"] or 0, r["topic"]) for r in block.collect())  # bounded by block_characters
+        sent = docs.sparkSession.sparkContext.broadcast(words)
+        name = f"_met{i}"
+        schema = StructType([*out.schema.fields, StructField(name, ArrayType(StructType([StructField("place", LongType()), StructField("topic", StringType())])))])
+        out = out.mapInArrow(lambda batches, sent=sent, name=name: _met(batches, sent.value, text, name, word_boundary), schema)
+        met.append(name)
+    placed = F.array_sort(F.array_distinct(F.flatten(F.array(*met))))
+    return out.withColumn(column, F.transform(placed, lambda x: x["topic"])).drop(*met)
+
+
 def extract_citations(text: Column) -> Column:
     """Statute citations in a text, cleaned and each once."""
     return N.clean_citations(F.regexp_extract_all(text, F.lit(K.CITATION_IN_TEXT), 1))
