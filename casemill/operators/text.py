@@ -55,7 +55,7 @@ def _automaton(keywords: list[tuple[str, int, str]]):
 def _met(batches: Iterator[pa.RecordBatch], keywords: list[tuple[str, int, str]], text: str, column: str, word_boundary: bool) -> Iterator[pa.RecordBatch]:
     """Add the topics with a keyword in the lower-cased text."""
     automaton = _automaton(keywords) if keywords else None
-    letter = re.compile("\\w", re.ASCII).match
+    letter = re.compile("\\w").match
     for batch in batches:
         lists = []
         for t in batch.column(text).to_pylist():
@@ -83,7 +83,7 @@ def topic_tags_by_table(
     All keywords are looked for at once, by an automaton over each text, so the cost of a text does not grow with
     their number; documents are not shuffled.  Keywords reach the tasks in blocks of about ``block_characters`` at most
     (their size is summed first); each block is one more pass over the texts.  Keywords are literal, case is ignored, and with
-    ``word_boundary`` a keyword counts only where a word boundary (of ASCII words) stands at both its ends.
+    ``word_boundary`` a keyword counts only where a word boundary stands at both its ends.
     """
     rows = taxonomy.select(F.explode(keywords).alias("keyword"), F.col(place).cast("long").alias("place"), F.col(topic).cast("string").alias("topic"))
     rows = rows.select(F.lower("keyword").alias("keyword"), "place", "topic").where((F.coalesce(F.length("keyword"), F.lit(0)) > 0) & F.col("topic").isNotNull()).distinct()

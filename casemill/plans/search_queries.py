@@ -73,7 +73,7 @@ def table_tagging(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH keywords AS (SELECT DISTINCT item_id, keyword FROM ({_KEYWORDS})), words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) AS keyword FROM documents)
+    f"""WITH keywords AS (SELECT DISTINCT item_id, keyword FROM ({_KEYWORDS})), words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+')) AS keyword FROM documents)
     SELECT doc_id, coalesce(topics, '') AS topics FROM documents LEFT JOIN (SELECT doc_id, string_agg(CAST(item_id AS VARCHAR), ';' ORDER BY item_id) AS topics
       FROM (SELECT DISTINCT doc_id, item_id FROM words JOIN keywords USING (keyword)) GROUP BY doc_id) USING (doc_id)"""
 )
