@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import clean as N
+from .stored import Stored
 
 #: The case types that an override may set.
 VALID_TYPES = ("criminal", "civil", "family/domestic")
@@ -88,6 +91,34 @@ def override_upsert(existing: DataFrame, generated: DataFrame) -> DataFrame:
     return merged.select(F.coalesce("e.case_number", "g.case_number").alias("case_number"), *map(pick, OVERRIDE_COLUMNS[1:]))
 
 
+def upsert_stored(generated: DataFrame, path: str, store: Stored, buckets: int = 64, key: str = "case_number") -> list[int]:
+    """``override_upsert`` into the table stored at ``path`` in folders by a hash of the number.
+
+    Only folders with a generated number are read, and only those with a row that changes are written, by dynamic
+    partition overwrite: Spark writes them aside and puts them in place when the job commits, so a job that fails leaves the
+    table as it was.  Returns the folders rewritten; running it again rewrites none.
+    """
+    spark = generated.sparkSession
+    bucket = F.pmod(F.xxhash64(N.strip(F.col(key).cast("string"))), F.lit(buckets)).cast("int")
+    new = store.table(generated.where(~N.blank(F.col(key))).select(*OVERRIDE_COLUMNS), "generated")
+    touched = [r[0] for r in new.select(bucket.alias("b")).distinct().collect()]  # at most one row a folder
+    schema = ", ".join(f"{c} STRING" for c in OVERRIDE_COLUMNS) + ", bucket INT"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    existing = (spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)).where(F.col("bucket").isin(touched))
+    merged = store.table(override_upsert(existing.drop("bucket"), new).withColumn("bucket", bucket), "merged")
+    old = existing.select(*(F.col(c).alias(f"_{c}") for c in OVERRIDE_COLUMNS))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in OVERRIDE_COLUMNS[1:]]
+    joined = merged.join(old, F.col(key) == F.col(f"_{key}"), "left")
+    changed = joined.where(F.col(f"_{key}").isNull() | ~reduce(Column.__and__, same))
+    dirty = sorted(r[0] for r in changed.select("bucket").distinct().collect())
+    if dirty:
+        rows = merged.where(F.col("bucket").isin(dirty)).repartition(len(dirty), "bucket")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    store.drop(new, merged)
+    return dirty
+
+
 def generated_overrides(cases: DataFrame) -> DataFrame:
     """Defaults for the cases that no rule has classified."""
     rows = cases.where(N.blank(F.col("case_type"))).withColumn("_d", N.default_case_type(F.col("case_name")))

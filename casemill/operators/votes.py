@@ -11,11 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import clean as N
 from ..functions import constants as K
 from .reports import count_if, share, since_appointment
-
-
-def bounded_broadcast(df: DataFrame, limit_rows: int = 10_000) -> DataFrame:
-    """Marked for broadcast if it has at most ``limit_rows`` rows, else left to a shuffle join."""
-    return F.broadcast(df) if df.limit(limit_rows + 1).count() <= limit_rows else df
+from .stored import bounded_broadcast
 
 
 def roster_table(df: DataFrame) -> DataFrame:

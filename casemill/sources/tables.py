@@ -126,6 +126,16 @@ def read_case_text(spark: SparkSession, path: str, name: str = "([^/]+)\\.[^./]+
     return spark.read.text(path, wholetext=True).select(F.url_decode(F.replace(found, F.lit("+"), F.lit("%2B"))).alias("case_number"), F.col("value").alias("text"))
 
 
+def list_files(spark: SparkSession, root: str, pattern: str = "*", base: str | None = None) -> DataFrame:
+    """``local_path, modified, bytes`` of every file under ``root`` (any depth) whose name fits ``pattern``.
+
+    Only the listing is read, not the files; ``local_path`` is what follows ``base`` (``root`` by default) in the path.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    inside = F.substring_index(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), (base or root).rstrip("/") + "/", -1)
+    return files.select(inside.alias("local_path"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+
+
 def with_text(cases: DataFrame, texts: DataFrame, key: str = "case_number") -> DataFrame:
     """Cases with their text, empty where there is none."""
     return cases.join(texts, key, "left").withColumn("text", F.coalesce("text", F.lit("")))
