@@ -151,6 +151,11 @@ class _Memo(dict):
 _memo = _Memo()
 
 
+def forget_words() -> None:
+    """Free the fingerprints that this worker remembers."""
+    _memo.clear()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_memo.__getitem__, words), dtype=np.uint64, count=len(words))
 

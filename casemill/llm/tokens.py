@@ -19,7 +19,9 @@ from itertools import repeat
 
 import numpy as np
 
-CACHE_PIECES = 1_200_000
+from . import common as C
+
+CACHE_PIECES = 690_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters before this one need no normalization but lower case.
 _BEYOND = "\u0250"
@@ -171,5 +173,6 @@ def tokenizer(path: str, space_leads: bool) -> CachedTokenizer:
     """One per worker process."""
     t = _tokenizers.get((path, space_leads))
     if t is None:
+        C.forget_words()  # a worker that an earlier stage used holds its fingerprints
         t = _tokenizers[path, space_leads] = CachedTokenizer(path, space_leads)
     return t
