@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import field_queries, graph_queries, search_queries, source_queries, store_queries, stream_queries  # noqa: F401  # they register their queries
+from . import counsel_queries, field_queries, graph_queries, search_queries, source_queries, store_queries, stream_queries  # noqa: F401  # they register their queries
 from .queries import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
