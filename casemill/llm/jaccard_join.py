@@ -517,16 +517,22 @@ def _placed(docs: DataFrame, shingle: int, percent: int, key: str, text: str, bu
     edges = kept.where("cls <> lo").select(F.col("cls").alias("a"), F.col("lo").alias("b")).distinct()
     regions = connected_components(edges, scratch).select(F.col("node").alias("cls"), F.col("component").alias("region"))
 
-    wanted = regions.join(rows.where("cls is not null and doc is not null").groupBy("cls").agg(F.min("doc").alias("doc")), "cls")
-    wanted = scratch.table(wanted.select("doc").distinct(), "wanted-documents")
-    held = texts.join(C.bounded_broadcast(wanted, broadcast_rows), "doc", "left_semi").select("text")
+    # one row of each class brings its set: that of smallest id, or where no row has an id those of one text
+    wanted = regions.join(rows.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("doc"), F.min("fp").alias("fp")), "cls")
+    wanted = scratch.table(wanted.select("doc", F.when(F.col("doc").isNull(), F.col("fp")).alias("fp")).distinct(), "wanted-documents")
+    held = texts.join(C.bounded_broadcast(wanted.select("doc").where("doc is not null"), broadcast_rows), "doc", "left_semi").select("text")
+    nameless = wanted.where("doc is null").select("fp")
 
     def as_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [s for s in (_document_set(t, shingle) for t in pdf["text"]) if len(s)]
             yield pd.DataFrame({"cls": [_class_id(s) for s in sets], "shingles": [s.tobytes() for s in sets]}).astype({"cls": "int64"})
 
-    sets = scratch.table(held.mapInPandas(as_sets, "cls long, shingles binary"), "sets")
+    found = held.mapInPandas(as_sets, "cls long, shingles binary")
+    if not nameless.isEmpty():
+        more = texts.where("doc is null").join(C.bounded_broadcast(nameless, broadcast_rows), "fp", "left_semi").select("text")
+        found = found.unionByName(more.mapInPandas(as_sets, "cls long, shingles binary").dropDuplicates(["cls"]))
+    sets = scratch.table(found, "sets")
     join = _Join(scratch, percent, leaf, sets, members.select("cls", "token"))
     join.run(scratch.table(regions.join(sizes, "cls").select("region", "cls", "n", F.lit(False).alias("fine")), "members"))
     labels = join.labels().withColumnRenamed("node", "cls")

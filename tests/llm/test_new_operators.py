@@ -257,3 +257,26 @@ def test_run_digest(spark):
     assert sorted(map(repr, (tuple(r) for r in digest.collect()))) == sorted(map(repr, want))
     assert sum(r[1] > 0 for r in want) > 20
     assert periodic_runs.run_digest(periodic_runs.repeated_tails(df.limit(0))).count() == 0
+
+
+# 7 near copies without id
+
+
+def test_near_copies_without_id_are_linked(spark):
+    from casemill.llm import jaccard_join
+
+    rng = random.Random(1)
+
+    def near(base, k):
+        w = list(base)
+        w[k] = f"x{k}"
+        return " ".join(w)
+
+    one, two = ([f"{p}{rng.randrange(10_000)}" for _ in range(200)] for p in "ab")
+    rows = [(None, near(one, 5)), (None, near(one, 190)), (7, near(one, 100)), (None, near(two, 3)), (None, near(two, 120)), (None, near(two, 120)), (9, "nothing like the others at all"), (None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in jaccard_join.jaccard_components(df, 4, 85).collect())
+    assert got == sorted([("7", "7"), ("9", "9"), ("None", "7"), ("None", "7"), ("None", "None"), ("None", "None"), ("None", "None"), ("None", "None")])
+    kept = [r["text"] for r in jaccard_join.first_of_each(df, 4, 85).collect()]
+    assert near(one, 100) in kept and sum((t or "").startswith("a") for t in kept) == 1
+    assert sum((t or "").startswith("b") for t in kept) == 1 and None in kept and len(kept) == 4
