@@ -36,6 +36,8 @@ MARK = "▁"
 #: Chunks a worker remembers, and the longest of them in characters.
 CACHE_CHUNKS = 400_000
 CHUNK_CHARS = 64
+#: Texts whose new chunks are merged together.
+BATCH_TEXTS = 250
 _TRIPLE = struct.Struct("3i")
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -127,6 +129,77 @@ def _many_merged(chunk: str, rank: dict[str, float]) -> list[str]:
     return [s for s in symbols if s]
 
 
+class PairTable:
+    """Which two pieces join to which: an open-addressed table, so that many words merge at once in numpy."""
+
+    NONE = np.int32(np.iinfo(np.int32).max)
+
+    def __init__(self, rank: dict[str, float], id_of: dict[str, int]):
+        self.size = max(id_of.values(), default=0) + 1
+        letters = sorted({c for p in id_of for c in p})
+        #: Characters that are no piece but part of one follow the pieces.
+        number = dict(id_of)
+        for c in letters:
+            number.setdefault(c, self.size + len(number) - len(id_of))
+        self.character = np.full(0x110000, -1, dtype=np.int32)
+        for c in letters:
+            self.character[ord(c)] = number[c]
+        place = {r: i for i, r in enumerate(sorted(set(rank.values())))}
+        found = [(number[p[:i]], number[p[i:]], place[rank[p]], id_of[p]) for p in id_of for i in range(1, len(p)) if p[:i] in number and p[i:] in number]
+        self.base = len(number) + self.size
+        self.bits = max(len(found), 1).bit_length() + 2
+        self.key, self.rank, self.joined = (np.full(1 << self.bits, x, dtype=t) for x, t in ((-1, np.int64), (self.NONE, np.int32), (-1, np.int32)))
+        for a, b, r, i in found:
+            at = int(self._slot(np.array([a * self.base + b]))[0])
+            while self.key[at] >= 0:
+                at = (at + 1) & ((1 << self.bits) - 1)
+            self.key[at], self.rank[at], self.joined[at] = a * self.base + b, r, i
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * C.MULTIPLIER) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of each joined pair; rank NONE where it is no piece."""
+        key = a.astype(np.int64) * self.base + b
+        at = self._slot(key)
+        waiting = np.flatnonzero((self.key[at] != key) & (self.key[at] >= 0))
+        while len(waiting):
+            at[waiting] = (at[waiting] + 1) & ((1 << self.bits) - 1)
+            held = self.key[at[waiting]]
+            waiting = waiting[(held != key[waiting]) & (held >= 0)]
+        hit = self.key[at] == key
+        return np.where(hit, self.rank[at], self.NONE), self.joined[at]
+
+    def merged(self, symbols: np.ndarray) -> np.ndarray:
+        """Rows of character numbers, filled up with -1: join the best pair of every row, leftmost first, until none
+        is a piece.  The pieces stay where their first character was, the others become -1."""
+        n, width = symbols.shape
+        s = np.concatenate([symbols, np.full((n, 1), -1, dtype=np.int32)], axis=1)
+        rank, joined = (np.full((n, width + 1), x, dtype=np.int32) for x in (self.NONE, -1))
+        row, col = np.nonzero(s[:, 1:] >= 0)
+        rank[row, col], joined[row, col] = self.pairs(s[row, col], s[row, col + 1])
+        after = np.tile(np.arange(1, width + 2), (n, 1))
+        before = np.tile(np.arange(-1, width), (n, 1))
+        live = np.arange(n)
+        while len(live):
+            at = rank[live].argmin(axis=1)
+            going = rank[live, at] < self.NONE
+            live, at = live[going], at[going]
+            right = after[live, at]
+            far = np.minimum(after[live, right], width)
+            s[live, at], s[live, right] = joined[live, at], -1
+            rank[live, right] = self.NONE
+            after[live, at], before[live, far] = far, at
+            for left, other in ((at, far), (before[live, at], at)):
+                a, b = s[live, left], s[live, other]
+                real = (left >= 0) & (a >= 0) & (b >= 0)
+                r, j = self.pairs(np.where(real, a, 0), np.where(real, b, 0))
+                keep = left >= 0
+                rank[live[keep], left[keep]] = np.where(real, r, self.NONE)[keep]
+                joined[live[keep], left[keep]] = j[keep]
+        return s[:, :width]
+
+
 class PieceModel:
     """Encoder and decoder of one BPE model file."""
 
@@ -159,10 +232,11 @@ class PieceModel:
         self.whole = any(MARK in p.lstrip(MARK) for p in self.id_of)
         #: Without entries and squeezing each character stands for itself.
         self.plain = not self.map.entries and not self.squeeze
-        #: Two characters in a row that some piece has; merges never cross others (unknown characters are one piece only in a row).
-        self.pairs = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
+        self.table = PairTable(self.rank, self.id_of)
         self.spare = (len(MARK.encode()) - 1) * self.escape
-        self.packed = {p: _TRIPLE.pack(i, *self._sizes(p)) for p, i in self.id_of.items()}
+        self.sizes = np.zeros((self.table.size, 3), dtype=np.int32)
+        for p, i in self.id_of.items():
+            self.sizes[i] = i, *self._sizes(p)
         self.literal = {self.unknown, *self.byte_id.values()}
         self.cache: dict[str, bytes] = {}
 
@@ -233,18 +307,32 @@ class PieceModel:
 
     # Encoding
 
-    def encode(self, text: str | None, spans: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and the source bytes from ``start`` to ``end`` of each (empty arrays if ``spans`` is off).
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and the source bytes from ``start`` to ``end`` of each.
 
         Of the byte pieces of one character the last has its span, as in the library."""
-        normal, source = self.normalised(text or "")
-        chunks = [normal] if self.whole else _CHUNKS.findall(normal)
-        get = self.cache.get
-        packed = np.frombuffer(b"".join([get(c) or self._remember(c) for c in chunks]), dtype=np.int32).reshape(-1, 3)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``encode`` of each; chunks that are not in the cache are merged together."""
+        normal = [self.normalised(t or "") for t in texts]
+        chunks = [[n] if self.whole else _CHUNKS.findall(n) for n, _ in normal]
+        known = self.cache
+        new = list({c for row in chunks for c in row if c not in known})
+        local = dict(zip(new, self._merge(new), strict=True))
+        out = []
+        for text, (_, source), row in zip(texts, normal, chunks, strict=True):
+            packed = b"".join([known.get(c) or local[c] for c in row])
+            out.append(self._spans(text or "", source, np.frombuffer(packed, dtype=np.int32).reshape(-1, 3)))
+        if len(known) + len(new) > CACHE_CHUNKS:
+            known.clear()
+        known.update((c, p) for c, p in local.items() if len(c) <= CHUNK_CHARS)
+        return out
+
+    def _spans(self, text: str, source: np.ndarray | None, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = packed[:, 0]
-        if not spans or not len(ids):
-            empty = np.empty(0, dtype=np.int32)
-            return ids, empty, empty
+        if not len(ids):
+            return ids, ids, ids
         if source is None and MARK not in text:  # each mark stands for a space, but for the one before the text
             end = np.cumsum(packed[:, 2]) - self.dummy
             return ids, np.maximum(end - packed[:, 2], 0).astype(np.int32), end.astype(np.int32)
@@ -254,30 +342,34 @@ class PieceModel:
         begin = end - packed[:, 1]
         return ids, source[begin].astype(np.int32), np.where(end > begin, source[end], source[begin]).astype(np.int32)
 
-    def _remember(self, chunk: str) -> bytes:
-        """Merge a chunk that is not in the cache; it falls apart where no piece has these two characters in a row."""
-        at = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.pairs] if self.fallback else []
-        parts = [chunk[i:j] for i, j in zip([0, *at], [*at, len(chunk)], strict=True)]
-        packed = b""
-        for part in parts:
-            got = self.cache.get(part)
-            if got is None:
-                symbols = _few_merged(part, self.rank) if len(part) <= 32 else _many_merged(part, self.rank)
-                try:
-                    got = b"".join([self.packed[s] for s in symbols])
-                except KeyError:
-                    got = b"".join([_TRIPLE.pack(*piece) for piece in self._pieces(symbols)])
-                self._keep(part, got)
-            packed += got
-        if at:
-            self._keep(chunk, packed)
-        return packed
-
-    def _keep(self, chunk: str, packed: bytes) -> None:
-        if len(chunk) <= CHUNK_CHARS:
-            if len(self.cache) >= CACHE_CHUNKS:
-                self.cache.clear()
-            self.cache[chunk] = packed
+    def _merge(self, chunks: list[str]) -> list[bytes]:
+        """Of each chunk its pieces as (id, bytes, bytes with one for each mark), packed."""
+        out: list[bytes] = [b""] * len(chunks)
+        sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        symbols = self.table.character[codes]
+        starts = np.cumsum(sizes) - sizes
+        odd = sizes > 32
+        if len(codes):
+            odd |= np.minimum.reduceat(symbols, starts) < 0
+        for low, high in ((0, 6), (6, 9), (9, 12), (12, 16), (16, 32)):  # little filling up
+            rows = np.flatnonzero(~odd & (sizes > low) & (sizes <= high))
+            for first in range(0, len(rows), 1 << 15):
+                part = rows[first : first + (1 << 15)]
+                at = np.arange(high)[None, :]
+                inside = at < sizes[part][:, None]
+                filled = np.where(inside, symbols[np.minimum(starts[part][:, None] + at, len(codes) - 1)], -1).astype(np.int32)
+                merged = self.table.merged(filled)
+                odd[part[(merged >= self.table.size).any(axis=1)]] = True
+                held = merged >= 0
+                data = self.sizes[np.minimum(merged[held], self.table.size - 1)].tobytes()
+                ends = np.cumsum(held.sum(axis=1)) * _TRIPLE.size
+                for i, a, b in zip(part.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    out[i] = data[a:b]
+        for i in np.flatnonzero(odd).tolist():
+            pieces = _few_merged(chunks[i], self.rank) if sizes[i] <= 32 else _many_merged(chunks[i], self.rank)
+            out[i] = b"".join([_TRIPLE.pack(*piece) for piece in self._pieces(pieces)])
+        return out
 
     def _sizes(self, symbol: str) -> tuple[int, int]:
         size = len(symbol.encode("utf-8", "surrogatepass"))
@@ -341,11 +433,12 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         m = model(path)
         for batch in batches:
             ids, starts, ends = [], [], []
-            for t in batch.column("text").to_pylist():
-                i, a, b = m.encode(t)
-                ids.append(i)
-                starts.append(a)
-                ends.append(b)
+            texts = batch.column("text").to_pylist()
+            for first in range(0, len(texts), BATCH_TEXTS):
+                for i, a, b in m.encode_many(texts[first : first + BATCH_TEXTS]):
+                    ids.append(i)
+                    starts.append(a)
+                    ends.append(b)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), _lists(ids), _lists(starts), _lists(ends)], names=["doc", "ids", "starts", "ends"])
 
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
@@ -362,7 +455,9 @@ def decode_ids(rows: DataFrame, path: str, ids: str = "ids", text: str = "decode
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            texts = [m.decode(i or []) for i in batch.column(ids).to_pylist()]
+            lists = batch.column(ids)
+            at, flat = lists.offsets.to_pylist(), lists.values.to_numpy(zero_copy_only=False).tolist()  # null lists are empty ones
+            texts = [m.decode(flat[a:b]) for a, b in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, text])
 
     return rows.mapInArrow(decoded, StructType([*rows.schema.fields, StructField(text, StringType())]))
