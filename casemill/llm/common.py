@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MEMO_LIMIT = 400_000
+BATCH_BYTES = 64 << 20
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -34,9 +35,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession, batch_rows: int = 500) -> None:
-    """Ship the code and bound Arrow batches: documents can be long, so few rows per batch."""
+    """Ship the code and bound Arrow batches, by rows and by bytes: documents can be long."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def scratch_root(spark: SparkSession) -> str:

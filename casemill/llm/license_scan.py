@@ -12,11 +12,14 @@
 4. A family below ``least`` is unknown.  A prediction is confirmed if the paragraph shares enough
    word pairs with a template of the family; one that is not is reported as unknown.
 
-Paragraphs are the parts of a text between newlines, and every one with a word is classified.
-Reported are those of a family and those with an anchor word (which may be unknown).
+Paragraphs are the parts of a text between newlines, and every one with a word is classified: by windows of
+``WINDOW`` words that start every ``STEP`` words, so that a notice inside a long paragraph counts as it would
+alone (any ``WINDOW - STEP`` words in a row are inside one window).  A paragraph has the result of its best window: a confirmed
+one first, then one of a family, then the higher probability, then the earlier.
+Reported are paragraphs of a family and those with an anchor word (which may be unknown).
 
 Defined cases: null and empty texts have no paragraphs to report.  Repeated rows each report
-theirs.  Very long texts are read whole, and a very long paragraph is one paragraph.  Of equal
+theirs.  Very long texts are read whole, and a very long paragraph is one paragraph of many windows.  Of equal
 probabilities the first class in order wins.  An empty table gives an empty result.  Extra
 columns are ignored.
 """
@@ -37,6 +40,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "MIT License",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY",
         "SPDX-License-Identifier: MIT",
     ),
     "apache": (
@@ -72,6 +78,27 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the Mozilla Public License, version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ),
+    "isc": (
+        "ISC License",
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "epl": (
+        "Eclipse Public License - v 2.0",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
+    "boost": (
+        "Boost Software License - Version 1.0",
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Released into the public domain under the Unlicense license.",
+    ),
     "cc_by": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -112,9 +139,11 @@ OTHER_SENSES = (
 #: Paragraphs with one of these words are reported even if unknown.
 ANCHORS = (
     "license", "licence", "licensed", "licenses", "copyright", "rights", "permission", "permitted", "redistribute", "redistribution",
-    "gnu", "gpl", "lgpl", "agpl", "mit", "bsd", "apache", "mozilla", "mpl", "cc", "cc0", "creative", "spdx", "warranty", "public",
+    "gnu", "gpl", "lgpl", "agpl", "mit", "bsd", "apache", "mozilla", "mpl", "cc", "cc0", "creative", "spdx", "warranty", "public", "eclipse", "boost", "unlicense",
 )
 UNKNOWN = "unknown"
+#: Words of a window (longer than any template) and from one to the next.
+WINDOW, STEP = 48, 24
 FEATURES = 1 << 13
 #: Templates are dealt to so many folds, of which one is held out for the calibration.
 FOLDS, HELD_OUT = 3, 1
@@ -209,14 +238,21 @@ def train(docs: DataFrame, key: str, text: str, ordinary_rows: int, sample_docum
     return fit(rows), names, TEMPERATURES[best]
 
 
+def windowed(w: Column) -> Column:
+    """The words in windows; all of them in one if they fit."""
+    last = F.greatest(F.ceil((F.size(w) - WINDOW) / STEP).cast("int"), F.lit(0)) * STEP
+    return F.transform(F.sequence(F.lit(0), last, F.lit(STEP)), lambda i: F.slice(w, i + 1, WINDOW))
+
+
 def classified(docs: DataFrame, model: LogisticRegressionModel, key: str, text: str) -> DataFrame:
-    """Every paragraph that has an anchor word or that the model finds to be of a family: its number, words and raw scores."""
-    parts = docs.select(key, F.posexplode(F.split(text, "\n")).alias("paragraph", "_line"))
-    parts = parts.select(key, "paragraph", words(F.col("_line")).alias("w"))
+    """Every window that has an anchor word or that the model finds to be of a family: the number of its row, paragraph and place, words and raw scores."""
+    parts = docs.select(key, F.monotonically_increasing_id().alias("_row"), F.posexplode(F.split(text, "\n")).alias("paragraph", "_line"))
+    parts = parts.select(key, "_row", "paragraph", words(F.col("_line")).alias("_words"))
+    parts = parts.select(key, "_row", "paragraph", F.posexplode(windowed(F.col("_words"))).alias("window", "w"))
     raw = vector_to_array(F.col("rawPrediction")).alias("raw")
     anchor = F.arrays_overlap("w", F.array(*(F.lit(a) for a in ANCHORS))).alias("anchor")
     # the number of the task keeps the filter above this projection, so that scores are computed once
-    scored = model.transform(featured(parts)).select(key, "paragraph", "w", raw, anchor, F.spark_partition_id().alias("_task"))
+    scored = model.transform(featured(parts)).select(key, "_row", "paragraph", "window", "w", raw, anchor, F.spark_partition_id().alias("_task"))
     return scored.where((F.size("w") > 0) & (F.col("anchor") | once(F.col("raw"), lambda x: F.array_max(x) > x[0]))).drop("_task")
 
 
@@ -237,7 +273,10 @@ def scan_licenses(
     joined = scored.join(F.broadcast(known), F.col("predicted") == F.col("family"), "left")
     joined = joined.withColumn("similarity", F.coalesce(F.array_max(F.transform("known", lambda t: shared("pairs", t))), F.lit(0.0)))
     confirmed = (F.col("predicted") != UNKNOWN) & (F.col("probability") >= least) & (F.col("similarity") >= similar)
-    return joined.select(
-        key, F.col("paragraph").cast("long").alias("paragraph"), F.when(confirmed, F.col("predicted")).otherwise(F.lit(UNKNOWN)).alias("license"),
-        "predicted", F.round("probability", 4).alias("probability"), F.round("similarity", 4).alias("similarity"), confirmed.alias("confirmed"),
+    value = F.struct(confirmed.alias("confirmed"), (F.col("predicted") != UNKNOWN).alias("family"), "probability", (-F.col("window")).alias("place"), "predicted", "similarity")
+    # only windows with an anchor or a family are grouped, a paragraph's with a map-side part
+    best = joined.groupBy("_row", "paragraph").agg(F.first(key).alias(key), F.max(value).alias("b"))
+    return best.select(
+        key, F.col("paragraph").cast("long").alias("paragraph"), F.when(F.col("b.confirmed"), F.col("b.predicted")).otherwise(F.lit(UNKNOWN)).alias("license"),
+        "b.predicted", F.round("b.probability", 4).alias("probability"), F.round("b.similarity", 4).alias("similarity"), "b.confirmed",
     )
