@@ -58,9 +58,11 @@ TRANSCRIPT_METADATA = (
 )
 
 
-def _csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """The columns of ``ddl`` from a CSV with a header, by name in any order; absent ones are null, values that don't fit too."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def _csv(spark: SparkSession, path: str, ddl: str, multi_line: bool) -> DataFrame:
+    """The columns of ``ddl`` from a CSV with a header, by name in any order; absent ones are null, values that don't fit too.
+
+    Quoted values may hold newlines, so a file is read by one task; if none does, ``multi_line=False`` lets large files be split."""
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     raw = raw.toDF(*(c.lstrip("\ufeff").strip() for c in raw.columns))
 
     def one(name: str, kind: str) -> Column:
@@ -74,9 +76,10 @@ def _csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return raw.select(*(one(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(ddl)))
 
 
-def read_cases_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Flat case table from CSV; list columns are parsed, and empty where absent or malformed."""
-    df = _csv(spark, path, CASES.replace("ARRAY<STRING>", "STRING"))
+def read_cases_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Flat case table from CSV; list columns are parsed, and empty where absent or malformed.
+    A file is one task however large it is, unless ``multi_line`` is false (no value may hold a newline then)."""
+    df = _csv(spark, path, CASES.replace("ARRAY<STRING>", "STRING"), multi_line)
     return df.withColumns({c: N.list_column(F.col(c)) for c in LIST_COLUMNS})
 
 
@@ -104,20 +107,21 @@ def read_justices(spark: SparkSession, path: str) -> DataFrame:
     return df.groupBy("key").agg(*(F.max_by(c, "_at").alias(c) for c in df.columns if c not in ("key", "_at")))
 
 
-def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    """Topic dimension from an object of objects."""
+def read_taxonomy(spark: SparkSession, path: str, place: bool = False) -> DataFrame:
+    """Topic dimension from an object of objects; with ``place``, each topic's number in the file, which orders tags."""
     whole = spark.read.text(path, wholetext=True)
     topics = F.from_json("value", "map<string, struct<label: string, description: string, keywords: array<string>>>")
-    return whole.select(F.explode(topics).alias("topic", "t")).select("topic", "t.*")
+    rows = whole.select(F.posexplode(topics).alias("place", "topic", "t")).select("place", "topic", "t.*")
+    return rows if place else rows.drop("place")
 
 
 def read_panel_orders(spark: SparkSession, *paths: str, multi_line: bool = True) -> DataFrame:
     return _json(spark, list(paths), PANEL_ORDERS, multi_line)
 
 
-def read_overrides(spark: SparkSession, path: str) -> DataFrame:
+def read_overrides(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Overrides as strings: blanks and absent columns are empty, not null."""
-    return _csv(spark, path, OVERRIDES).na.fill("")
+    return _csv(spark, path, OVERRIDES, multi_line).na.fill("")
 
 
 def read_case_text(spark: SparkSession, path: str, name: str = "([^/]+)\\.[^./]+$") -> DataFrame:

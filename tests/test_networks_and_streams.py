@@ -1,6 +1,7 @@
 """Citation graph, similar texts, searches by table, keyword tables, keyed and event-time streams: by hand or against brute force."""
 
 import datetime as dt
+import json
 import math
 import random
 import re
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from casemill.operators import build, citations, search, similar, text, transcripts
 from casemill.operators.stored import Stored
+from casemill.sources import tables
 from casemill.streaming import keyed, volume
 
 
@@ -141,6 +143,16 @@ def test_tags_from_a_table_as_from_expressions(spark, block):
     assert text.topic_tags_by_table(docs, table.limit(0)).where(F.size("topics") > 0).count() == 0
 
 
+def test_tags_from_a_taxonomy_file(spark, tmp_path):
+    many = {f"t{i}": {"label": f"T{i}", "description": "", "keywords": [f"word{i:05d}", f"other {i:05d}"]} for i in range(5000)}
+    (tmp_path / "taxonomy.json").write_text(json.dumps(many))
+    docs = spark.createDataFrame([(1, "Word00042 and other 00007, word049990"), (2, "word00042word00001 other  00003")], "doc_id int, text string")
+    table = tables.read_taxonomy(spark, str(tmp_path / "taxonomy.json"), place=True)
+    tags = lambda **o: {r["doc_id"]: r["topics"] for r in text.topic_tags_by_table(docs, table, **o).collect()}
+    assert tags() == {1: ["t7", "t42", "t4999"], 2: ["t1", "t42"]}
+    assert tags(word_boundary=True) == {1: ["t7", "t42"], 2: []}
+
+
 # Streams
 
 
