@@ -1,7 +1,9 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant.
 
 1. ``text_statistics`` measures every whole text (words, characters, symbols, repeated
-   lines and phrases) in Arrow batches; no shuffle.
+   lines and phrases) in Arrow batches; no shuffle.  ``transformed`` makes features of the counts: the
+   logarithm of the length, of the mean word, and roots of shares.  Each share is that of the text and
+   ``PRIOR_WORDS`` ordinary words (of the median of all rows), as the shares of a short text say little.
 2. ``robust_outliers`` fits, for each group (language and source), the minimum covariance
    determinant estimate of the transformed statistics.  There are several starts: medians and
    MADs, and mean and covariance of small subsets chosen by hash.  A concentration step keeps the
@@ -11,6 +13,9 @@
    all rows: moments are summed per group, start and distance bin (partial sums on the map side, so
    a group with a third of all rows costs no skew) and a running sum over the bins gives the
    moments of the kept share.  Rows are never sampled for a step.
+   A variance is never below a tenth of the group's own robust deviation (MAD) squared, so the
+   fit decides.  A count that is the same in over half of a group's rows (most texts have no symbols or repeated
+   lines) has no such deviation; its least deviation follows from the first outer quantile that differs from the median.
 3. Distances whose median is above that of a chi-squared variable are scaled down to it
    (the kept share understates the spread), and rows beyond its ``quantile`` are rejected.
 
@@ -41,13 +46,16 @@ SYMBOLS = "#*$%&|<>"
 PHRASE = 5
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MORE_COUNTS = ("n_lines", "n_capitals", "n_adjacent")
 FEATURES = ("f_length", "f_word", "f_symbol", "f_upper", "f_adjacent", "f_lines", "f_repeat")
-#: Least standard deviation of each feature: a constant one can't make the covariance singular,
-#: and spread within it is ordinary in any prose.
-FLOORS = (1.0, 0.12, 0.03, 0.05, 0.04, 0.15, 0.06)
+#: Ordinary words that every text is measured together with.
+PRIOR_WORDS = 100
+#: The least deviation of a feature, as a share of its MAD; and where that is zero, of which outer quantiles the first counts.
+LEAST_SHARE, OUTER = 0.1, (0.9, 0.95, 0.99, 0.995)
 BINS_PER_OCTAVE = 16
 #: A log determinant that changes by less has converged.
 TOLERANCE = 1e-3
+TINY = 1e-12
 
 
 def measure(text: object) -> tuple[int, int, int, int, int, int, int, int]:
@@ -74,21 +82,13 @@ def measure(text: object) -> tuple[int, int, int, int, int, int, int, int]:
 def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         m = np.array([measure(t) for t in pdf.pop("_text")], dtype=np.int64).reshape(-1, 8)
-        for k, name in enumerate(BASE_COLUMNS):
+        for k, name in enumerate((*BASE_COLUMNS, *MORE_COUNTS)):
             pdf[name] = m[:, k]
-        words, chars = np.maximum(m[:, 0], 1), np.maximum(m[:, 1], 1)
-        pdf["f_length"] = np.log1p(m[:, 0])
-        pdf["f_word"] = np.log(chars / words)
-        pdf["f_symbol"] = np.sqrt(m[:, 2] / chars)
-        pdf["f_upper"] = m[:, 6] / chars
-        pdf["f_adjacent"] = m[:, 7] / words
-        pdf["f_lines"] = m[:, 3] / np.maximum(m[:, 5], 1)
-        pdf["f_repeat"] = m[:, 4] / words
         yield pdf
 
 
 def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """Columns ``doc_key, g0, g1, ..``, the base counts and the transformed features of every row."""
+    """Columns ``doc_key, g0, g1, ..`` and the counts of every row."""
     C.prepare(docs.sparkSession)
     picked = docs.select(
         F.col(key).alias("doc_key"),
@@ -97,10 +97,28 @@ def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", gr
     )
     kind = dict(picked.dtypes)["doc_key"]
     schema = f"doc_key {kind}, " + "".join(f"g{i} string, " for i in range(len(groups)))
-    schema += ", ".join([f"{c} long" for c in BASE_COLUMNS] + [f"{c} double" for c in FEATURES])
+    schema += ", ".join(f"{c} long" for c in (*BASE_COLUMNS, *MORE_COUNTS))
     return picked.mapInPandas(_measured, schema)
 
 
+def transformed(stats: DataFrame, eligible: Column, prior: int = PRIOR_WORDS) -> DataFrame:
+    """Stored ``stats`` with ``FEATURES``; what an ordinary word is, is the median over all eligible rows."""
+    n, chars = F.col("n_words"), F.col("word_chars")
+    medians = stats.where(eligible & (n > 0) & (chars > 0)).agg(*(F.percentile_approx(c, 0.5, 2000) for c in (chars / n, F.col("n_capitals") / chars, F.col("n_adjacent") / n))).first()
+    letters, capitals, adjacent = (float(x or d) for x, d in zip(medians, (5.0, 0.0, 0.0), strict=True))
+    more = chars + prior * letters
+    root = lambda part, whole: F.sqrt(part / whole)
+    return stats.withColumns({
+        "f_length": F.log1p(n.cast("double")),
+        "f_word": F.log(more / (n + prior)),
+        "f_symbol": root(F.col("n_symbols"), more),
+        "f_upper": root(F.col("n_capitals") + prior * letters * capitals, more),
+        "f_adjacent": root(F.col("n_adjacent") + prior * adjacent, n + prior),
+        "f_lines": root(F.col("n_dup_lines"), F.col("n_lines") + prior // 10),
+        "f_repeat": root(F.col("n_repeat_words"), n + prior),
+    })
+
+
 def chi2_quantile(q: float, df: int) -> float:
     """Wilson-Hilferty approximation."""
     z = NormalDist().inv_cdf(q)
@@ -121,17 +139,16 @@ def distance(features: tuple[str, ...]) -> Column:
 PARAMS = "fit string, start int, mu array<double>, prec array<double>, logdet double"
 
 
-def _inverted(batches: Iterator[pd.DataFrame], floors: tuple[float, ...]) -> Iterator[pd.DataFrame]:
-    """Centre, inverse covariance and log determinant of each group and start from its sums."""
-    p = len(floors)
+def _inverted(batches: Iterator[pd.DataFrame], p: int) -> Iterator[pd.DataFrame]:
+    """Centre, inverse covariance and log determinant of each group and start from its sums and least deviations."""
     for pdf in batches:
         rows = []
-        for fit, start, n, s, q in zip(pdf["fit"], pdf["start"], pdf["n"], pdf["s"], pdf["q"], strict=True):
+        for fit, start, n, s, q, least in zip(pdf["fit"], pdf["start"], pdf["n"], pdf["s"], pdf["q"], pdf["least"], strict=True):
             mu = np.asarray(s, dtype=float) / n
             cov = np.zeros((p, p))
             cov[np.triu_indices(p)] = np.asarray(q, dtype=float) / n
             cov = cov + np.triu(cov, 1).T - np.outer(mu, mu)
-            cov += np.diag(np.maximum(np.square(floors) - np.diag(cov), 0) + 1e-9)
+            cov += np.diag(np.maximum(np.square(np.asarray(least, dtype=float)) - np.diag(cov), 0) + TINY)
             rows.append((fit, start, mu.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
         yield pd.DataFrame(rows, columns=["fit", "start", "mu", "prec", "logdet"])
 
@@ -150,10 +167,10 @@ def robust_outliers(
     stats: DataFrame,
     eligible: Column,
     features: tuple[str, ...] = FEATURES,
-    floors: tuple[float, ...] = FLOORS,
+    floors: tuple[float, ...] | None = None,
     groups: tuple[str, ...] = ("g0", "g1"),
     support: float = 0.75,
-    steps: int = 10,
+    steps: int = 30,
     subsets: tuple[int, ...] = (3, 17),
     quantile: float = 0.999999,
     min_group: int = 100,
@@ -162,7 +179,8 @@ def robust_outliers(
 ) -> DataFrame:
     """``stats`` with ``distance`` (scaled squared Mahalanobis, null if nothing was fitted) and ``outlier``.
 
-    ``stats`` must be a stored table: it is read once for each concentration step.
+    ``stats`` must be a stored table: it is read once for each concentration step.  These end when no determinant
+    changes by more than ``TOLERANCE``, or after ``steps``.  ``floors``: least deviations, else those of each group.
     """
     spark = stats.sparkSession
     scratch = scratch or C.Scratch(spark)
@@ -185,20 +203,32 @@ def robust_outliers(
     med = fitted.groupBy("fit").agg(*(F.percentile_approx(f, 0.5, 2000).alias(f"m_{f}") for f in features))
     spread = fitted.join(hint(med), "fit").groupBy("fit").agg(
         *(F.first(f"m_{f}").alias(f"m_{f}") for f in features),
-        *(F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), 0.5, 2000).alias(f"s_{f}") for f in features),
+        *(F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), [0.5, *OUTER], 2000).alias(f"s_{f}") for f in features),
     )
-    inverse = [F.pow(F.greatest(F.round(F.col(f"s_{f}") * 1.4826, 3), F.lit(w)), F.lit(-2.0)) for f, w in zip(features, floors, strict=True)]
-    params = spread.select(
-        "fit", F.lit(0).alias("start"),
-        F.array(*(F.round(F.col(f"m_{f}"), 3) for f in features)).alias("mu"),
+    normal = [1.4826, *(1 / NormalDist().inv_cdf((1 + q) / 2) for q in OUTER)]
+
+    def least(f: str) -> Column:
+        out = F.lit(1.0)
+        for k in range(len(OUTER), 0, -1):
+            out = F.when(F.col(f"s_{f}")[k] > 1e-9, F.col(f"s_{f}")[k] * normal[k]).otherwise(out)
+        return F.when(F.col(f"s_{f}")[0] > 1e-9, F.col(f"s_{f}")[0] * normal[0] * LEAST_SHARE).otherwise(out)
+
+    digits = 9 if floors is None else 3
+    leasts = [least(f) if floors is None else F.lit(float(floors[i])) for i, f in enumerate(features)]
+    inverse = [F.pow(F.greatest(F.round(F.col(f"s_{f}")[0] * normal[0], digits), w), F.lit(-2.0)) for f, w in zip(features, leasts, strict=True)]
+    spread = spread.select(
+        "fit",
+        F.array(*(F.round(F.col(f"m_{f}"), digits) for f in features)).alias("mu"),
         F.array(*(inverse[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p))).alias("prec"),
-        F.lit(math.inf).alias("logdet"),
+        F.array(*leasts).alias("least"),
     )
+    spread = scratch.table(spread, "mcd-spread")
+    params = spread.select("fit", F.lit(0).alias("start"), "mu", "prec", F.lit(math.inf).alias("logdet"))
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(features)]
     sums += [F.sum(F.col(features[i]) * F.col(features[j])).alias(f"q{k}") for k, (i, j) in enumerate(pairs)]
     moments = [F.array(*(f"s{i}" for i in range(p))).alias("s"), F.array(*(f"q{k}" for k in range(len(pairs)))).alias("q")]
-    fit_of = lambda df: df.select("fit", "start", "n", *moments).mapInPandas(lambda it: _inverted(it, floors), PARAMS)
+    fit_of = lambda df: df.join(hint(spread.select("fit", "least")), "fit").select("fit", "start", "n", *moments, "least").mapInPandas(lambda it: _inverted(it, p), PARAMS)
     # other starts: one row in 32 by hash, if these are enough for a covariance
     residue = F.pmod(F.xxhash64(*features), F.lit(32)).cast("int")
     some = fitted.where(residue.isin(*subsets)).groupBy("fit", residue.alias("start")).agg(F.count(F.lit(1)).alias("n"), *sums).where(F.col("n") >= 4 * p)
@@ -241,7 +271,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", grou
     scratch = C.Scratch(docs.sparkSession)
     stats = scratch.table(text_statistics(docs, key, text, groups), "quality-statistics")
     failed = (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
-    judged = robust_outliers(stats, ~failed, groups=tuple(f"g{i}" for i in range(len(groups))), scratch=scratch, **options)
+    judged = robust_outliers(transformed(stats, ~failed), ~failed, groups=tuple(f"g{i}" for i in range(len(groups))), scratch=scratch, **options)
     return judged.select(
         F.col("doc_key").alias(key), *BASE_COLUMNS,
         failed.alias("base_failed"),

@@ -1,6 +1,7 @@
 """The ten operators against brute-force versions and on the defined corner cases."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -147,6 +148,35 @@ def test_outliers_against_brute_force(spark, support, steps):
         assert outlier[:200].all() and outlier[200:].mean() < 0.02
 
 
+def test_covariance_decides_and_not_the_single_deviations(spark):
+    """A row that is ordinary in each feature and odd in both together; a feature that is mostly zero."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 2)) @ np.array([[1.0, 0.97], [0.0, 0.24]]) * 0.01
+    zeros = np.where(rng.random(2000) < 0.03, rng.random(2000) * 0.1, 0.0)
+    rows = [(float(a), float(b), float(c), "g", "h", i) for i, ((a, b), c) in enumerate(zip(x, zeros, strict=True))]
+    rows += [(0.015, -0.015, 0.0, "g", "h", 5000), (0.0, 0.0, 3.0, "g", "h", 5001), (0.02, 0.02, 0.0, "g", "h", 5002)]
+    stats = spark.createDataFrame(rows, "f0 double, f1 double, f2 double, g0 string, g1 string, i int")
+    out = {r["i"] for r in quality_rules.robust_outliers(stats, F.lit(True), ("f0", "f1", "f2")).where("outlier").collect()}
+    assert {5000, 5001} <= out and 5002 not in out and len(out) < 20
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_fit_on_the_given_documents(spark):
+    """The fitted rejections are not those of medians and deviations alone, floors lie under most variances, and texts in common form stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    stats = quality_rules.C.Scratch(spark).table(quality_rules.text_statistics(docs), "statistics")
+    rows = quality_rules.transformed(stats, ~failed)
+    got = quality_rules.robust_outliers(rows, ~failed, min_group=100).where(~failed).toPandas()
+    x = got[list(quality_rules.FEATURES)].to_numpy()
+    mad = np.median(np.abs(x - np.median(x, axis=0)), axis=0) * 1.4826
+    alone = np.square((x - np.median(x, axis=0)) / np.where(mad > 1e-9, mad, np.inf)).sum(axis=1) > quality_rules.chi2_quantile(0.999999, x.shape[1])
+    assert 0 < got["outlier"].sum() < 0.08 * len(got)
+    assert (got["outlier"].to_numpy() != alone).any()
+    covered = np.cov(x[~got["outlier"].to_numpy()].T).diagonal()
+    assert ((0.1 * mad[mad > 1e-9]) ** 2 < covered[mad > 1e-9]).all() and (mad > 1e-9).sum() >= 4
+
+
 # 2 line dedup
 
 
