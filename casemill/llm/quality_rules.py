@@ -15,7 +15,8 @@
    moments of the kept share.  Rows are never sampled for a step.
    A variance is never below a tenth of the group's own robust deviation (MAD) squared, so the
    fit decides.  A count that is the same in over half of a group's rows (most texts have no symbols or repeated
-   lines) has no such deviation; its least deviation follows from the first outer quantile that differs from the median.
+   lines) has no such deviation; its least deviation follows from the first outer quantile, over all fitted rows of all
+   groups, that differs from the median.
 3. Distances whose median is above that of a chi-squared variable are scaled down to it
    (the kept share understates the spread), and rows beyond its ``quantile`` are rejected.
 
@@ -51,7 +52,7 @@ FEATURES = ("f_length", "f_word", "f_symbol", "f_upper", "f_adjacent", "f_lines"
 #: Ordinary words that every text is measured together with.
 PRIOR_WORDS = 100
 #: The least deviation of a feature, as a share of its MAD; and where that is zero, of which outer quantiles the first counts.
-LEAST_SHARE, OUTER = 0.1, (0.9, 0.95, 0.99, 0.995)
+LEAST_SHARE, OUTER = 0.1, (0.98, 0.995)
 BINS_PER_OCTAVE = 16
 #: A log determinant that changes by less has converged.
 TOLERANCE = 1e-3
@@ -163,6 +164,16 @@ def _share(df: DataFrame, share: float, *sums: Column) -> DataFrame:
     return run.where(F.col("n_bin") >= F.col("n_all") * share).withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "n_all")
 
 
+def _outer_deviations(fitted: DataFrame, features: tuple[str, ...]) -> list[float]:
+    """Per feature the deviation of a normal variable with the first outer quantile (of the distances from the median) that is not zero."""
+    median = fitted.agg(*(F.percentile_approx(f, 0.5, 2000) for f in features)).first()
+    if median[0] is None:
+        return [1.0] * len(features)
+    far = fitted.agg(*(F.percentile_approx(F.abs(F.col(f) - m), list(OUTER), 2000) for f, m in zip(features, median, strict=True))).first()
+    normal = [NormalDist().inv_cdf((1 + q) / 2) for q in OUTER]
+    return [next((x / z for x, z in zip(row, normal, strict=True) if x > 1e-9), 1.0) for row in far]
+
+
 def robust_outliers(
     stats: DataFrame,
     eligible: Column,
@@ -203,19 +214,15 @@ def robust_outliers(
     med = fitted.groupBy("fit").agg(*(F.percentile_approx(f, 0.5, 2000).alias(f"m_{f}") for f in features))
     spread = fitted.join(hint(med), "fit").groupBy("fit").agg(
         *(F.first(f"m_{f}").alias(f"m_{f}") for f in features),
-        *(F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), [0.5, *OUTER], 2000).alias(f"s_{f}") for f in features),
+        *(F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), 0.5, 2000).alias(f"s_{f}") for f in features),
     )
-    normal = [1.4826, *(1 / NormalDist().inv_cdf((1 + q) / 2) for q in OUTER)]
-
-    def least(f: str) -> Column:
-        out = F.lit(1.0)
-        for k in range(len(OUTER), 0, -1):
-            out = F.when(F.col(f"s_{f}")[k] > 1e-9, F.col(f"s_{f}")[k] * normal[k]).otherwise(out)
-        return F.when(F.col(f"s_{f}")[0] > 1e-9, F.col(f"s_{f}")[0] * normal[0] * LEAST_SHARE).otherwise(out)
-
     digits = 9 if floors is None else 3
-    leasts = [least(f) if floors is None else F.lit(float(floors[i])) for i, f in enumerate(features)]
-    inverse = [F.pow(F.greatest(F.round(F.col(f"s_{f}")[0] * normal[0], digits), w), F.lit(-2.0)) for f, w in zip(features, leasts, strict=True)]
+    if floors is None:
+        tails = _outer_deviations(fitted, features)
+        leasts = [F.when(F.col(f"s_{f}") > 1e-9, F.col(f"s_{f}") * 1.4826 * LEAST_SHARE).otherwise(tails[i]) for i, f in enumerate(features)]
+    else:
+        leasts = [F.lit(float(w)) for w in floors]
+    inverse = [F.pow(F.greatest(F.round(F.col(f"s_{f}") * 1.4826, digits), w), F.lit(-2.0)) for f, w in zip(features, leasts, strict=True)]
     spread = spread.select(
         "fit",
         F.array(*(F.round(F.col(f"m_{f}"), digits) for f in features)).alias("mu"),
