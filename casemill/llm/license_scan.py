@@ -16,7 +16,8 @@ Paragraphs are the parts of a text between newlines, and every one with a word i
 ``WINDOW`` words that start every ``STEP`` words, so that a notice inside a long paragraph counts as it would
 alone (any ``WINDOW - STEP`` words in a row are inside one window).  A paragraph has the result of its best window: a confirmed
 one first, then one of a family, then the higher probability, then the earlier.
-Reported are paragraphs of a family and those with an anchor word (which may be unknown).
+Reported are paragraphs of a family and those with an anchor word (which may be unknown); one of several
+windows without an anchor word only if a window is confirmed, as one of many may look like a family by chance.
 
 Defined cases: null and empty texts have no paragraphs to report.  Repeated rows each report
 theirs.  Very long texts are read whole, and a very long paragraph is one paragraph of many windows.  Of equal
@@ -248,11 +249,12 @@ def classified(docs: DataFrame, model: LogisticRegressionModel, key: str, text:
     """Every window that has an anchor word or that the model finds to be of a family: the number of its row, paragraph and place, words and raw scores."""
     parts = docs.select(key, F.monotonically_increasing_id().alias("_row"), F.posexplode(F.split(text, "\n")).alias("paragraph", "_line"))
     parts = parts.select(key, "_row", "paragraph", words(F.col("_line")).alias("_words"))
-    parts = parts.select(key, "_row", "paragraph", F.posexplode(windowed(F.col("_words"))).alias("window", "w"))
+    several = (F.size("_words") > WINDOW).alias("several")
+    parts = parts.select(key, "_row", "paragraph", several, F.posexplode(windowed(F.col("_words"))).alias("window", "w"))
     raw = vector_to_array(F.col("rawPrediction")).alias("raw")
     anchor = F.arrays_overlap("w", F.array(*(F.lit(a) for a in ANCHORS))).alias("anchor")
     # the number of the task keeps the filter above this projection, so that scores are computed once
-    scored = model.transform(featured(parts)).select(key, "_row", "paragraph", "window", "w", raw, anchor, F.spark_partition_id().alias("_task"))
+    scored = model.transform(featured(parts)).select(key, "_row", "paragraph", "several", "window", "w", raw, anchor, F.spark_partition_id().alias("_task"))
     return scored.where((F.size("w") > 0) & (F.col("anchor") | once(F.col("raw"), lambda x: F.array_max(x) > x[0]))).drop("_task")
 
 
@@ -275,7 +277,8 @@ def scan_licenses(
     confirmed = (F.col("predicted") != UNKNOWN) & (F.col("probability") >= least) & (F.col("similarity") >= similar)
     value = F.struct(confirmed.alias("confirmed"), (F.col("predicted") != UNKNOWN).alias("family"), "probability", (-F.col("window")).alias("place"), "predicted", "similarity")
     # only windows with an anchor or a family are grouped, a paragraph's with a map-side part
-    best = joined.groupBy("_row", "paragraph").agg(F.first(key).alias(key), F.max(value).alias("b"))
+    best = joined.groupBy("_row", "paragraph").agg(F.first(key).alias(key), F.max(value).alias("b"), F.max("anchor").alias("anchor"), F.max("several").alias("several"))
+    best = best.where(F.col("anchor") | F.col("b.confirmed") | ~F.col("several"))
     return best.select(
         key, F.col("paragraph").cast("long").alias("paragraph"), F.when(F.col("b.confirmed"), F.col("b.predicted")).otherwise(F.lit(UNKNOWN)).alias("license"),
         "b.predicted", F.round("b.probability", 4).alias("probability"), F.round("b.similarity", 4).alias("similarity"), "b.confirmed",
