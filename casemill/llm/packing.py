@@ -272,8 +272,8 @@ def pack(
         sequence = row = task
         for batch in batches:
             out, ends = [], []
-            for i, x in enumerate(batch.column("text").to_pylist()):
-                ids = np.append(t.ids(x or ""), np.array(end_id, dtype=wide))
+            for i, ids in enumerate(t.many(batch.column("text"))):
+                ids = np.append(ids, np.array(end_id, dtype=wide))
                 whole = len(ids) // window * window
                 for a in range(0, whole, window):
                     piece = ids[a : a + window]

@@ -15,9 +15,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import common as C
 
@@ -26,6 +29,13 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters before this one need no normalization but lower case.
 _BEYOND = "\u0250"
 _MARKS = ".,;:!?"
+#: White space but lone spaces and newlines between two other characters, as ``str.split`` sees it.
+_ODD = (
+    r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    r"|[ \n][ \n]|\A[ \n]|[ \n]\z"
+)
+#: Bytes of the texts that are cut together, and of those that are taken at once at all.
+GROUP_BYTES, LONG_BYTES = 4 << 20, 64 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -57,16 +67,22 @@ class CachedTokenizer:
     def __init__(self, path: str, space_leads: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cuttable = _cuttable(json.loads(self.tokenizer.to_str(pretty=False)), space_leads)
         self.merge = self.tokenizer.model.tokenize
+        self.merges = Tokenizer(self.tokenizer.model)  # the same merges; white space parts what is never merged
+        self.merges.pre_tokenizer = WhitespaceSplit()
         self.space_leads = space_leads
         letters = byte_letters()
         self.space = letters[0x20] if space_leads else ""
         self.latin = {chr(c): "".join(letters[b] for b in chr(c).encode()) for c in range(0x250)}
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        vocabulary = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)  # ids that start with a space
+        self.leads[[i for x, i in vocabulary.items() if self.space and x.startswith(self.space)]] = True
         self.mark_ids = {m: [t.id for t in self.merge(m)] for m in _MARKS}
         self.newline = [t.id for t in self.merge(letters[0x0A])] if space_leads else []
         self._clear()
@@ -152,18 +168,101 @@ class CachedTokenizer:
             return np.concatenate([head, body])
         return body[len(self.newline) :] if self.space_leads else body
 
+    def many(self, texts: pa.Array) -> list[np.ndarray]:
+        """``ids`` of each text (null: empty).
+
+        Texts of ``GROUP_BYTES`` are cut together in Arrow, so each distinct piece of them is looked up once, and
+        those that the cache lacks are encoded in one call.
+        """
+        out = [np.empty(0, dtype=self.dtype)] * len(texts)
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        plain = (size > 0) & (size < LONG_BYTES) & (self.space_leads and self.cuttable)
+        if plain.any():
+            odd = pc.match_substring_regex(texts, _ODD)
+            for x in self.special:
+                odd = pc.or_(odd, pc.match_substring(texts, x))
+            plain &= ~pc.fill_null(odd, True).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero((size > 0) & ~plain).tolist():
+            out[i] = self.ids(texts[i].as_py())
+        place = np.flatnonzero(plain)
+        group = np.cumsum(size[place], dtype=np.int64) // GROUP_BYTES
+        for some in np.split(place, np.flatnonzero(np.diff(group)) + 1):
+            if len(some):
+                for i, ids in zip(some.tolist(), self._group(texts.take(pa.array(some))), strict=True):
+                    out[i] = ids
+        return out
+
+    def _group(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts without odd white space, where each piece follows a space."""
+        if self.missed > 4 * CACHE_PIECES:
+            self._clear()
+        empty, newline = pa.scalar("", texts.type), pa.scalar("\n", texts.type)
+        parts = pc.split_pattern(pc.binary_join_element_wise(empty, pc.replace_substring(texts, "\n", " \n"), newline), " ")
+        distinct = parts.flatten().dictionary_encode()
+        words = pa.ListArray.from_arrays(pa.array([0, len(distinct.dictionary)], pa.int32()), distinct.dictionary)
+        words = pc.binary_join(words, " ")[0].as_py().split(" ")
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        known = len(self.index)
+        if new:
+            new = self._lay_new(words, new)
+            at[new] = known + np.arange(len(new))
+        number = distinct.indices.to_numpy()
+        first, size = self.start[at], self.start[at + 1] - self.start[at]
+        first, size = first[number], size[number]
+        ends = np.cumsum(size)
+        first -= ends - size
+        body = self.flat[np.arange(int(ends[-1])) + np.repeat(first, size)]
+        kept = new[: max(0, CACHE_PIECES - known)]
+        self.index.update(zip([words[i] for i in kept], range(known, known + len(kept)), strict=True))
+        self.missed += len(new) - len(kept)
+        ends = np.concatenate([[0], ends])[parts.offsets.to_numpy()]
+        return [body[a + len(self.newline) : b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def _lay_new(self, words: list[str], new: list[int]) -> list[int]:
+        """Lay the ids of ``words`` at ``new`` behind those of the cached pieces, in the order that is returned.
+
+        Letters with closing marks are two pieces before the merge step, the first with its space: parted by
+        white space, all of them are merged in one call, and an id that starts with a space starts a word.
+        """
+        quick, texts, other = [], [], []
+        for i in new:
+            word = words[i]
+            core = word.rstrip(string.punctuation)
+            if not core.isalpha():  # nor where a newline leads
+                other.append(i)
+                continue
+            marks = word[len(core) :]
+            if not core.isascii():
+                if max(core) >= _BEYOND:
+                    other.append(i)
+                    continue
+                core = "".join([self.latin[c] for c in core])
+            quick.append(i)
+            texts.append(f"{self.space}{core} {marks}" if marks else self.space + core)
+        ids = np.array(self.merges.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        heads = np.flatnonzero(self.leads[ids])
+        if len(heads) != len(quick) or (len(heads) and heads[0]):  # a vocabulary without some byte
+            quick, other, ids, heads = [], new, ids[:0], heads[:0]
+        rest = self._encode([words[i] for i in other])
+        sizes = np.concatenate([np.diff(heads, append=len(ids)), np.fromiter(map(len, rest), dtype=np.int64, count=len(rest))])
+        self._lay(np.concatenate([ids, np.array([x for e in rest for x in e], dtype=self.dtype)]), sizes)
+        return quick + other
+
     def _append(self, encoded: list[list[int]]) -> None:
         """Lay ids behind those of the cached pieces; they count only once the index has them."""
+        sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
+        self._lay(np.fromiter((x for e in encoded for x in e), dtype=self.dtype, count=int(sizes.sum())), sizes)
+
+    def _lay(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         known = len(self.index)
         used = int(self.start[known])
-        sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
-        ids = np.fromiter((x for e in encoded for x in e), dtype=self.dtype, count=int(sizes.sum()))
         while used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while known + len(encoded) + 1 > len(self.start):
+        while known + len(sizes) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
         self.flat[used : used + len(ids)] = ids
-        self.start[known + 1 : known + 1 + len(encoded)] = used + np.cumsum(sizes)
+        self.start[known + 1 : known + 1 + len(sizes)] = used + np.cumsum(sizes)
 
 
 _tokenizers: dict[tuple[str, bool], CachedTokenizer] = {}

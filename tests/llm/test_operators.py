@@ -8,10 +8,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from casemill.llm import decontaminate, jaccard_join, license_scan, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, text_model, token_ids, toxicity
+from casemill.llm import decontaminate, jaccard_join, license_scan, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, text_model, token_ids, tokens, toxicity
 from casemill.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -451,6 +452,41 @@ def test_packing_places_every_id_once(docs, empty, window):
     assert packing.pack(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("name, space_leads", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_texts_tokenized_together(monkeypatch, name, space_leads):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 40)
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 300)
+    path = tokenizer_path(name)
+    library, cached = Tokenizer.from_file(path), tokens.CachedTokenizer(path, space_leads)
+    special = cached.special[:2]
+    bits = ["the", "Wörter,", "don't", "x's", "it'", "the&&&", "a.$_#!", "12.5", "3rd", "_", "\u0120x", "\u0119l", "\u0142", "\u4e2d\u6587", "e\u0301t\u00e9.", "\u00aa", "\U0001f600!", "'ll", "A-B", "\x00q", *special]
+    gaps = [" "] * 40 + ["\n"] * 8 + ["  ", "\n\n", " \n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "\r\n"]
+    rng = random.Random(8)
+    texts = [None, "", " ", "\n", "\nthe", "the ", "x", *special]
+    for k in range(400):
+        own = bits[: len(bits) - len(special)] if k % 4 else bits
+        text = "".join(x for _ in range(rng.randrange(1, 40)) for x in (rng.choice([rng.choice(own), f"{rng.choice(own)}{rng.choice(own)}", "".join(rng.choices("abcä", k=5))]), rng.choice(gaps[:48] if k % 3 else gaps)))
+        texts.append(text.strip() if k % 2 else text)
+    for _ in range(2):
+        got = cached.many(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in got] == [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+        assert {x.dtype for x in got} == {np.dtype(cached.dtype)}
+    assert len(cached.index) <= 40
+    assert cached.many(pa.array([], pa.string())) == []
+
+
+def test_new_words_are_encoded_in_one_call(monkeypatch):
+    """New words of a batch go to the merge model together, not one by one for each text."""
+    cached = tokens.CachedTokenizer(tokenizer_path("byte_bpe_50k.json"), True)
+    calls = []
+    monkeypatch.setattr(cached, "_word", lambda *a: calls.append(a))
+    words = ["".join(x) + m for x in zip("abcdefgh" * 50, "zyxwvuts" * 50, "mnopqrst" * 50, strict=True) for m in ("", ",", "&&&")]
+    cached.many(pa.array([f"Line {' '.join(words[i : i + 30])}" for i in range(0, len(words), 30)]))
+    assert {a[0] for a in calls} <= {"Line"}
+
+
 def test_neighbours_come_first():
     rng = np.random.default_rng(3)
     topics = [rng.integers(k * 100, k * 100 + 100, size=30) for k in range(6) for _ in range(5)]
