@@ -6,7 +6,7 @@ starts the next piece; word-end: both are dropped).  So a text is cut there, eac
 piece is encoded once per worker by the library, and the ids of a text are the ids of its
 pieces in a row.  A text with any other white space is cut at its lone spaces only.
 
-A text that holds the string of a special token (which the library finds first), and every text
+A text that holds the string of a special token (which the library finds first) or U+0002, and every text
 under a tokenizer file with other settings than these two, goes to the library as a whole.
 """
 
@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import string
 from itertools import repeat
 
 import numpy as np
@@ -29,9 +28,12 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters before this one need no normalization but lower case.
 _BEYOND = "\u0250"
 _MARKS = ".,;:!?"
-#: White space but lone spaces and newlines between two other characters, as ``str.split`` sees it.
+#: A letter and the closing marks behind it, and what stands before marks to tell that they follow a letter.
+_CLOSED = r"([A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-/:-@\[-`{-~]+)( |\z)"
+_APART = "\x02"
+#: That character, and white space but lone spaces and newlines between two other characters, as ``str.split`` sees it.
 _ODD = (
-    r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    r"[\x02\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
     r"|[ \n][ \n]|\A[ \n]|[ \n]\z"
 )
 #: Bytes of the texts that are cut together, and of those that are taken at once at all.
@@ -57,6 +59,13 @@ def _cuttable(settings: dict, space_leads: bool) -> bool:
     return steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and bool(model.get("end_of_word_suffix"))
 
 
+def _gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and items of the stretches of ``flat`` that ``of`` names, one behind the other."""
+    first, size = first[of], size[of]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return ends, flat[np.arange(int(ends[-1])) + np.repeat(first - ends[:-1], size)]
+
+
 class CachedTokenizer:
     """``ids(text)``: an array (uint16 if the vocabulary allows) equal to ``encode(text, add_special_tokens=False).ids``.
 
@@ -131,7 +140,7 @@ class CachedTokenizer:
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, dtype=self.dtype)
-        if not self.cuttable or any(x in text for x in self.special):
+        if not self.cuttable or _APART in text or any(x in text for x in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
         parts = text.split()
         head = None
@@ -171,8 +180,8 @@ class CachedTokenizer:
     def many(self, texts: pa.Array) -> list[np.ndarray]:
         """``ids`` of each text (null: empty).
 
-        Texts of ``GROUP_BYTES`` are cut together in Arrow, so each distinct piece of them is looked up once, and
-        those that the cache lacks are encoded in one call.
+        Texts of ``GROUP_BYTES`` are cut together in Arrow, so each distinct word of them is looked up once, without
+        its closing marks, and those that the cache lacks are encoded in one call.
         """
         out = [np.empty(0, dtype=self.dtype)] * len(texts)
         size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -198,56 +207,60 @@ class CachedTokenizer:
             self._clear()
         empty, newline = pa.scalar("", texts.type), pa.scalar("\n", texts.type)
         parts = pc.split_pattern(pc.binary_join_element_wise(empty, pc.replace_substring(texts, "\n", " \n"), newline), " ")
-        distinct = parts.flatten().dictionary_encode()
-        words = pa.ListArray.from_arrays(pa.array([0, len(distinct.dictionary)], pa.int32()), distinct.dictionary)
-        words = pc.binary_join(words, " ")[0].as_py().split(" ")
+        pieces = parts.flatten().dictionary_encode()
+        # of each distinct piece its letters and closing marks, which are merged apart, are looked up apart
+        units = pc.split_pattern(pc.replace_substring_regex(self._joined(pieces.dictionary), _CLOSED, f"\\1 {_APART}\\2\\3"), " ").flatten()
+        leads = ~pc.starts_with(units, _APART).to_numpy(zero_copy_only=False)
+        units = units.dictionary_encode()
+        words = self._joined(units.dictionary)[0].as_py().split(" ")
         at = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         new = np.flatnonzero(at < 0).tolist()
         known = len(self.index)
         if new:
             new = self._lay_new(words, new)
             at[new] = known + np.arange(len(new))
-        number = distinct.indices.to_numpy()
-        first, size = self.start[at], self.start[at + 1] - self.start[at]
-        first, size = first[number], size[number]
-        ends = np.cumsum(size)
-        first -= ends - size
-        body = self.flat[np.arange(int(ends[-1])) + np.repeat(first, size)]
+        first = self.start[at]
+        ends, body = _gathered(self.flat, first, self.start[at + 1] - first, units.indices.to_numpy())
+        first = ends[:-1][leads]
+        ends, body = _gathered(body, first, np.diff(first, append=ends[-1]), pieces.indices.to_numpy())
         kept = new[: max(0, CACHE_PIECES - known)]
         self.index.update(zip([words[i] for i in kept], range(known, known + len(kept)), strict=True))
         self.missed += len(new) - len(kept)
-        ends = np.concatenate([[0], ends])[parts.offsets.to_numpy()]
+        ends = ends[parts.offsets.to_numpy()]
         return [body[a + len(self.newline) : b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
+    @staticmethod
+    def _joined(words: pa.Array) -> pa.Array:
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")
+
     def _lay_new(self, words: list[str], new: list[int]) -> list[int]:
         """Lay the ids of ``words`` at ``new`` behind those of the cached pieces, in the order that is returned.
 
-        Letters with closing marks are two pieces before the merge step, the first with its space: parted by
-        white space, all of them are merged in one call, and an id that starts with a space starts a word.
+        Words of letters are merged in one call, parted by white space; an id that starts with a space starts a word.
         """
         quick, texts, other = [], [], []
         for i in new:
             word = words[i]
-            core = word.rstrip(string.punctuation)
-            if not core.isalpha():  # nor where a newline leads
+            if not word.isalpha():  # nor where a newline leads
                 other.append(i)
                 continue
-            marks = word[len(core) :]
-            if not core.isascii():
-                if max(core) >= _BEYOND:
+            if not word.isascii():
+                if max(word) >= _BEYOND:
                     other.append(i)
                     continue
-                core = "".join([self.latin[c] for c in core])
+                word = "".join([self.latin[c] for c in word])
             quick.append(i)
-            texts.append(f"{self.space}{core} {marks}" if marks else self.space + core)
+            texts.append(self.space + word)
         ids = np.array(self.merges.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, dtype=self.dtype)
         heads = np.flatnonzero(self.leads[ids])
         if len(heads) != len(quick) or (len(heads) and heads[0]):  # a vocabulary without some byte
             quick, other, ids, heads = [], new, ids[:0], heads[:0]
-        rest = self._encode([words[i] for i in other])
+        apart = [i for i in other if words[i][:1] == _APART]
+        other = [i for i in other if words[i][:1] != _APART]
+        rest = self._encode([words[i] for i in other]) + [[t.id for t in self.merge(words[i][1:])] for i in apart]
         sizes = np.concatenate([np.diff(heads, append=len(ids)), np.fromiter(map(len, rest), dtype=np.int64, count=len(rest))])
         self._lay(np.concatenate([ids, np.array([x for e in rest for x in e], dtype=self.dtype)]), sizes)
-        return quick + other
+        return quick + other + apart
 
     def _append(self, encoded: list[list[int]]) -> None:
         """Lay ids behind those of the cached pieces; they count only once the index has them."""

@@ -461,7 +461,7 @@ def test_texts_tokenized_together(monkeypatch, name, space_leads):
     path = tokenizer_path(name)
     library, cached = Tokenizer.from_file(path), tokens.CachedTokenizer(path, space_leads)
     special = cached.special[:2]
-    bits = ["the", "Wörter,", "don't", "x's", "it'", "the&&&", "a.$_#!", "12.5", "3rd", "_", "\u0120x", "\u0119l", "\u0142", "\u4e2d\u6587", "e\u0301t\u00e9.", "\u00aa", "\U0001f600!", "'ll", "A-B", "\x00q", *special]
+    bits = ["the", "Wörter,", "don't", "x's", "it'", "the&&&", "a.$_#!", "12.5", "3rd", "_", "\u0120x", "\u0119l", "\u0142", "\u4e2d\u6587", "e\u0301t\u00e9.", "\u00aa", "\U0001f600!", "'ll", "A-B", "\x00q", "\x02,", "a\x02.", ",", *special]
     gaps = [" "] * 40 + ["\n"] * 8 + ["  ", "\n\n", " \n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "\r\n"]
     rng = random.Random(8)
     texts = [None, "", " ", "\n", "\nthe", "the ", "x", *special]
@@ -474,6 +474,8 @@ def test_texts_tokenized_together(monkeypatch, name, space_leads):
         assert [x.tolist() for x in got] == [library.encode(x or "", add_special_tokens=False).ids for x in texts]
         assert {x.dtype for x in got} == {np.dtype(cached.dtype)}
     assert len(cached.index) <= 40
+    for x in texts:
+        assert cached.ids(x or "").tolist() == library.encode(x or "", add_special_tokens=False).ids
     assert cached.many(pa.array([], pa.string())) == []
 
 
