@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from .stored import Stored, spread_join
 
-REPORTER = "\\b(\\d{1,4})\\s+N\\.\\s?H\\.\\s+(\\d{1,5})\\b"
+#: Volumes are only bounded by what a bigint holds: a case whose volume were not read would lose its edges.
+REPORTER = "\\b(\\d{1,18})\\s+N\\.\\s?H\\.\\s+(\\d{1,5})\\b"
 
 
 def normal_citation(c: Column, pattern: str = REPORTER, reporter: str = "N.H.") -> Column:
     """``volume reporter page`` of the first citation in a text; null if there is none."""
     volume = F.regexp_extract(c, pattern, 1)
-    plain = F.concat_ws(" ", volume.cast("int").cast("string"), F.lit(reporter), F.regexp_extract(c, pattern, 2).cast("int").cast("string"))
+    plain = F.concat_ws(" ", volume.cast("bigint").cast("string"), F.lit(reporter), F.regexp_extract(c, pattern, 2).cast("int").cast("string"))
     return F.when(F.coalesce(volume, F.lit("")) != "", plain)
 
 
