@@ -102,6 +102,46 @@ def test_similar_rows_against_all_pairs(spark, store):
         assert sorted(tuple(r) for r in got.collect()) == want
 
 
+class Recorded(Stored):
+    """Counts the rows of every stored table."""
+
+    def table(self, df, name):
+        out = super().table(df, name)
+        self.rows = {**getattr(self, "rows", {}), name: max(getattr(self, "rows", {}).get(name, 0), out.count())}
+        return out
+
+
+def test_similar_rows_store_no_pairs(spark, tmp_path):
+    """Every row is near every query, keys are strings, some twice, some null; by blocks, with rare terms joined in parts."""
+    rng = random.Random(7)
+    common = [f"{a}{b}" for a in "abcd" for b in "wxyz"]
+    texts = [(f"d{i:03d}", " ".join(rng.choices(common, k=12) + [f"r{chr(97 + rng.randrange(26))}"])) for i in range(300)]
+    texts += [("d007", "aw rr rr"), ("d010", "solo"), (None, "aw bx solo"), (None, "aw aw"), ("none", None)]
+    merged = defaultdict(Counter)
+    for d, t in texts:
+        merged[d].update(re.findall("[a-z]{2,}", t or ""))
+    df = Counter(x for c in merged.values() for x in c)
+    vectors = {}
+    for d, c in merged.items():
+        w = {x: n * (math.log((1 + len(texts)) / (1 + df[x])) + 1) for x, n in c.items()}
+        vectors[d] = {x: v / math.sqrt(sum(y * y for y in w.values())) for x, v in w.items()}
+    asked = [f"d{i:03d}" for i in range(0, 300, 2)]
+    want = []
+    for q in asked:
+        scores = [(-round(sum(v[x] * vectors[q][x] for x in v.keys() & vectors[q].keys()), 6), d) for d, v in vectors.items() if d not in (q, None) and v.keys() & vectors[q].keys()]
+        want += [(q, i + 1, d, -s) for i, (s, d) in enumerate(sorted(scores)[:5])]
+    frame = spark.createDataFrame(texts, "id string, text string").repartition(3)
+    queries = frame.where(F.col("id").isin(*asked))
+    for sizes in ({}, {"probe_rows": 17, "part_rows": 4, "most_common": 5, "block_postings": 500}):
+        store = Recorded(spark, str(tmp_path / f"steps{len(sizes)}"))
+        got = similar.similar_rows(frame, queries, store, key="id", **sizes)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+        # the scores of all pairs are 150 times 300 rows
+        assert max(store.rows.values()) <= sum(map(len, merged.values()))
+    assert similar.similar_rows(frame, queries.where("false"), store, key="id").count() == 0
+    assert similar.similar_rows(frame.where("false"), queries, store, key="id").count() == 0
+
+
 # Searches by table
 
 
