@@ -231,6 +231,26 @@ def test_keyed_stream_restarts_after_a_failed_batch(spark, tmp_path):
     assert len(after) == before + 5 and sorted(after)[-5:] == [40, 41, 42, 43, 44]
 
 
+def test_keyed_stream_of_many_keys(spark, tmp_path, monkeypatch):
+    """Built-in state, no Python call a key; the first record whole, nulls last, one key very often; large numbers stay."""
+    monkeypatch.setattr(keyed, "GATHERED", 500)
+    at, keys, big = str(tmp_path), 20_000, 2**53
+    number = F.when(F.col("id") % 3 == 0, F.lit(None).cast("long")).otherwise(F.col("id") * 2 + big + 1)
+    often = F.array(F.struct(F.lit("b").alias("k")))
+    rows = spark.range(keys).select(F.col("id").alias("event_id"), number.alias("user_id"), often.alias("parts"))
+    rows = rows.unionAll(rows.select("event_id", F.lit(big * 2), "parts")).unionAll(spark.range(9_000).selectExpr("5L", "id + 11", "array(named_struct('k', 'a'))"))
+    rows = rows.unionAll(rows.where("event_id = 6").selectExpr("event_id", f"{big * 2}L", "array(named_struct('k', 'a'))"))
+    rows.repartition(4).write.parquet(f"{at}/in")
+    known = spark.range(0, keys, 4).select(F.col("id").alias("event_id"))
+    stream = keyed.keyed_stream(spark, f"{at}/in", f"{at}/out", rows.schema, f"{at}/check", known, "event_id")
+    stream.awaitTermination()
+    want = {i: (big * 2 if i % 3 == 0 else i * 2 + big + 1, "b") for i in range(keys) if i % 4} | {5: (11, "a"), 6: (big * 2, "a")}
+    got = [(r["event_id"], (r["user_id"], r["parts"][0]["k"])) for r in keyed.loaded(spark, f"{at}/out", rows.schema).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    state = stream.lastProgress["stateOperators"]
+    assert [s["operatorName"] for s in state] == ["dedupe"] and state[0]["numRowsTotal"] == keys
+
+
 def test_volume_keeps_late_rows_within_the_watermark(spark, tmp_path):
     at = str(tmp_path)
     schema = "at timestamp"
